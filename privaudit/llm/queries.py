@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm import content_store, decontamination, packing, quality, simhash
+from privaudit.llm import chat, content_store, decontamination, main_text, multi_index, packing, quality, simhash, url_filter, warc
 from privaudit.llm.tokens import default_tokenizer
 
+#: The URL rules of op5: block net/, allow example.net/en/, block example.com/de/, allow org/fr/.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: What both turns of conversation -1 say in op3.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,11 +28,49 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = turns.union(fixed).withColumn("msg_id", F.row_number().over(order))
+    # each turn answers the one before it
+    messages = numbered.select("conv_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
+    found = chat.format_conversations(messages).withColumn("turns", chat.parse(F.col("formatted")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.resolve(warc.read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "difference")
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), default_tokenizer(), end_id=0)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -39,8 +82,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_content_store, op2_quality_resampling, op6_mixture_packing, op9_decontamination, op10_simhash)}
+    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash)
+    return {f.__name__: f for f in found}
+
+
+#: DuckDB's form of what SQL can express: whole results, exact.
+_CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', 'user', '' 
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', 'assistant', ''
+)
+SELECT conv_id,
+       count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, r NULLS FIRST, t NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(replace(replace(replace(role, '\', '\b'), '<|', '<\p'), chr(10), '\n')) + 1
+           + length(replace(replace(text, '\', '\b'), '<|', '<\p')) + 11)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_trees": _CHAT_SQL}
