@@ -1,0 +1 @@
+"""Membership-privacy audits of synthetic tables, on Spark DataFrames."""
