@@ -168,7 +168,7 @@ def _result(block, more):
                     inside[a : b + 1] = True
                 spans = []
                 if hits[i]:
-                    at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
+                    at = [(m.start(), m.end()) for m in WORD.finditer(raw.lower())]
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
                     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in edges.reshape(-1, 2)]
                 named = sorted(str(x) for x in items[i] if x is not None)
