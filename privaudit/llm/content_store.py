@@ -5,7 +5,7 @@ the last eight ids, so equal passages give equal chunks wherever they stand.
 The store is three Parquet tables in a folder that all executors share:
 
 * ``chunks``: ``digest`` (BLAKE2b-128 of the bytes), ``n`` and ``ids``
-  (little-endian unsigned 16-bit); each different chunk once, sorted by digest;
+  (little-endian unsigned 16-bit); each different chunk once;
 * ``recipes``: the documents in ascending ``doc_id`` order with ``local_start``
   (ids before it in its shard), ``n_tokens``, chunk digests and lengths and the
   Merkle ``root`` over the digests;
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize, partitions_for, scratch
-from privaudit.llm.tokens import encoder
+from privaudit.llm.tokens import encoder, slices
 
-#: A chunk ends where the top bits of the rolling hash are zero: one id in 256.
-_MEAN_BITS, _LEAST, _MOST, _WINDOW = 8, 64, 1024, 8
-_GEAR = np.random.default_rng(20240607).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
+#: A chunk ends where the top bits of the rolling hash are zero: one id in 512.
+_MEAN_BITS, _LEAST, _MOST = 9, 128, 2048
+_GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 _LOOSE = "digest binary, n int, ids binary, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary"
 _LOOSE_ARROW = pa.schema([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary())])
@@ -58,10 +58,14 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def boundaries(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash allows a cut, for a whole batch."""
-    gear, rolling = _GEAR[ids], np.zeros(len(ids), np.uint64)
-    for age in range(min(_WINDOW, len(ids))):
-        rolling[age:] += gear[: len(ids) - age] << np.uint64(age)
-    return np.flatnonzero(rolling >> np.uint64(64 - _MEAN_BITS) == 0) + 1
+    places, step = [], 1 << 20
+    for at in range(0, len(ids), step):  # parts that overlap by the window bound the memory
+        rolling = _GEAR[ids[max(0, at - 7) : at + step]]
+        for age in (1, 2, 4):  # sums over two, four and eight ids, older ones shifted further
+            rolling[age:] += rolling[:-age] << np.uint32(age)
+        found = np.flatnonzero(rolling >> np.uint32(32 - _MEAN_BITS) == 0) + max(0, at - 7) + 1
+        places.append(found[found > at] if at else found)
+    return np.concatenate(places) if places else np.zeros(0, np.int64)
 
 
 def cut(start: int, end: int, allowed: np.ndarray) -> list[int]:
@@ -82,8 +86,8 @@ def _loose(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(path), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield from one(encode, seen, batch.slice(at, 2000))
+            for part in slices(batch, 1):
+                yield from one(encode, seen, part)
 
     def one(encode, seen, batch):
         coded, tail = encode.column(batch.column(1)).to_pylist(), np.array([end_id], "<u2").tobytes()
@@ -118,13 +122,14 @@ def _loose(path: str, end_id: int):
 
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, the first of each digest; all recipe rows."""
-    last = None
+    """The first chunk of each digest, and all recipe rows; holds the partition's digests only."""
+    seen: set[bytes] = set()
     for batch in batches:
-        names, keep = batch.column(0).to_pylist(), []
-        for name in names:
-            keep.append(name is None or name != last)
-            last = name if name is not None else last
+        keep = []
+        for name in batch.column(0).to_pylist():
+            keep.append(name is None or name not in seen)
+            if name is not None:
+                seen.add(name)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -169,8 +174,8 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str
     path, n = path or scratch(spark, "content-store"), partitions_for(spark)
     loose = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_loose(tokenizer, end_id), _LOOSE)
     # recipes are spread by their root and row: copies of one document must not meet in one task
-    place = F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id", "root"))
-    placed = loose.withColumn("place", place).repartition(n, "place").sortWithinPartitions("digest").drop("place")
+    place = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "root"))
+    placed = loose.withColumn("place", place).repartition(n, "place").drop("place")
     placed.mapInArrow(_unique, _LOOSE).write.option("compression", "zstd").parquet(f"{path}/loose")
 
     recipes = spark.read.parquet(f"{path}/loose").where("digest is null").select("doc_id", "n_tokens", "digests", "lengths", "root")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize
-from privaudit.llm.tokens import encoder
+from privaudit.llm.tokens import encoder, slices
 
 _BLOCKS = 4096
 #: Above so many (task, queue) offsets they are joined instead of broadcast.
@@ -150,8 +150,7 @@ def _stage(tokenizer: str, end_id: int):
         task, encode, done = TaskContext.get().partitionId(), encoder(tokenizer), {}
         tail = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, 2):
                 ids = [x + tail for x in encode.column(part.column(2)).to_pylist()]
                 queues, n, local = part.column(1).to_pylist(), [len(x) // 2 for x in ids], []
                 for queue, size in zip(queues, n):

@@ -14,6 +14,8 @@ Ids are little-endian unsigned 16-bit (all vocabularies here have fewer than
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,12 @@ _WHOLE = (
     r"[ \n][ \n]|[\x01\x02\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Pieces kept per Python worker: two generations of at most so many.
-_GENERATION = 450_000
+#: Pieces kept per Python worker; when there are more, the worker starts anew.
+_MOST_PIECES = 600_000
+#: Bytes of text encoded at a time.
+_SLICE_BYTES = 12 << 20
+#: Words that any version of Unicode's tables takes as letters only.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -45,15 +51,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids need more than 16 bits")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.newline = self.whole("\n")
         self.marks = {m: self.whole(m) for m in ",."}
+        self.letters = self._byte_letters()
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u2").tobytes()
 
+    def _byte_letters(self) -> dict[int, str] | None:
+        """The vocabulary's letters for bytes, if words of letters can go straight to its merges."""
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        other = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        words = ["the", " the", "Straße", " élan", "ñandú", " internationalisation", "aaaaaaaaaaaaaaaa"]
+        return self.letters if self._merged(words) == [self.whole(w) for w in words] else None
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters (a space may lead), by the merges alone."""
+        merge, ids, ends, letters = self.tokenizer.model.tokenize, [], [], self.letters
+        space = letters[32]
+        for w in words:
+            mapped = w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            ids += [t.id for t in merge(mapped)]
+            ends.append(2 * len(ids))
+        raw = np.asarray(ids, dtype="<u2").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
     def _many(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space but for one leading space."""
         if not words:
@@ -66,43 +91,40 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *(e + 2 for e in ends[:-1])], ends)]
 
     def _learn(self, pieces: list[str]) -> None:
-        young, old, raw, spaced, marked = self.young, self.old, [], [], []
-        seen: set[str] = set()
+        """Ids of new pieces: words of letters, with or without a last comma or full stop, or anything else."""
+        known, marks = self.known, self.marks
+        easy, hard, later = [], [], []
         for piece in pieces:
-            if piece in old:
-                young[piece] = old[piece]
-                continue
-            if len(piece) > 3 and piece[-1] in ",." and piece[-2].isalpha():
-                marked.append(piece)
-                piece = piece[:-1]
-                if piece in young or piece in seen:
-                    continue
-                if piece in old:
-                    young[piece] = old[piece]
-                    continue
-            if piece in seen:
-                continue
-            seen.add(piece)
-            (raw if piece[:1] in ("\x01", "\x02") else spaced).append(piece)
-        for piece, ids in zip(spaced, self._many([" " + p for p in spaced])):
-            young[piece] = ids
+            if (piece.isascii() and piece.isalpha() or _LETTERS(piece)) and self.letters:
+                easy.append(piece)
+            elif piece[-1:] in marks and piece[-2:-1].isalpha():
+                later.append(piece)
+            else:
+                hard.append(piece)
+        wanted = set(easy)
+        for core in {p[:-1] for p in later}.difference(known, wanted):
+            (easy if self.letters and _LETTERS(core) else hard).append(core)
+        known.update(zip(easy, self._merged([" " + p for p in easy])))
+        spaced = [p for p in hard if p[:1] not in ("\x01", "\x02")]
+        known.update(zip(spaced, self._many([" " + p for p in spaced])))
+        raw = [p for p in hard if p[:1] in ("\x01", "\x02")]
         words = [p for p in raw if len(p) > 1]
         for piece, ids in zip(words, self._many([p[1:] for p in words])):
-            young[piece] = self.newline + ids if piece[0] == "\x01" else ids
+            known[piece] = self.newline + ids if piece[0] == "\x01" else ids
         for piece in raw:
             if len(piece) == 1:
-                young[piece] = self.newline if piece == "\x01" else b""
-        for piece in marked:
-            young[piece] = young[piece[:-1]] + self.marks[piece[-1]]
+                known[piece] = self.newline if piece == "\x01" else b""
+        for piece in later:
+            known[piece] = known[piece[:-1]] + marks[piece[-1]]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.young) > _GENERATION:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, pieces))
+        if len(self.known) > _MOST_PIECES:
+            self.known.clear()
+        found = list(map(self.known.get, pieces))
         missing = [p for p, ids in zip(pieces, found) if ids is None]
         if missing:
             self._learn(missing)
-            found = list(map(self.young.__getitem__, pieces))
+            found = list(map(self.known.__getitem__, pieces))
         return found
 
     def column(self, texts: pa.Array) -> pa.Array:
@@ -133,3 +155,13 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded size of text (single long texts aside)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // _SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
