@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize
 
-_BUCKETS = 1 << 18
+_BUCKETS = 1 << 20
 _SHAPES = 72
 _BIGRAMS = (_SHAPES + 1) * (_SHAPES + 1)
 _PRIOR, _WORD_PRIOR, _EXPECTED, _ESTABLISHED = 4.0, 1.0, 10.0, -1.6
@@ -208,7 +208,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -3.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -5.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
     """The k documents with the largest weight and noise.
 
     ``doc_id, n_words, log_weight, key``; with ``rows``, the chosen rows of
