@@ -297,20 +297,45 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def classes(different: DataFrame, radius: int = 4, extra: int | None = None) -> DataFrame:
+    """``fp, root`` for different fingerprints: the smallest fingerprint of each one's component."""
+    roots = materialize(components(link(different.select("fp"), radius, extra)), "simhash-roots")
+    found = different.select("fp").join(roots, F.col("fp") == F.col("node"), "left")
+    return found.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id of each document's component."""
     rows = materialize(fingerprints(documents, size), "simhash-fingerprints")
     different = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
-    roots = components(link(different.select("fp"), radius, extra))
-    if roots.isEmpty():
-        return rows.join(different, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
-    whole = roots.select("root").distinct().select(F.col("root").alias("node"), "root").union(roots)
-    merged = different.join(whole, different["fp"] == whole["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    merged = different.join(classes(different, radius, extra), "fp")
     ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     named = merged.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None) -> DataFrame:
+    """One row of ``documents`` per component, with all its columns: the smallest ``doc_id`` (null last), of repeated rows one.
+
+    Rows are numbered once, in a written table; what is grouped are numbers and
+    fingerprints, so the texts of a large group never meet.
+    """
+    row = F.struct(*(documents[f"`{c}`"] for c in documents.columns))
+    inputs = documents.select(F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("number"), F.col("doc_id").alias("id"), row.alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py(), size) for t in batch.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=["number", "id", "row", "fp"])
+
+    kinds = dict(inputs.dtypes)
+    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long"), "simhash-rows")
+    best = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best")), "simhash-best")
+    chosen = best.join(classes(best, radius, extra), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
+    kept = rows.join(chosen, "number", "left_semi")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+
+
 def fingerprint_hex(fp):
     """A signed fingerprint column as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -43,3 +43,6 @@ def test_order_and_edges(spark, small):
     odd = spark.createDataFrame([(None, "same words here", "en", "s", 1), (3, None, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0)], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, small).collect()
+    rows = [(None, "same words here", "en", "s", 1), (9, "Same  words here", "en", "s", 1), (9, "Same  words here", "en", "s", 1), (None, "other", "en", "s", 1), (None, "other", "en", "s", 1), (9, "third text", None, None, None)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), small).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == [(9, "Same  words here"), (9, "third text"), (None, "other")]
