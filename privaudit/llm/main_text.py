@@ -10,8 +10,8 @@ Tag costs are learnt from labelled pages: pages with exactly one ``article`` or
 ``main`` element, whose inside is the content.  A tag that stands mostly outside
 costs in proportion to the logarithm of how much more often it stands outside
 than inside; the proportion is the one with the best word-level F1 over the
-labelled pages.  ``sample_pages`` bounds the labelled pages used (documented
-bound, the smallest hashes of the HTML); the costs apply to every page.
+labelled pages.  About ``sample_pages`` labelled pages are used, those with the
+smallest hashes of ``page_id`` (a documented bound); the costs apply to every page.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by one space in page order.
@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm.storage import about
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -183,9 +185,9 @@ def learn(pages: list[str]) -> tuple[dict[str, float], float]:
 def extract(pages: DataFrame, sample_pages: int = 400) -> DataFrame:
     """``page_id, url, text`` for every row of ``page_id, url, html``."""
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    labelled = pages.select("html").where("html is not null and (lower(html) like '%<article%' or lower(html) like '%<main%')")
-    chosen = labelled.select(F.xxhash64("html").alias("h"), "html").orderBy("h").limit(sample_pages)
-    costs, other = learn([r["html"] for r in chosen.collect()])  # at most sample_pages rows
+    labelled = pages.select("page_id", "html").where("html is not null and (lower(html) like '%<article%' or lower(html) like '%<main%')")
+    chosen = about(labelled.select("page_id", "html"), sample_pages, "page_id").limit(2 * sample_pages)
+    costs, other = learn(sorted(r["html"] for r in chosen.collect()))  # about sample_pages rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,8 @@
 """Nearest neighbours by multi-index hashing.
 
 Vectors become binary codes by a learned rotation (iterative quantisation of the
-principal axes, fitted on ``sample_rows`` rows with the smallest hash of
-``vec_id``: the documented bound; every row is indexed).  A code is split into
+principal axes, fitted on about ``sample_rows`` rows, those with the smallest
+hashes of ``vec_id``: the documented bound; every row is indexed).  A code is split into
 substrings of eight bits, each indexed by its value.  If a code differs from a
 query's in at most ``radius`` bits, one of its m substrings differs in at most
 ``radius // m``, so probing each index with all values that near retrieves every
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from privaudit.llm.storage import about
+
 _FOUND = "query_id long, vec_id long, score double"
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
 
@@ -132,7 +134,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: in
     """``query_id, rank, vec_id, score``: the k nearest found of each query row."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
-    sample = rows.select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").orderBy("h", "vec_id").limit(sample_rows).collect()  # a documented bound
+    sample = sorted(about(rows, sample_rows, "vec_id").limit(2 * sample_rows).collect(), key=lambda r: r["vec_id"])  # a documented bound
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes, radius = learn(np.array([r["embedding"] for r in sample]), k, coverage)

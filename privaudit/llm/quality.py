@@ -20,8 +20,8 @@ to their weights.
 ``k`` is, unless given, the expected number of documents whose weight with noise
 exceeds ``exp(threshold)``.  Noise depends on ``doc_id`` and ``seed`` only.
 
-Labels: the ``label_rows`` rows with the smallest hash of ``doc_id`` are used (a
-documented bound); everything else is counted over all documents.
+Labels: about ``label_rows`` rows, those with the smallest hashes of ``doc_id``, are
+used (a documented bound); everything else is counted over all documents.
 
 Defined cases: null and empty texts have weight one; without usable labels every
 weight is one; rows that repeat a ``doc_id`` are judged each, with one noise; a
@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.storage import materialize
+from privaudit.llm.storage import about, materialize
 
 _BUCKETS = 1 << 20
 _SHAPES = 72
@@ -151,9 +151,9 @@ def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Mo
     """Count the models over all documents; see the module's description."""
     usable = labels.where("doc_id is not null and quality is not null")
     by_doc = usable.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("label"))
-    sample = materialize(by_doc.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(label_rows), "quality-labels")
+    sample = materialize(about(materialize(by_doc, "quality-labels"), label_rows, "labelled_id"), "quality-sample")
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("labelled_id"), "left").select("text", "label")  # at most label_rows rows
+    labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("labelled_id"), "left").select("text", "label")  # about label_rows rows at most
     counts = labelled.mapInArrow(_count, "family int, bucket int, raw long, labelled long, target long")
     counts = materialize(counts.groupBy("family", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))), "quality-counts")
     sums = {r["family"]: r for r in counts.groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))).collect()}

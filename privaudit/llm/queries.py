@@ -104,5 +104,81 @@ FROM turns GROUP BY conv_id
 """
 
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * k + 1}, 5))::INT >> {shift}) % 32 + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     f AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+_DECONTAMINATION_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark
+), cut AS (
+  SELECT kind, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words
+), items AS (
+  SELECT DISTINCT id, n, array_to_string(w[k + 1:k + n], ' ') AS win
+  FROM (SELECT id, w, least(10, len(w)) AS n, unnest(range(greatest(len(w) - 9, 1))) AS k FROM cut WHERE kind = 'i' AND len(w) > 0)
+), spans AS (
+  SELECT row, k, n, array_to_string(w[k + 1:k + n], ' ') AS win
+  FROM (SELECT row, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS k FROM cut, (SELECT DISTINCT n FROM items) WHERE kind = 'd')
+), hits AS (SELECT row, k, n, id FROM spans JOIN items USING (n, win)),
+named AS (SELECT row, count(DISTINCT id) AS n_items, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM hits GROUP BY row),
+covered AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM hits) GROUP BY row)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut LEFT JOIN named USING (row) LEFT JOIN covered USING (row) WHERE kind = 'd'
+"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rule_sql(of: str) -> str:
+    """The first rule that fits, longest first: its text or its verdict."""
+    cases = []
+    for kind, text in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        host, _, rest = text.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}') THEN '{text if of == 'rule' else kind}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_URL_SQL = f"""
+WITH parts AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+ruled AS (SELECT *, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS ruled, ('0x' || substr(md5(url), 1, 8))::BIGINT % 5 = 0 AS held FROM hosts),
+plain AS (SELECT row, translate(coalesce(url, ''), '{_LOWER}123456789', '{_UPPER}000000000') AS s FROM ruled),
+codes AS (SELECT row, [0, 0] || list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(substr(s, i, 1)) BETWEEN 33 AND 95 THEN ascii(substr(s, i, 1)) - 32 ELSE 31 END) AS c FROM plain),
+grams AS (SELECT row, unnest(list_transform(range(3, len(c) + 1), lambda i: c[i - 2] * 4096 + c[i - 1] * 64 + c[i]))::INT AS cell FROM codes),
+n3 AS (SELECT ruled = 'allow' AS side, cell // 4096 AS a, cell // 64 % 64 AS b, cell % 64 AS c, count(*)::DOUBLE AS n FROM grams JOIN ruled USING (row) WHERE ruled IS NOT NULL AND NOT held GROUP BY ALL),
+n2 AS (SELECT side, b, c, sum(n) AS n FROM n3 GROUP BY ALL),
+n1 AS (SELECT side, c, sum(n) AS n FROM n2 GROUP BY ALL),
+z AS (SELECT unnest(range(64)) AS c),
+sides AS (SELECT side, sum(n) AS t0, greatest(count(*), 1)::DOUBLE AS k0 FROM n1 GROUP BY side),
+p0 AS (SELECT side, c, (coalesce(n, 0) + k0 / 64) / (t0 + k0) AS p0 FROM sides CROSS JOIN z LEFT JOIN n1 USING (side, c)),
+t1 AS (SELECT side, b, sum(n) AS t1, count(*)::DOUBLE AS k1 FROM n2 GROUP BY ALL),
+p1 AS (SELECT side, b, c, CASE WHEN t1 IS NULL THEN p0 ELSE (coalesce(n, 0) + k1 * p0) / (t1 + k1) END AS p1 FROM (SELECT p0.*, o.c AS b FROM p0 CROSS JOIN z o) LEFT JOIN t1 USING (side, b) LEFT JOIN n2 USING (side, b, c)),
+t2 AS (SELECT side, a, b, sum(n) AS t2, count(*)::DOUBLE AS k2 FROM n3 GROUP BY ALL),
+p2 AS (SELECT side, a, b, c, CASE WHEN t2 IS NULL THEN p1 ELSE (coalesce(n, 0) + k2 * p1) / (t2 + k2) END AS p2 FROM (SELECT p1.*, o.c AS a FROM p1 CROSS JOIN z o) LEFT JOIN t2 USING (side, a, b) LEFT JOIN n3 USING (side, a, b, c)),
+ratios AS (SELECT (a * 4096 + b * 64 + c)::INT AS cell, ln(max(p2) FILTER (WHERE side)) - ln(max(p2) FILTER (WHERE NOT side)) AS ratio FROM p2 GROUP BY a, b, c),
+scored AS (SELECT r.*, round(coalesce(d, 0e0), 9) AS difference FROM ruled r LEFT JOIN (SELECT row, avg(ratio) AS d FROM grams JOIN ratios USING (cell) GROUP BY row) USING (row)),
+bins AS (SELECT least(greatest(floor((difference + 5) * 200), 0), 2000) AS bin, sum((ruled = 'allow')::INT)::DOUBLE AS good, sum((ruled = 'block')::INT)::DOUBLE AS bad FROM scored WHERE ruled IS NOT NULL AND held GROUP BY 1),
+errors AS (
+  SELECT bin, (bin + coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin)) / 2 AS middle,
+         coalesce(sum(good) OVER w, 0e0) / greatest(sum(good) OVER (), 1e0) + 1 - coalesce(sum(bad) OVER w, 0e0) / greatest(sum(bad) OVER (), 1e0) AS errors
+  FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+best AS (SELECT middle / 200 - 5 AS threshold FROM errors ORDER BY errors, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN difference >= coalesce((SELECT threshold FROM best), 0e0) THEN 'allow' ELSE 'block' END) AS verdict, difference
+FROM scored
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_trees": _CHAT_SQL}
+    return {"op3_chat_trees": _CHAT_SQL, "op4_warc": _WARC_SQL, "op5_url_filter": _URL_SQL, "op9_decontamination": _DECONTAMINATION_SQL}

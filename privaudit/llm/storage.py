@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,3 +47,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 def partitions_for(spark: SparkSession) -> int:
     """The session's shuffle partition count, which the cluster sets by size."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def about(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, those with the smallest hashes of ``keys``; all rows if there are fewer.
+
+    One count and a filter: nothing is sorted or gathered.  The number of rows
+    follows a binomial law, so it stays within some per cent of ``rows``.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return df.where(share < F.lit(rows / n))
