@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize, partitions_for, scratch
-from privaudit.llm.tokens import encoder, slices
+from privaudit.llm.tokens import encoder, listed, slices
 
 #: A chunk ends where the top bits of the rolling hash are zero: one id in 512.
 _MEAN_BITS, _LEAST, _MOST = 9, 128, 2048
@@ -90,7 +90,7 @@ def _loose(path: str, end_id: int):
                 yield from one(encode, seen, part)
 
     def one(encode, seen, batch):
-        coded, tail = encode.column(batch.column(1)).to_pylist(), np.array([end_id], "<u2").tobytes()
+        coded, tail = listed(encode.column(batch.column(1))), np.array([end_id], "<u2").tobytes()
         stream = b"".join(x for ids in coded for x in (ids, tail))
         allowed = boundaries(np.frombuffer(stream, "<u2"))
         out, at = {name: [] for name in _LOOSE_ARROW.names}, 0
@@ -126,7 +126,7 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
-        for name in batch.column(0).to_pylist():
+        for name in listed(batch.column(0)):
             keep.append(name is None or name not in seen)
             if name is not None:
                 seen.add(name)
@@ -271,7 +271,7 @@ def shift_crc(crc: np.ndarray, ids_after: np.ndarray) -> np.ndarray:
 def _verify_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, sizes, crcs = batch.column(0), batch.column(1).to_pylist(), []
-        for name, n, ids in zip(names.to_pylist(), sizes, batch.column(2).to_pylist()):
+        for name, n, ids in zip(listed(names), sizes, listed(batch.column(2))):
             if digest(ids) != name or len(ids) != 2 * n:
                 raise ValueError(f"chunk {name.hex()} does not hold what its digest says")
             crcs.append(zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize
-from privaudit.llm.tokens import encoder, slices
+from privaudit.llm.tokens import encoder, listed, slices
 
 _BLOCKS = 4096
 #: Above so many (task, queue) offsets they are joined instead of broadcast.
@@ -151,7 +151,7 @@ def _stage(tokenizer: str, end_id: int):
         tail = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             for part in slices(batch, 2):
-                ids = [x + tail for x in encode.column(part.column(2)).to_pylist()]
+                ids = [x + tail for x in listed(encode.column(part.column(2)))]
                 queues, n, local = part.column(1).to_pylist(), [len(x) // 2 for x in ids], []
                 for queue, size in zip(queues, n):
                     local.append(done.get(queue, 0))

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import about, materialize
+from privaudit.llm.tokens import listed
 
 _BUCKETS = 1 << 20
 _SHAPES = 72
@@ -68,7 +69,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.values)
-    distinct = coded.dictionary.to_pylist()
+    distinct = listed(coded.dictionary)
     if len(_KNOWN) > 300_000:
         _KNOWN.clear()
     table = np.empty((len(distinct) + 1, 2), np.int64)

@@ -27,9 +27,9 @@ _WHOLE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 #: Pieces kept per Python worker; when there are more, the worker starts anew.
-_MOST_PIECES = 600_000
+_MOST_PIECES = 450_000
 #: Bytes of text encoded at a time.
-_SLICE_BYTES = 12 << 20
+_SLICE_BYTES = 10 << 20
 #: Words that any version of Unicode's tables takes as letters only.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -41,6 +41,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def listed(values: pa.Array) -> list:
+    """The values of a flat array; ``to_pylist`` makes a scalar object of each first."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """A tokenizer with a bounded cache of the pieces seen by this worker."""
 
@@ -135,7 +140,7 @@ class Encoder:
         cut = pc.binary_join_element_wise(pa.scalar("\x02", pa.large_string()), pc.replace_substring(cut, "\n", " \x01"), pa.scalar("", pa.large_string()))
         parts = pc.split_pattern(cut, " ")
         coded = pc.dictionary_encode(parts.values)
-        known = pa.array(self.pieces(coded.dictionary.to_pylist()), pa.large_binary())
+        known = pa.array(self.pieces(listed(coded.dictionary)), pa.large_binary())
         taken = pc.take(known, coded.indices)
         starts = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
         ends = starts[np.frombuffer(parts.buffers()[1], np.int64 if pa.types.is_large_list(parts.type) else np.int32, len(parts) + 1)]
