@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from privaudit.llm.storage import materialize, partitions_for
 
 _BLOCK = 8192
+#: Roots of large components are broadcast up to so many, and joined beyond.
+_BROADCAST_ROWS = 100_000
 #: (fingerprint, word) comparisons held at a time.
 _AT_ONCE = 1 << 17
 _BYTES = np.array([[b >> (7 - k) & 1 for k in range(8)] for b in range(256)], np.uint8)
@@ -308,9 +310,14 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, extra:
     """``doc_id, fp, component_id``: the smallest id of each document's component."""
     rows = materialize(fingerprints(documents, size), "simhash-fingerprints")
     different = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
-    merged = different.join(classes(different, radius, extra), "fp")
-    ids = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = merged.join(ids, "root").select("fp", "component_id")
+    merged = materialize(different.join(classes(different, radius, extra), "fp"), "simhash-merged")
+    sizes = merged.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = materialize(sizes.where("n > 1"), "simhash-components")
+    # the fingerprints of a large component would all meet its root in one task: there are few such roots
+    large = ids.where(F.col("n") > _BLOCK).select("root", F.col("component_id").alias("large_id"), F.lit(True).alias("large"))
+    placed = merged.join(F.broadcast(large) if large.count() <= _BROADCAST_ROWS else large, "root", "left")
+    rest = placed.where("large is null").join(ids.where(F.col("n") <= _BLOCK).select("root", "component_id"), "root", "left")
+    named = placed.where("large").select("fp", F.col("large_id").alias("component_id")).union(rest.select("fp", F.coalesce("component_id", "least")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -251,7 +251,9 @@ def brute_components(fps):
 
 
 @pytest.mark.parametrize("extra", [None, 2])
-def test_simhash(spark, extra):
+def test_simhash(spark, extra, monkeypatch):
+    if extra:
+        monkeypatch.setattr(simhash, "_BLOCK", 3)  # components above a block go the other way
     rng = random.Random(2)
     words = [f"w{k}" for k in range(500)]
     base = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(12)]
