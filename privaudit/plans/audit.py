@@ -7,7 +7,7 @@ has changed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +27,25 @@ _SCORE = (*_FIT, "levels", "draws", "temperatures")
 @dataclass
 class Audit:
     """``samples``: ``sample_id, ordinal, features`` and, for label mode ``real``, ``label_idx``;
-    ``labelled``: ``ref_id, features, y_label`` for label mode ``knn``."""
+    ``labelled``: ``ref_id, features, y_label`` for label mode ``knn``.
+    ``external``: synthetic tables made elsewhere (``split_no, row_id, label_idx, features``); they take the place of
+    generated ones, and the shadows asked for are capped at the splits they have.  ``split_table``: the splits they were
+    made from (``split_no, sample_id, is_member``, e.g. k-fold), which then also decide membership."""
 
     samples: DataFrame
     root: str
     cfg: AuditConfig
     labelled: DataFrame | None = None
+    external: DataFrame | None = None
+    split_table: DataFrame | None = None
     force: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.spark = self.samples.sparkSession
+        if self.external is not None:
+            n = self.external.select("split_no").distinct().count()
+            k, q = splits.capped(self.cfg.train_shadows, self.cfg.holdout_shadows, n)
+            self.cfg = replace(self.cfg, train_shadows=k, holdout_shadows=q)
         self.samples = self._with_labels(feats.checked(self.samples))
 
     @property
@@ -55,6 +64,8 @@ class Audit:
         return df.withColumn("label_idx", F.lit(0))
 
     def splits(self) -> DataFrame:
+        if self.split_table is not None:
+            return self.split_table.select("split_no", "sample_id", "is_member")
         path = f"{self.root}/splits-{self.cfg.fingerprint('seed', 'ratio')}"
         splits_io.extend(self.samples, path, self.cfg.splits, self.cfg.ratio, self.cfg.seed)
         return self.spark.read.parquet(path)
@@ -92,7 +103,9 @@ class Audit:
         return self.spark.read.parquet(path)
 
     def synthetic(self) -> DataFrame:
-        """One synthetic row per member and split, in the original space."""
+        """One synthetic row per member and split, in the original space; or the external tables."""
+        if self.external is not None:
+            return self.external.select("split_no", "row_id", "label_idx", "features")
 
         def compute(numbers: list[int]) -> DataFrame:
             members, params, out = self._members(numbers), self.shadows("real"), None

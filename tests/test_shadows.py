@@ -95,6 +95,20 @@ def test_audit_is_incremental(spark, small, tmp_path, family):
     assert gap["trained_on"] == "real"
 
 
+def test_external_tables_are_capped_and_use_their_splits(spark, small, tmp_path):
+    from dataclasses import replace
+
+    from privaudit.operators import splits
+
+    samples = _samples(spark, small)
+    folds = splits.assign(samples, [1, 2, 3], 0.8, 7)
+    made = samples.join(folds.where("is_member"), "sample_id").select("split_no", F.col("sample_id").alias("row_id"), F.lit(0).alias("label_idx"), "features")
+    audit = Audit(samples, f"file://{tmp_path}/audit", replace(CFG, train_shadows=15, holdout_shadows=5), external=made, split_table=folds)
+    assert (audit.cfg.train_shadows, audit.cfg.holdout_shadows) == (2, 1)
+    found = audit.metrics("synth", "synth").first()
+    assert found["split_no"] == 3 and found["n_member"] == 400 and found["auc"] > 0.6
+
+
 def test_split_files(spark, small, tmp_path):
     samples, path = _samples(spark, small), f"file://{tmp_path}/splits"
     assert splits_io.extend(samples, path, [1, 2], 0.8, 42) == [1, 2]
