@@ -19,8 +19,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest ``doc_id``."""
-    return simhash.representatives(docs)
+    """Of each near-duplicate component the document with the smallest ``doc_id``.
+
+    Linked are SimHash neighbours, and texts whose five-word shingles have a
+    Jaccard similarity of 0.8 or more.
+    """
+    return simhash.representatives(docs, similar=(5, 0.8))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm.similar import ROUNDS, bands, links, shingles
 from privaudit.llm.storage import materialize, partitions_for
 
 _BLOCK = 8192
@@ -321,9 +322,12 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, extra:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None) -> DataFrame:
+def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None, similar: tuple[int, float] | None = None) -> DataFrame:
     """One row of ``documents`` per component, with all its columns: the smallest ``doc_id`` (null last), of repeated rows one.
 
+    With ``similar``, a number of words and a Jaccard similarity, texts whose
+    shingles of so many words are at least so similar are linked as well.
+
     Rows are numbered once, in a written table; what is grouped are numbers and
     fingerprints, so the texts of a large group never meet.
     """
@@ -332,13 +336,28 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), size) for t in batch.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=["number", "id", "row", "fp"])
+            found, keys = [], []
+            for value in batch.column(0):
+                text = value.as_py()
+                found.append(fingerprint(text, size))
+                keys.append(bands(shingles(text, similar[0])) if similar else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["number", "id", "row", "fp", "bands"])
 
     kinds = dict(inputs.dtypes)
-    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long"), "simhash-rows")
+    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, bands array<long>"), "simhash-rows")
     best = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best")), "simhash-best")
-    chosen = best.join(classes(best, radius, extra), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
+    merged = best.join(classes(best, radius, extra), "fp")
+    for pivots in ROUNDS if similar else ():
+        merged = materialize(merged.select("fp", "best", "root"), "simhash-merged")
+        kept = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"), F.lit(True).alias("kept"))
+        members = merged.select("fp", "root", F.col("best.number").alias("number")).join(kept, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        members = members.join(rows.select("number", "bands"), "number")
+        near = materialize(links(members, rows.select("number", F.col("row.text").cast("string").alias("text")), *similar, pivots), "simhash-similar")
+        of = merged.select("fp", "root")
+        ends = near.join(of.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
+        tops = materialize(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-tops")
+        merged = merged.join(F.broadcast(tops) if tops.count() <= _BROADCAST_ROWS else tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    chosen = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
     kept = rows.join(chosen, "number", "left_semi")
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
 

@@ -46,3 +46,22 @@ def test_order_and_edges(spark, small):
     rows = [(None, "same words here", "en", "s", 1), (9, "Same  words here", "en", "s", 1), (9, "Same  words here", "en", "s", 1), (None, "other", "en", "s", 1), (None, "other", "en", "s", 1), (9, "third text", None, None, None)]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), small).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == [(9, "Same  words here"), (9, "third text"), (None, "other")]
+
+
+def test_near_copies_at_similarity(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {}
+    for k in range(40):  # 10 consecutive words replaced: 14 of 2n shingles differ
+        words = [f"w{k}x{i}" for i in range(134 + k % 3)]
+        texts[10 * k] = " ".join(words)
+        texts[10 * k + 1] = " ".join([*words[:60], *(f"new{k}x{i}" for i in range(10)), *words[70:]])
+        texts[10 * k + 2] = " ".join([*words[:60], *(f"far{k}x{i}" for i in range(40)), *words[100:]])  # below 0.8
+
+    def near(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) >= 0.8 * len(x | y)
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), small).collect()}
+    assert all(near(texts[10 * k], texts[10 * k + 1]) and not near(texts[10 * k], texts[10 * k + 2]) for k in range(40))
+    assert kept == {10 * k + d for k in range(40) for d in (0, 2)}
