@@ -38,11 +38,10 @@ from privaudit.llm.storage import about
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "title", "object", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements, and words of class, id or role, that mark what is not the article.
+#: Elements, and whole tokens of class, id or role, that mark what is not the article.
 _OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 _OUTSIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "copyright", "disclaimer", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "reply", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "widget"}
 _CONTENT = ("article", "main")
@@ -79,7 +78,8 @@ class Page:
                 continue
             if name in _RAW and not found.group(3).rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+                # an unclosed one other than code ends at the next tag
+                at = end.end() if end else n if name in ("script", "style") or source.find("<", at) < 0 else source.index("<", at)
                 self._tag(name, stack)
                 continue
             self._open(name, found.group(3), stack)
@@ -104,7 +104,7 @@ class Page:
         marks: set[str] = set()
         if attributes:
             for m in _NAMES.finditer(attributes):
-                marks.update(_WORDS.findall((m.group(1) or m.group(2) or m.group(3) or "").lower()))
+                marks.update((m.group(1) or m.group(2) or m.group(3) or "").lower().split())
         out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         bad = name in _OUTSIDE or (name not in ("html", "body", *_CONTENT) and bool(marks & _OUTSIDE_WORDS))
         if name in _CONTENT and not inside:

@@ -272,3 +272,16 @@ def test_revisit_without_response_is_an_error(spark):
     df = spark.createDataFrame([("f", 0, "revisit", 2, 1, "X", 1, None, None)], schema)
     with pytest.raises(PySparkException, match="does not lead to its payload"):
         warc.resolve(df).collect()
+
+
+def test_main_text_keeps_wrapped_articles():
+    from privaudit.llm import main_text
+
+    for token in ("no-sidebar", "content-sidebar-wrap", "elementor-widget-container", "social-studies", "related-work"):
+        page = main_text.Page(f'<body><div class="{token}"><p>one two three four</p></div><div class="x sidebar"><p>five</p></div></body>')
+        assert page.text((0, len(page.tags))) == "one two three four"
+    for name in ("object", "canvas", "svg", "select"):
+        page = main_text.Page(f"<body><{name}>x<p>one two</p></body>")
+        assert page.text((0, len(page.tags))) == "one two"
+    page = main_text.Page("<body><p>one</p><script>x<p>two</p></body>")
+    assert page.text((0, len(page.tags))) == "one"
