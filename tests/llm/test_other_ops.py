@@ -195,15 +195,60 @@ def test_main_text_of_the_given_pages(spark, small):
 
 def test_scan_finds_the_best_part():
     rng = random.Random(8)
-    for _ in range(30):
-        source = "".join(rng.choice(["one two ", "<p>", "</p>", "<div>", "</div>", "w ", "<a>"]) for _ in range(25))
+    for _ in range(60):
+        source = "".join(rng.choice(["one two ", "<p>", "</p>", "<div>", "</div>", "w ", "<a>", "<nav>x y z</nav>"]) for _ in range(25))
         page, costs = main_text.Page(source), {"p": 0.5, "/p": 0.5, "div": 3.0, "/div": 3.0, "a": 1.5}
-        score = [(-costs.get(t, 1.0) if t is not None else (-w if o else w)) for t, w, o in zip(page.tags, page.words, page.outside)]
+        out = page.marked({"nav"})
+        score = [-costs.get(t, 1.0) if t is not None else float(w) for t, w in zip(page.tags, page.words)]
+        for e in out:
+            score[e[2] : e[3]] = [-4.0] + [0.0] * (e[3] - e[2] - 1)
         sums = [sum(score[a:b]) for a in range(len(score)) for b in range(a, len(score) + 1)] or [0]
-        a, b = page.region(costs, 1.0)
+        a, b = page.region(costs, 1.0, out, 4.0)
         assert sum(score[a:b]) == pytest.approx(max(0, max(sums)))
 
 
+def whole_page(source):
+    """The text if the scan is switched off: the whole page as region."""
+    weights = main_text.Weights([])
+    page = main_text.Page(source)
+    return page.text((0, len(page.tags)), page.marked(weights.marks))
+
+
+def test_the_scan_decides():
+    body = "<p>" + "word " * 30 + "</p><p>and <a href='x'>one link</a> more</p>"
+    links = "".join(f"<div><a href='/{k}'>Part</a></div>" for k in range(9))
+    source = f"<body>{links}<div>{body}</div><aside>x</aside><div>All rights reserved</div>{links}</body>"
+    labelled = [f"<body>{links}<article>{body}</article><div><a>Up</a></div></body>"] * 5
+    text = " ".join(["word"] * 30) + " and one link more"
+    assert main_text.Weights(labelled).text(source) == main_text.Weights([]).text(source) == text
+    assert "Part" in whole_page(source) and "rights" in whole_page(source)
+
+
+def test_marks_are_learnt():
+    labelled = [f"<body><div class='teaser box'>go there {k} now</div><article><div class='box'><p>the text {k}</p></div></article></body>" for k in range(10)]
+    weights = main_text.Weights(labelled)
+    assert ".teaser" in weights.marks and ".box" not in weights.marks and "div" not in weights.marks
+    inner = "<article><p>one two three</p><div class='teaser'>read on</div><p>four</p></article>"
+    assert weights.text(inner) == "one two three four" and main_text.Weights([]).text(inner) == "one two three read on four"
+
+
+def test_hostile_markup():
+    for name in ("svg", "select", "object", "textarea", "iframe", "title", "button", "template", "noscript", "canvas"):
+        assert main_text.Weights([]).text(f"<article><p>Hello <{name} x=1> world</p><p>this is the article text</p></article>") == "Hello world this is the article text", name
+    for tag in ("<script src=/js/>", "<script/>", "<SCRIPT x='/'>", "<style/>"):
+        end = "</" + tag[1:].split()[0].strip("/>").rstrip("/") + " >"
+        assert main_text.Weights([]).text(f"<p>here {tag}var leak = '<p>1</p>'; more leak{end} After all</p>") == "here After all"
+    assert main_text.Weights([]).text("<p>one two <a title=5\" tall\">three</a> four</p>") == "one two three four"
+    assert main_text.Weights([]).text("<p>one two <a title='x>three</a> four</p>") == "one two three four"
+    assert main_text.Weights([]).text("<article><h2 id='related'>Related work</h2><p class='x'>a < b & c</p></article>") == "Related work a < b & c"
+    import time
+
+    for part in ("<a ", "<b></i>", "<title>", "<a x='", "<svg>", "<p>", "</", "<article>x"):
+        started = time.time()
+        main_text.Weights([]).text(part * 60_000)
+        assert time.time() - started < 10, part
+
+
 def vectors(n=1500, d=24, seed=0):
     rng = np.random.default_rng(seed)
     X = rng.normal(size=(n, d)).astype(np.float32)
@@ -275,13 +320,8 @@ def test_revisit_without_response_is_an_error(spark):
 
 
 def test_main_text_keeps_wrapped_articles():
-    from privaudit.llm import main_text
-
-    for token in ("no-sidebar", "content-sidebar-wrap", "elementor-widget-container", "social-studies", "related-work"):
-        page = main_text.Page(f'<body><div class="{token}"><p>one two three four</p></div><div class="x sidebar"><p>five</p></div></body>')
-        assert page.text((0, len(page.tags))) == "one two three four"
-    for name in ("object", "canvas", "svg", "select"):
-        page = main_text.Page(f"<body><{name}>x<p>one two</p></body>")
-        assert page.text((0, len(page.tags))) == "one two"
-    page = main_text.Page("<body><p>one</p><script>x<p>two</p></body>")
-    assert page.text((0, len(page.tags))) == "one"
+    weights = main_text.Weights([])
+    for token in ("no-sidebar", "content-sidebar-wrap", "elementor-widget-container", "social-studies", "related-work", "sidebar"):
+        assert weights.text(f'<body><div class="{token}"><p>one two three four</p></div><div class="x sidebar"><p>five</p></div></body>') == "one two three four"
+    assert weights.text("<body class='menu'><div class='sidebar'><article>one</article></div></body>") == "one"
+    assert weights.text("<body><p>one</p><script>x<p>two</p></body>") == "one"
