@@ -2,8 +2,9 @@
 
 Intermediate tables go to the folder the session names in
 ``spark.checkpoint.dir``: every executor and the driver can read it, so a lost
-executor costs a re-read and never a re-computation.  Only where the setting is
-absent (tests on one machine) a temporary folder takes its place.
+executor costs a re-read and never a re-computation.  Where the setting is absent
+and the master is local (one machine), a temporary folder takes its place; on a
+cluster that is an error, since no other machine would see such a folder.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _LOCAL: dict[str, str] = {}
 
 
 def _local_base(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="privaudit-")
@@ -49,6 +52,28 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key counts as hot above so many rows, or above this share of all rows.
+_HOT_ROWS, _HOT_SHARE = 1024, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right``, which has each value of ``keys`` once, so that no hot key meets in one task.
+
+    Hot keys are counted first: those with more than ``_HOT_ROWS`` rows and more
+    than one ``_HOT_SHARE``-th of all rows, so there are at most ``_HOT_SHARE`` of
+    them.  Their rows of ``right`` are broadcast, all others are joined by
+    shuffle.  ``left`` is read three times: a written table.  ``how``: inner or left.
+    """
+    least = max(_HOT_ROWS, left.count() // _HOT_SHARE)
+    known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
+    hot = materialize(known.groupBy(*keys).count().where(F.col("count") > least).select(*keys), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    return marked.where("__hot").drop("__hot").join(few, keys, how).unionByName(marked.where("__hot is null").drop("__hot").join(right, keys, how))
+
+
 def about(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """About ``rows`` rows of ``df``, those with the smallest hashes of ``keys``; all rows if there are fewer.
 

@@ -11,14 +11,15 @@ as well.  Each piece that has a complete header is a candidate: it claims a
 length, so it names the offset of its successor.  A task follows the links that
 stay in its split, so each of its candidates knows where its chain leaves the
 split.  Pointer jumping over these exits, from offset zero of each file, finds
-the one true entry of each split, and only records on the chain from an entry
-stay: a record-like text inside a payload is never reached.  A chain that ends
-anywhere but at a file's end is an error.
+the one true entry of each split: a record-like text inside a payload is never
+reached.  A chain that ends anywhere but at a file's end is an error.  A second
+pass over the files walks from each split's entry and reads the payloads of the
+records on the chain only, so false candidates cost their header and no more.
 
 Offsets inside a split come from adding up lengths, and a split's own offset from
 the splits before it, so no reader internals are needed.  A payload of which one
 task does not see all, since it holds the version line and crosses the end of a
-split, is put together by a join on its offsets.
+split, is put together by a join on the splits that it lies in.
 
 Defined cases: a null payload is empty; a null url is an empty target; rows that
 repeat a ``page_id`` with the smallest id of their payload are responses each; a
@@ -30,19 +31,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm.storage import materialize, scratch
+from privaudit.llm.storage import materialize, scratch, spread_join
 
 MAGIC = "WARC/1.1\r\n"
-_HEAD_BYTES = 65536
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Rows about splits are broadcast up to so many, and joined beyond.
+_BROADCAST_ROWS = 100_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -55,8 +58,9 @@ def base32_sha1(payload: Column) -> Column:
 def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, records_per_file: int = 50_000) -> str:
     """Write ``page_id, url, html`` as WARC files; returns the folder.
 
-    Payloads are hashed where they are; only ids and digests are shuffled, and
-    pages meet the list of revisits alone.
+    Payloads are hashed where they are, and copies are found by ids and digests
+    alone.  Pages then meet the list of revisits, which Spark broadcasts up to the
+    session's threshold; a longer list costs one shuffle of the pages.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
@@ -65,7 +69,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     digests = materialize(rows.select("page_id", F.sha1("html").alias("sha1"), F.octet_length("html").alias("bytes")).where("page_id is not null").where(F.col("bytes") >= least_bytes), "warc-digests")
     # copies are counted before they are joined: a payload with one page never is
     first = digests.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = digests.join(first, ["sha1", "bytes"]).where("page_id <> first").select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "first").distinct()
+    again = spread_join(digests, first.drop("copies"), ["sha1", "bytes"]).where("page_id <> first").select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "first").distinct()
     again = materialize(again, "warc-revisits")
     joined = rows.join(again, (F.col("page_id") == F.col("again_id")) & (F.sha1("html") == F.col("again_sha1")), "left")
 
@@ -84,8 +88,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     return path
 
 
-_PIECES = "file string, block long, at long, size long, kind string, page_id long, refers_to long, digest string, length long, sha1 string, payload_bytes long, exit_at long, open boolean"
-_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("sha1", pa.string()), ("payload_bytes", pa.int64()), ("exit_at", pa.int64()), ("open", pa.bool_())])
+_LENGTH, _URN = re.compile("[0-9]{1,15}"), re.compile("<urn:page:(-?[0-9]{1,19})>")
 
 
 def parse_header(head: bytes) -> tuple[dict[str, str], int] | None:
@@ -99,78 +102,117 @@ def parse_header(head: bytes) -> tuple[dict[str, str], int] | None:
         if not colon or not name or b" " in name:
             return None
         fields.setdefault(name.decode("latin-1").lower(), value.strip().decode("utf-8", "replace"))
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    if not _LENGTH.fullmatch(fields.get("content-length", "")) or "warc-type" not in fields:
         return None
     return fields, end + 4
 
 
 def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number.lstrip("-").isdigit() else None
+    found = _URN.fullmatch(urn or "")
+    number = int(found[1]) if found else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
-class _Split:
-    """The candidates of one split; offsets count from the split's first piece."""
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each piece its row, its offset in its split, and itself with the version line that the reader took away."""
+    now, at, lead = None, 0, False
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != now:
+                now, at, lead = row[:2], 0, row[1] == 0  # before a file's first version line stands nothing, or no record
+            whole = row[2] if lead else MAGIC.encode() + row[2]
+            yield row, at, whole, lead
+            at, lead = at + len(whole), False
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
 
-    def __init__(self, file: str, block: int):
-        self.file, self.block, self.at, self.found, self.open = file, block, 0, [], []
+_CANDIDATES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("exit_at", pa.int64())])
 
-    def add(self, piece: bytes, leads: bool) -> None:
-        """``piece``: what stands after a version line, or, if ``leads``, before a file's first one."""
-        start = self.at
-        whole = piece if leads else MAGIC.encode() + piece
-        for c in self.open:  # candidates whose block goes on over this piece
-            self._feed(c, whole)
-        self.open = [c for c in self.open if c["left"] > 0]
-        self.at += len(whole)
-        head = None if leads else parse_header(piece[:_HEAD_BYTES])
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per split (its size, at -1), and one per record-like piece: where its chain leaves the split."""
+
+    def rows(now, size, found):
+        exits: dict[int, int] = {}
+        for start, end in reversed(found):
+            exits[start] = exits.get(end, end)
+        return _batch([(*now, -1, size, None), *((*now, start, end - start, exits[start]) for start, end in found)], _CANDIDATES)
+
+    now, size, found = None, 0, []
+    for row, at, whole, lead in _splits(batches):
+        if row[:2] != now:
+            if now is not None:
+                yield rows(now, size, found)
+            now, found = row[:2], []
+        size = at + len(whole)
+        head = None if lead else parse_header(row[2])
         if head:
-            fields, begin = head
-            length = int(fields["content-length"])
-            c = {"at": start, "fields": fields, "length": length, "end": start + len(MAGIC) + begin + length + 4, "left": length, "hash": hashlib.sha1(), "body": None, "pending": b"", "bytes": 0}
-            self.found.append(c)
-            self._feed(c, piece[begin:])
-            if c["left"] > 0:
-                self.open.append(c)
-
-    @staticmethod
-    def _feed(c: dict, data: bytes) -> None:
-        data = data[: c["left"]]
-        c["left"] -= len(data)
-        if c["body"] is None:  # the payload follows the HTTP header
-            c["pending"] += data
-            cut = c["pending"].find(b"\r\n\r\n")
+            found.append((at, at + len(MAGIC) + head[1] + int(head[0]["content-length"]) + 4))
+    if now is not None:
+        yield rows(now, size, found)
+
+
+class _Payload:
+    """Hashes a record's payload, which follows the HTTP header of its block."""
+
+    def __init__(self, length: int):
+        self.left, self.hash, self.bytes, self.pending = length, hashlib.sha1(), 0, b""
+
+    def feed(self, data: bytes) -> None:
+        data = data[: self.left]
+        self.left -= len(data)
+        if self.pending is not None:
+            self.pending += data
+            cut = self.pending.find(b"\r\n\r\n")
             if cut < 0:
                 return
-            data, c["body"], c["pending"] = c["pending"][cut + 4 :], True, b""
-        c["hash"].update(data)
-        c["bytes"] += len(data)
-
-    def batch(self) -> pa.RecordBatch:
-        ends = {c["at"]: c["end"] for c in self.found}
-        exits: dict[int, int] = {}
-        for c in reversed(self.found):
-            exits[c["at"]] = exits.get(c["end"], c["end"])
-        rows = [(self.file, self.block, -1, self.at, None, None, None, None, None, None, None, None, None)]  # the split itself
-        for c in self.found:
-            done = c["left"] == 0
-            digest = c["fields"].get("warc-payload-digest", "").removeprefix("sha1:")
-            rows.append((self.file, self.block, c["at"], ends[c["at"]] - c["at"], c["fields"]["warc-type"], _page(c["fields"].get("warc-record-id")), _page(c["fields"].get("warc-refers-to")), digest, c["length"], base64.b32encode(c["hash"].digest()).decode() if done else None, c["bytes"] if done else None, exits[c["at"]], not done))
-        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split = None
-    for batch in batches:
-        for file, block, piece in zip(*(c.to_pylist() for c in batch.columns)):
-            if split is None or (split.file, split.block) != (file, block):
-                if split is not None:
-                    yield split.batch()
-                split = _Split(file, block)
-            split.add(piece, leads=block == 0 and split.at == 0 and not split.found and not getattr(split, "led", False))
-            split.led = True
-    if split is not None:
-        yield split.batch()
+            data, self.pending = self.pending[cut + 4 :], None
+        self.hash.update(data)
+        self.bytes += len(data)
+
+    def digest(self) -> str:
+        return base64.b32encode(self.hash.digest()).decode()
+
+
+_RECORDS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("payload_bytes", pa.int64()), ("sha1", pa.string()), ("open", pa.bool_())])
+_RECORD_COLUMNS = "file string, start long, stop long, kind string, page_id long, refers_to long, digest string, length long, payload_bytes long, sha1 string, open boolean"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records on the chain from each split's entry; ``open``: the split does not hold all of the payload."""
+    now, expected, reading, out = None, None, None, []
+
+    def close():
+        nonlocal reading
+        if reading is not None:
+            fields, start, stop, payload = reading
+            done = payload.left == 0
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+            out.append((now[0], start, stop, fields["warc-type"], _page(fields.get("warc-record-id")), _page(fields.get("warc-refers-to")), digest, int(fields["content-length"]), payload.bytes if done else None, payload.digest() if done else None, not done))
+            reading = None
+
+    for row, at, whole, lead in _splits(batches):
+        file, block, piece, base, entry = row
+        if (file, block) != now:
+            close()
+            now, expected = (file, block), entry
+        if base + at == expected and not lead:
+            close()
+            fields, begin = parse_header(piece)
+            stop = expected + len(MAGIC) + begin + int(fields["content-length"]) + 4
+            reading = (fields, expected, stop, _Payload(int(fields["content-length"])))
+            reading[3].feed(piece[begin:])
+            expected = stop
+        elif reading is not None:
+            reading[3].feed(whole)
+        if len(out) >= 1000:
+            yield _batch(out, _RECORDS)
+            out.clear()
+    close()
+    yield _batch(out, _RECORDS)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -178,18 +220,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each split's candidates (sorted by offset) those on the chain from its entry."""
-    now, expected = None, None
-    for batch in batches:
-        keep = []
-        for file, block, at, end, entry in zip(*(batch.column(k).to_pylist() for k in ("file", "block", "start", "stop", "entry"))):
-            if (file, block) != now:
-                now, expected = (file, block), entry
-            keep.append(at == expected)
-            if at == expected:
-                expected = end
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -198,16 +230,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``file, start, kind, page_id, refers_to, digest`` (as the header says),
     ``length, payload_bytes, sha1`` (of the payload read).
     """
+    columns = ["file", "start", "kind", "page_id", "refers_to", "digest", "length", "payload_bytes", "sha1"]
     if spark.read.text(path).isEmpty():
-        return spark.createDataFrame([], "file string, start long, kind string, page_id long, refers_to long, digest string, length long, payload_bytes long, sha1 string")
-    scanned = materialize(_pieces(spark, path).mapInArrow(_scan, _PIECES), "warc-candidates")
+        return spark.createDataFrame([], _RECORD_COLUMNS).select(columns)
+    scanned = materialize(_pieces(spark, path).mapInArrow(_candidates, "file string, block long, at long, size long, exit_at long"), "warc-candidates")
     # where each split begins: a row per split
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = scanned.where("at < 0").select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), F.col("size").alias("held"), F.sum("size").over(Window.partitionBy("file")).alias("file_size"))
     splits = materialize(splits, "warc-splits")
     known = scanned.where("at >= 0").join(splits, ["file", "block"])
-    offsets = known.withColumns({"start": F.col("base") + F.col("at"), "stop": F.col("base") + F.col("at") + F.col("size"), "leaves": F.col("base") + F.col("exit_at")})
-    candidates = materialize(offsets.drop("at", "size", "exit_at", "base", "held"), "warc-offsets")
+    candidates = materialize(known.select("file", "block", (F.col("base") + F.col("at")).alias("start"), (F.col("base") + F.col("exit_at")).alias("leaves")), "warc-offsets")
 
     # pointer jumping over the splits' exits: reach doubles each time
     jumps = candidates.select("file", "start", F.col("leaves").alias("to"))
@@ -223,65 +255,69 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         ahead = jumps.select("file", F.col("start").alias("to"), F.col("to").alias("next"))
         jumps = materialize(jumps.join(ahead, ["file", "to"], "left").select("file", "start", F.coalesce("next", "to").alias("to")), "warc-jumps")
 
-    entries = candidates.join(reached, ["file", "start"]).groupBy("file", "block").agg(F.min("start").alias("entry"))
     ends = reached.join(splits.select("file", "file_size").distinct(), "file").where("start = file_size")
     files = splits.where("held > 0").select("file").distinct()
     if not files.join(ends, "file", "left_anti").isEmpty():
         raise ValueError("a chain of records does not lead from its file's start to its end")
-
-    sized = candidates.join(entries, ["file", "block"]).select("file", "block", "start", "stop", "entry", "kind", "page_id", "refers_to", "digest", "length", "payload_bytes", "sha1", "open")
-    true = sized.repartition("file", "block").sortWithinPartitions("file", "block", "start").mapInArrow(_walk, sized.schema)
-    true = materialize(true, "warc-records")
-    columns = ["file", "start", "kind", "page_id", "refers_to", "digest", "length", "payload_bytes", "sha1"]
-    cut = true.where("open")
+    # a row per split that a record starts in
+    entries = candidates.join(reached, ["file", "start"]).groupBy("file", "block").agg(F.min("start").alias("entry"))
+    entries = materialize(splits.join(entries, ["file", "block"]).select("file", "block", "base", "entry"), "warc-entries")
+
+    if entries.count() <= _BROADCAST_ROWS:
+        placed = _pieces(spark, path).join(F.broadcast(entries), ["file", "block"])
+    else:  # pieces of a split come together again, in the order in which they were read
+        order = F.monotonically_increasing_id().alias("order")
+        placed = _pieces(spark, path).select("*", order).join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "order")
+    records = materialize(placed.select("file", "block", "piece", "base", "entry").mapInArrow(_records, _RECORD_COLUMNS), "warc-records")
+    cut = records.where("open")
     if cut.isEmpty():
-        return true.select(columns)
-    return true.where("not open").select(columns).union(_whole(spark, path, cut, splits).select(columns))
+        return records.select(columns)
+    return records.where("not open").select(columns).union(_whole(spark, path, cut, splits).select(columns))
 
 
 def _whole(spark: SparkSession, path: str, cut: DataFrame, splits: DataFrame) -> DataFrame:
-    """Payloads that no single task saw: their pieces are joined by offset and hashed in order."""
+    """Payloads that no single task saw: their pieces are joined by the splits they lie in and hashed in order.
+
+    A split has at most one such record, its last, and rows about splits and
+    records are all that meet by file.
+    """
 
     def place(batches):
-        now, at = None, 0
-        for batch in batches:
-            rows = []
-            for file, block, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, block) != now:
-                    now, at, lead = (file, block), 0, block == 0
-                whole = piece if lead else MAGIC.encode() + piece
-                rows.append((file, block, at, whole))
-                at, lead = at + len(whole), False
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["file", "block", "at", "piece"])
-
-    wanted = cut.select("file", "start", "stop")
-    pieces = _pieces(spark, path).join(wanted.select("file").distinct(), "file", "left_semi").select("file", "block", "piece")
-    placed = pieces.mapInArrow(place, "file string, block long, at long, piece binary").join(splits.select("file", "block", "base"), ["file", "block"])
-    placed = placed.select(F.col("file").alias("of"), (F.col("base") + F.col("at")).alias("from"), "piece")
-    held = wanted.join(placed, (F.col("file") == F.col("of")) & (F.col("from") < F.col("stop")) & (F.col("from") + F.octet_length("piece") > F.col("start")))
-    held = held.repartition("file", "start").sortWithinPartitions("file", "start", "from").select("file", "start", "stop", "from", "piece")
+        schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("piece", pa.binary())])
+        rows: list[tuple] = []
+        size = 0
+        for row, at, whole, _ in _splits(batches):
+            rows.append((*row[:2], at, whole))
+            size += len(whole)
+            if size > 8 << 20:
+                yield _batch(rows, schema)
+                rows, size = [], 0
+        yield _batch(rows, schema)
+
+    over = splits.select("file", "block", "base", (F.col("base") + F.col("held")).alias("end"))
+    wanted = over.join(cut.select("file", "start", "stop"), "file").where("base < stop and end > start").select("file", "block", "base", "start", "stop")
+    wanted = materialize(wanted, "warc-cut")
+    placed = _pieces(spark, path).mapInArrow(place, "file string, block long, at long, piece binary").join(_few(wanted), ["file", "block"])
+    held = placed.select("file", "start", "stop", (F.col("base") + F.col("at")).alias("from"), "piece").where((F.col("from") < F.col("stop")) & (F.col("from") + F.octet_length("piece") > F.col("start")))
+    held = held.repartition("file", "start").sortWithinPartitions("file", "start", "from")
 
     def hashed(batches):
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("payload_bytes", pa.int64()), ("sha1", pa.string())])
-        now, split = None, None
+        now, payload = None, None
         rows: list[tuple] = []
-
-        def close():
-            if split is not None:
-                c = split.found[0]
-                rows.append((now[0], now[1], c["bytes"], base64.b32encode(c["hash"].digest()).decode()))
-
         for batch in batches:
-            for file, start, _, begin, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, start) != now:
-                    close()
-                    now, split = (file, start), _Split(file, 0)
-                    split.add(piece[start - begin + len(MAGIC) :], leads=False)
-                else:
-                    for c in split.found[:1]:
-                        split._feed(c, piece)
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)
+            for file, start, piece in zip(*(batch.column(k).to_pylist() for k in ("file", "start", "piece"))):
+                if (file, start) == now:
+                    payload.feed(piece)
+                    continue
+                if now is not None:
+                    rows.append((*now, payload.bytes, payload.digest()))
+                now, head = (file, start), parse_header(piece[len(MAGIC) :])
+                payload = _Payload(int(head[0]["content-length"]))
+                payload.feed(piece[len(MAGIC) + head[1] :])
+        if now is not None:
+            rows.append((*now, payload.bytes, payload.digest()))
+        yield _batch(rows, schema)
 
     found = held.mapInArrow(hashed, "file string, start long, payload_bytes long, sha1 string")
     return cut.drop("payload_bytes", "sha1").join(found, ["file", "start"])
@@ -297,6 +333,6 @@ def resolve(records: DataFrame) -> DataFrame:
     wrong = F.when(F.col("sha1") != F.col("digest"), F.raise_error(F.lit("a payload does not have the digest that its header states"))).otherwise(F.col("sha1"))
     own = responses.select("page_id", "payload_bytes", wrong.alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", "digest", F.col("kind").alias("record_type"))
-    targets = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", F.col("sha1").alias("found")).distinct()
+    targets = responses.select(F.col("page_id").alias("refers_to"), F.col("digest"), "payload_bytes", F.col("sha1").alias("found")).distinct()
     lost = F.when(F.col("found").isNull() | (F.col("found") != F.col("digest")), F.raise_error(F.lit("a revisit does not lead to its payload"))).otherwise(F.col("found"))
-    return own.union(revisits.join(targets, "refers_to", "left").select("page_id", "payload_bytes", lost.alias("payload_digest"), "record_type", "refers_to"))
+    return own.union(spread_join(materialize(revisits, "warc-revisits"), targets, ["refers_to", "digest"], "left").select("page_id", "payload_bytes", lost.alias("payload_digest"), "record_type", "refers_to"))

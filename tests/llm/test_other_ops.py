@@ -120,6 +120,15 @@ def test_warc_files_are_plain_warc(spark, tmp_path):
         warc.read_archives(spark, path)
 
 
+def test_warc_long_headers_and_many_false_candidates(spark):
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999999\r\n\r\n"
+    rows = [(1, "data:" + "u" * 1_000_000, "one"), (2, "u", fake * 30_000), (3, "u", "WARC/1.1\r\nWARC-Type: x\r\nContent-Length: " + "9" * 6000 + "\r\n\r\n"), (4, "u", "end"), (5, "u", fake), (5, "u", "twice"), (7, "u", fake), (8, "u", "twice")]
+    rows += [(100 + k, "u", "hot") for k in range(1500)]  # more than a hot key's rows
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = warc.resolve(warc.read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_warc(rows), key=str)
+
+
 def test_warc_thresholds_and_empty(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]
