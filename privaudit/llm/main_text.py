@@ -303,7 +303,7 @@ class Weights:
         for scale in _SCALES:
             costs = {t: min(_MOST, max(_LEAST, scale * v)) for t, v in logs.items()}
             for gap in _GAPS:
-                f1 = [2 * b / max(1, m + t) for b, m, t in (p.agreement(p.region(costs, _LEAST, out, gap), out) for p, out in zip(parsed, left))]
+                f1 = [2 * b / max(1, m + t) for b, m, t in (p.agreement(p.region(costs, _LEAST, out, gap, known=False), out) for p, out in zip(parsed, left))]
                 found[scale, gap] = sum(f1) / max(1, len(f1))
         good = [k for k, v in found.items() if v >= max(found.values()) - 1e-9]
         scale, self.gap = good[len(good) // 2]
