@@ -153,13 +153,55 @@ def test_packing(spark, docs, tokenizer):
 def test_packing_with_given_shares_and_many_sources(spark, docs, tokenizer):
     given = packing.pack(make(spark, docs), tokens.default_tokenizer(), window=1, shares={"hot": 0.5, "b": 0.5}).collect()
     check_packing(given, docs, tokenizer)
-    dealt = packing.pack(make(spark, docs), tokens.default_tokenizer(), max_queues=2).collect()
-    check_packing(dealt, docs, tokenizer)
     ids = packing.pack(make(spark, docs[:5]), tokens.default_tokenizer(), with_ids=True).collect()
     assert all(len(r["ids"]) == 2 * r["length"] for r in ids)
     assert packing.pack(make(spark, []), tokens.default_tokenizer()).collect() == []
 
 
+def test_packing_of_many_sources_keeps_the_shares(spark, tokenizer, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(1, 30))), f"s{i % 2000}", 0) for i in range(4000)]
+    rows += [(4000 + i, " ".join(["delta"] * 900), "wanted", 0) for i in range(40)]
+    shares = {f"s{k}": 0.1 / 2000 for k in range(2000)} | {"wanted": 0.9}
+    for queues in (16_384, 1_500 if monkeypatch.setattr(packing, "_SHARED", 20) is None else 0):
+        given = shares if queues > 2000 else {"wanted": 0.9} | {f"s{k}": 0.1 / 400 for k in range(400)}
+        pieces = packing.pack(make(spark, rows), tokens.default_tokenizer(), window=4, shares=given, max_queues=queues).collect()
+        check_packing(pieces, rows, tokenizer)
+        served = {}
+        for r in pieces:
+            if r["queue"] == "wanted":
+                served[r["window_id"]] = served.get(r["window_id"], 0) + r["length"]
+        total = sum(given.values())
+        whole = [w for w in sorted(served) if sum(served.values()) - sum(served[v] for v in served if v <= w) > 4096]
+        assert len(whole) >= 3 and all(abs(served[w] - 4096 * 0.9 / total) <= 2 for w in whole[: None if queues > 2000 else 3])  # then short sources run dry
+    with pytest.raises(ValueError, match="more shares"):
+        packing.pack(make(spark, rows), tokens.default_tokenizer(), shares=shares, max_queues=100)
+
+
+def test_windows_of_a_deep_tree(monkeypatch):
+    """Small fans and blocks: the tree has many levels; every id has one place and windows keep the mixture."""
+    monkeypatch.setattr(packing, "_FAN", 3)
+    monkeypatch.setattr(packing, "_BLOCKS", (2, 2))
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 500)
+    totals = [901, 333, 0, 57, 5]
+    plan = packing.Plan(totals, totals, 4, 8)
+    seen, windows = {}, {}
+    for q, n in enumerate(totals):
+        at = 0
+        while at < n:
+            step = min(7, n - at)
+            for position, length in plan.runs(q, at, step) if n else ():
+                for k in range(length):
+                    assert position + k not in seen
+                    seen[position + k] = q
+                    windows.setdefault((position + k) // 32, []).append(q)
+            at += step
+    assert sorted(seen) == list(range(sum(totals)))
+    for w in range(sum(totals) // 32):
+        for q, n in enumerate(totals):
+            assert abs(windows[w].count(q) - 32 * n / sum(totals)) <= 2
+
+
 def test_deficit_round_robin():
     rng = np.random.default_rng(0)
     for _ in range(50):
