@@ -1,21 +1,27 @@
 """Quality classifier by importance resampling.
 
-Two hashed n-gram models describe target text (labelled good and not toxic) and
-raw text (all documents): word-shape bigrams with their order, and word unigrams
-by the documents they stand in.  A document's log importance weight is the ratio
-of its probability under target and raw text; Gumbel noise is added and the k
-largest sums stay, which samples k documents without replacement in proportion
-to their weights.
-
-* Shapes: a word's case, trailing signs, letters or others, and whether it
-  repeats the word before.  Counts come from all documents; the target's counts
-  are smoothed towards the raw counts (``_PRIOR`` occurrences).  Raw text holds
-  target text with the share seen in the labels, so this ratio is at most the
-  inverse of that share.
-* Words: hashed to ``_BUCKETS``.  A bucket counts where the target should have
-  shown it ``_EXPECTED`` times, judged by all documents and by the labelled ones,
-  and shows at most ``exp(_ESTABLISHED)`` of that; other buckets have ratio one,
-  so words of few documents or of one group of copies decide nothing.
+Hashed n-gram models describe target text (labelled good and not toxic) and raw
+text (all documents).  A document's log importance weight is the ratio of its
+probability under target and raw text; Gumbel noise is added and the k largest
+sums stay, which samples k documents without replacement in proportion to their
+weights.
+
+* Words and beginnings: a word's core (without outer signs, lower case) is an
+  n-gram, and so are its first 5, 6 and 7 characters, each seen at least once, at
+  least twice and at least four times in the document, so that a family of words
+  counts though each of them is rare.  All are hashed to ``_BUCKETS`` and counted by
+  the documents they stand in.  The target's expected count follows from all
+  documents and from the labelled ones, whichever gives less, so that a group of
+  copies does not speak for itself.  A bucket's log ratio of shown to expected
+  count, smoothed by one, moves towards zero by ``_ERRORS`` of its standard error;
+  all buckets count, the well-established ones in full.
+* Shapes: bigrams of a word's case, trailing signs, letters or others, and whether
+  it repeats the word before, by occurrence; the target's counts are smoothed
+  towards the raw counts (``_PRIOR`` occurrences).
+
+Raw text holds target text with the share seen in the labels, so no ratio exceeds
+the inverse of that share: what speaks for a document is cut there, for both
+models, and does not outweigh what speaks against it.
 
 ``k`` is, unless given, the expected number of documents whose weight with noise
 exceeds ``exp(threshold)``.  Noise depends on ``doc_id`` and ``seed`` only.
@@ -44,35 +50,40 @@ from pyspark.sql import functions as F
 from privaudit.llm.storage import about, materialize
 from privaudit.llm.tokens import listed
 
-_BUCKETS = 1 << 20
+_BUCKETS = 1 << 22
 _SHAPES = 72
 _BIGRAMS = (_SHAPES + 1) * (_SHAPES + 1)
-_PRIOR, _WORD_PRIOR, _EXPECTED, _ESTABLISHED = 4.0, 1.0, 10.0, -1.6
+_PRIOR, _ERRORS = 4.0, 1.5
+_BEGINNINGS, _TIMES = (5, 6, 7), (1, 2, 4)
 _SIGNS = b".,;:!?#%&*$|\"'()[]{}<>-_=+/\\"
 _ROWS = 2000
+#: Counting tasks a core.
+_TASKS = 8
 
-_KNOWN: dict[str, tuple[int, int]] = {}
+_KNOWN: dict[str, tuple[int, ...]] = {}
 
 
-def _word(word: str) -> tuple[int, int]:
-    """The hash of a word's core, and its shape without the repeat mark."""
+def _word(word: str) -> tuple[int, ...]:
+    """The hash of a word's core, its shape without the repeat mark, and the hashes of its beginnings (or -1)."""
     raw = word.encode("utf-8", "surrogatepass")
     core = raw.strip(_SIGNS)
     tail = len(raw) - len(raw.rstrip(_SIGNS))
     case = 0 if word.islower() else 1 if word.isupper() and len(word) > 1 else 2
     other = not (core.isalpha() or core[:1] >= b"\x80")
-    return zlib.crc32(core.lower()), case + 3 * min(tail, 2) + 9 * (not core) + 36 * other
+    letters = core.decode("utf-8", "surrogatepass").lower()
+    begins = (zlib.crc32(letters[:k].encode("utf-8", "surrogatepass"), k) if len(letters) > k else -1 for k in _BEGINNINGS)
+    return zlib.crc32(core.lower()), case + 3 * min(tail, 2) + 9 * (not core) + 36 * other, *begins
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the words of all texts: the text's index, the core's hash, the shape bigram."""
+    """For the words of all texts: the text's index, the hashes of core and beginnings, the shape bigram."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.values)
     distinct = listed(coded.dictionary)
-    if len(_KNOWN) > 300_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
-    table = np.empty((len(distinct) + 1, 2), np.int64)
+    table = np.empty((len(distinct) + 1, 2 + len(_BEGINNINGS)), np.int64)
     for i, w in enumerate(distinct):
         found = _KNOWN.get(w)
         if found is None:
@@ -85,31 +96,42 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index = coded.indices.to_numpy(zero_copy_only=False)
     present = np.array([w != "" for w in distinct] or [False], bool)[index] if len(index) else np.zeros(0, bool)
     owner, index = owner[present], index[present]
-    core, shape = table[index, 0], table[index, 1].copy()
+    core, shape = table[index, 0], table[index, 1]
     first = np.ones(len(owner), bool)
     first[1:] = owner[1:] != owner[:-1]
     shape[1:] += 18 * ((core[1:] == core[:-1]) & ~first[1:])
     before = np.empty_like(shape)
     before[1:] = shape[:-1]
     before[first] = _SHAPES
-    return owner, core, before * (_SHAPES + 1) + shape
+    return owner, np.column_stack([core, table[index, 2:]]), before * (_SHAPES + 1) + shape
+
+
+def buckets(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's n-grams, once each: the text's index and the bucket."""
+    found = [np.unique(owner * _BUCKETS + hashes[:, 0] % _BUCKETS)]
+    known = hashes[:, 1:] >= 0
+    begins, times = np.unique((owner[:, None] * _BUCKETS + hashes[:, 1:] % _BUCKETS)[known], return_counts=True)
+    for n in _TIMES:  # another bucket for each number of times
+        some = begins[times >= n]
+        found.append(some // _BUCKETS * _BUCKETS + (some % _BUCKETS * 40_503 + n * 7_368_787) % _BUCKETS)
+    both = np.unique(np.concatenate(found))
+    return both // _BUCKETS, both % _BUCKETS
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shape bigrams (raw, target) by occurrence; word buckets (raw, labelled, target) by document."""
-    shapes, words, rows = np.zeros((2, _BIGRAMS), np.int64), np.zeros((3, _BUCKETS), np.int64), np.zeros(3, np.int64)
+    """Shape bigrams (raw, target) by occurrence; n-gram buckets (raw, labelled, target) by document."""
+    shapes, words, rows = np.zeros((2, _BIGRAMS), np.int64), np.zeros((3, _BUCKETS), np.int32), np.zeros(3, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, _ROWS):
             part = batch.slice(at, _ROWS)
             label = part.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            owner, core, bigram = features(part.column(0))
+            owner, hashes, bigram = features(part.column(0))
             shapes[0] += np.bincount(bigram, minlength=_BIGRAMS)
             shapes[1] += np.bincount(bigram[label[owner] == 1], minlength=_BIGRAMS)
-            once = np.unique(owner * _BUCKETS + core % _BUCKETS)
-            owner, bucket = once // _BUCKETS, once % _BUCKETS
-            words[0] += np.bincount(bucket, minlength=_BUCKETS)
-            words[1] += np.bincount(bucket[label[owner] >= 0], minlength=_BUCKETS)
-            words[2] += np.bincount(bucket[label[owner] == 1], minlength=_BUCKETS)
+            owner, bucket = buckets(owner, hashes)
+            np.add.at(words[0], bucket, 1)
+            np.add.at(words[1], bucket[label[owner] >= 0], 1)
+            np.add.at(words[2], bucket[label[owner] == 1], 1)
             rows += [len(label), int((label >= 0).sum()), int((label == 1).sum())]
     seen, used = np.flatnonzero(shapes[0]), np.flatnonzero(words[0])
     none = np.zeros(len(seen), np.int64)
@@ -117,45 +139,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [
             pa.array(np.concatenate([np.zeros(len(seen), np.int32), np.ones(len(used), np.int32), [2]]).astype(np.int32)),
             pa.array(np.concatenate([seen, used, [0]]).astype(np.int32)),
-            pa.array(np.concatenate([shapes[0][seen], words[0][used], rows[:1]])),
-            pa.array(np.concatenate([none, words[1][used], rows[1:2]])),
-            pa.array(np.concatenate([shapes[1][seen], words[2][used], rows[2:]])),
+            pa.array(np.concatenate([shapes[0][seen], words[0][used], rows[:1]]).astype(np.int64)),
+            pa.array(np.concatenate([none, words[1][used], rows[1:2]]).astype(np.int64)),
+            pa.array(np.concatenate([shapes[1][seen], words[2][used], rows[2:]]).astype(np.int64)),
         ],
         names=["family", "bucket", "raw", "labelled", "target"],
     )
 
 
 class Model:
-    """Log ratios: dense for shape bigrams, established word buckets only, and the share of target text."""
+    """Log ratios of shape bigrams and of n-gram buckets, and the share of target text."""
 
     def __init__(self, shapes: np.ndarray, words: dict[int, float], share: float):
         self.shapes, self.share = shapes, share
         self.buckets = np.array(sorted(words), np.int64)
-        self.ratios = np.array([words[b] for b in sorted(words)])
+        self.ratios = np.array([words[b] for b in sorted(words)], np.float32)
+
+    def dense(self) -> np.ndarray:
+        if not hasattr(self, "_dense"):
+            self._dense = np.zeros(_BUCKETS, np.float32)
+            self._dense[self.buckets] = self.ratios
+        return self._dense
 
     def weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words and log importance weight of each text."""
-        owner, core, bigram = features(texts)
+        most = -math.log(self.share)
+        owner, hashes, bigram = features(texts)
         n = np.bincount(owner, minlength=len(texts))
-        shape = np.bincount(owner, self.shapes[bigram], len(texts))
-        weight = np.minimum(shape, -math.log(self.share))
+        weight = np.minimum(np.bincount(owner, self.shapes[bigram], len(texts)), most)
         if len(self.buckets):
-            bucket = core % _BUCKETS
-            at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-            hit = self.buckets[at] == bucket
-            once = np.unique(owner[hit] * _BUCKETS + bucket[hit])
-            weight += np.bincount(once // _BUCKETS, self.ratios[np.searchsorted(self.buckets, once % _BUCKETS)], len(texts))
+            owner, bucket = buckets(owner, hashes)
+            ratio = self.dense()[bucket].astype(np.float64)
+            weight += np.minimum(np.bincount(owner, np.maximum(ratio, 0), len(texts)), most) + np.bincount(owner, np.minimum(ratio, 0), len(texts))
         return n, weight
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Model:
     """Count the models over all documents; see the module's description."""
+    spark = documents.sparkSession
     usable = labels.where("doc_id is not null and quality is not null")
     by_doc = usable.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("label"))
     sample = materialize(about(materialize(by_doc, "quality-labels"), label_rows, "labelled_id"), "quality-sample")
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("labelled_id"), "left").select("text", "label")  # about label_rows rows at most
-    counts = labelled.mapInArrow(_count, "family int, bucket int, raw long, labelled long, target long")
+    # a task emits a row for each bucket it has seen: few large tasks, so that the counts stay small beside the texts
+    counts = labelled.coalesce(_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(_count, "family int, bucket int, raw long, labelled long, target long")
     counts = materialize(counts.groupBy("family", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))), "quality-counts")
     sums = {r["family"]: r for r in counts.groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))).collect()}
     shapes = np.zeros(_BIGRAMS)
@@ -164,11 +192,13 @@ def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Mo
     scale = sums[0]["target"] / sums[0]["raw"]
     for r in counts.where("family = 0").collect():  # at most _BIGRAMS rows
         shapes[r["bucket"]] = math.log((r["target"] + _PRIOR) / (r["raw"] * scale + _PRIOR))
-    w = sums[1]
-    expected = F.least(F.col("raw") * F.lit(w["target"] / w["raw"]), F.col("labelled") * F.lit(w["target"] / w["labelled"]))
-    ratio = F.log((F.col("target") + F.lit(_WORD_PRIOR)) / (expected + F.lit(_WORD_PRIOR)))
-    found = counts.where("family = 1").select("bucket", expected.alias("e"), ratio.alias("ratio")).where((F.col("e") >= _EXPECTED) & (F.col("ratio") < _ESTABLISHED))
-    return Model(shapes, {r["bucket"]: r["ratio"] for r in found.collect()}, sums[2]["target"] / sums[2]["labelled"])  # at most _BUCKETS rows
+    n = sums[2]
+    expected = F.least(F.col("raw") * F.lit(n["target"] / n["raw"]), F.col("labelled") * F.lit(n["target"] / n["labelled"]))
+    shown, e = F.col("target") + F.lit(1.0), F.col("expected") + F.lit(1.0)
+    ratio, error = F.log(shown / e), F.sqrt(1 / shown + 1 / e)
+    sure = F.signum(ratio) * F.greatest(F.abs(ratio) - F.lit(_ERRORS) * error, F.lit(0.0))
+    found = counts.where("family = 1").select("bucket", "target", expected.alias("expected")).select("bucket", sure.alias("ratio")).where("ratio <> 0")
+    return Model(shapes, {r["bucket"]: r["ratio"] for r in found.collect()}, n["target"] / n["labelled"])  # at most _BUCKETS rows
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -209,7 +239,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -5.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -4.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
     """The k documents with the largest weight and noise.
 
     ``doc_id, n_words, log_weight, key``; with ``rows``, the chosen rows of

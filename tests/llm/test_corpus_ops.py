@@ -374,6 +374,60 @@ def test_quality(spark, labelled):
     assert quality.resample(make(spark, rows), tags, rows=True).columns == ["doc_id", "text", "source", "extra"]
 
 
+def test_quality_weights_equal_brute_force(spark, labelled):
+    rows, labels = labelled
+    rows = [*rows, (900, None, "s", 1), (901, "stonewalker stonewall stonewalks Stonewalled, stoneware", "s", 2)]
+    good = {i: q == 1 and t == 0 for i, q, t in labels}
+    core = lambda w: w.strip(quality._SIGNS.decode()).lower()
+
+    def grams(text):
+        words, begins = {core(w) for w in (text or "").split()}, {}
+        for w in map(core, (text or "").split()):
+            for k in (5, 6, 7):
+                if len(w) > k:
+                    begins[w[:k]] = begins.get(w[:k], 0) + 1
+        return words | {(b, n) for b, times in begins.items() for n in (1, 2, 4) if times >= n}
+
+    raw, tagged, target = {}, {}, {}
+    for i, t, *_ in rows:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            tagged[g] = tagged.get(g, 0) + (i in good)
+            target[g] = target.get(g, 0) + good.get(i, False)
+    n, share = sum(good.values()), sum(good.values()) / len(good)
+
+    def ratio(g):
+        e = min(raw[g] * n / len(rows), tagged[g] * share) + 1
+        r, error = math.log((target[g] + 1) / e), math.sqrt(1 / (target[g] + 1) + 1 / e)
+        return math.copysign(max(abs(r) - 1.5 * error, 0), r)
+
+    shapes, all_shapes = {}, {}
+    for i, t, *_ in rows:
+        for b in quality.features(pa.array([t], pa.string()))[2].tolist():
+            all_shapes[b] = all_shapes.get(b, 0) + 1
+            shapes[b] = shapes.get(b, 0) + good.get(i, False)
+    scale = sum(shapes.values()) / sum(all_shapes.values())
+    model = quality.fit(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    _, got = model.weights(pa.array([r[1] for r in rows], pa.string()))
+    for (_, t, *_), w in zip(rows, got.tolist()):
+        found = [ratio(g) for g in grams(t)]
+        shape = sum(math.log((shapes[b] + 4) / (all_shapes[b] * scale + 4)) for b in quality.features(pa.array([t], pa.string()))[2].tolist())
+        assert w == pytest.approx(min(shape, -math.log(share)) + min(sum(x for x in found if x > 0), -math.log(share)) + sum(x for x in found if x < 0), abs=1e-4)
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels, documents = spark.read.parquet(f"{folder}/labels.parquet"), spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"] for r in quality.resample(documents, labels.where("doc_id % 2 = 0")).select("doc_id").collect()}
+    rates = {}
+    for r in labels.where("doc_id % 2 = 1").collect():
+        kind = "toxic" if r["toxic"] else "good" if r["quality"] else "low"
+        rates.setdefault(kind, []).append(r["doc_id"] in kept)
+    rates = {k: sum(v) / len(v) for k, v in rates.items()}
+    print(rates)
+    assert rates["good"] >= 0.99 and rates["toxic"] <= 0.25 and rates["low"] <= 0.05
+
+
 def test_quality_k_and_edges(spark, labelled):
     rows, labels = labelled
     tags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
