@@ -1,21 +1,28 @@
 """Nearest neighbours by multi-index hashing.
 
-Vectors become binary codes by a learned rotation (iterative quantisation of the
-principal axes, fitted on about ``sample_rows`` rows, those with the smallest
-hashes of ``vec_id``: the documented bound; every row is indexed).  A code is split into
-substrings of eight bits, each indexed by its value.  If a code differs from a
-query's in at most ``radius`` bits, one of its m substrings differs in at most
+Vectors become binary codes by learned rotations: iterative quantisation of the
+principal axes, ``_WIDTH`` of them one after the other so that a code has more bits
+than a vector components.  They are fitted on about ``sample_rows`` rows, those with
+the smallest hashes of ``vec_id`` (the documented bound); every row is indexed.  A
+code is split into m substrings, each indexed by its value.  If a code differs from
+a query's in at most ``radius`` bits, one of its substrings differs in at most
 ``radius // m``, so probing each index with all values that near retrieves every
-code within the radius.  These are checked and their vectors re-ranked by
-Euclidean distance in double precision.
+code within the radius.
+
+Index rows (a code's substring number and value, the code, no vector) and probes meet
+by shuffle on (substring number, value); buckets above ``block_rows`` rows are split
+by hash and their probes repeated.  A pair that shares several buckets is reported by
+the first of them alone.  The pairs within the radius are re-ranked by Euclidean
+distance in double precision.
 
 ``radius`` is the quantile ``coverage`` of the code distances between sampled
-vectors and their true neighbours in the sample.  A query with fewer than ``k``
-codes within it gets a wider radius until it has ``k`` or all.
+vectors and their true neighbours in the sample, the same for all queries.  Queries
+with fewer than ``k`` codes within it are asked again with a wider radius until they
+have ``k`` or all.  Substrings have 16 bits if that takes at most ``_MOST_VALUES``
+probes a substring, else 8; the result is the same.
 
-The index is dealt to blocks of about ``block_rows`` rows by hash; every query
-visits every block, in query blocks of ``query_rows``, and brings back at most
-``k`` rows of each, so a task's memory is bounded by one block.
+Of equal vectors only those with the smallest ids can be among the nearest: of each,
+``k + 1`` ids and ``k`` rows an id are indexed, so mass copies cost nothing.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite
 components, have a null ``vec_id`` or another length than most take no part;
@@ -26,6 +33,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,10 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm.storage import about
+from privaudit.llm.storage import about, materialize
 
-_FOUND = "query_id long, vec_id long, score double"
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
+#: Rotations, and code bits at most.
+_WIDTH, _MOST_BITS = 4, 256
+_MOST_VALUES = 1000
+#: Probes of a bucket handled by one task at a time.
+_PROBES = 65_536
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -50,30 +61,32 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 class Codes:
-    """The rotation, and codes as rows of bytes."""
+    """The rotations, and codes as rows of bytes."""
 
-    def __init__(self, sample: np.ndarray, iterations: int = 40, seed: int = 11):
+    def __init__(self, sample: np.ndarray, iterations: int = 30, seed: int = 11):
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         d = sample.shape[1]
-        bits = max(8, min(128, d // 8 * 8))
         _, _, axes = np.linalg.svd(centred, full_matrices=True)
-        rng = np.random.default_rng(seed)
-        basis = axes.T[:, :bits] if d >= bits else np.hstack([axes.T, rng.normal(size=(d, bits - d))])
+        kept = min(d, _MOST_BITS)
+        basis, rng, parts = axes.T[:, :kept], np.random.default_rng(seed), []
         projected = centred @ basis
-        rotation, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
-        for _ in range(iterations):
-            signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
-            u, _, vt = np.linalg.svd(signs.T @ projected)
-            rotation = (u @ vt).T
-        self.matrix, self.bits = basis @ rotation, bits
+        while sum(p.shape[1] for p in parts) < max(16, min(_MOST_BITS, _WIDTH * d) // 16 * 16):
+            rotation, _ = np.linalg.qr(rng.normal(size=(kept, kept)))
+            for _ in range(iterations):
+                signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
+                u, _, vt = np.linalg.svd(signs.T @ projected)
+                rotation = (u @ vt).T
+            parts.append(basis @ rotation)
+        self.bits = max(16, min(_MOST_BITS, _WIDTH * d) // 16 * 16)
+        self.matrix = np.hstack(parts)[:, : self.bits]
 
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
         return np.packbits((vectors - self.mean) @ self.matrix >= 0, axis=1)
 
 
 def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return _ONES[codes ^ code].sum(axis=1)
+    return np.bitwise_count(codes ^ code).sum(axis=-1, dtype=np.int64)
 
 
 def learn(sample: np.ndarray, k: int, coverage: float, queries: int = 300) -> tuple[Codes, int]:
@@ -89,75 +102,149 @@ def learn(sample: np.ndarray, k: int, coverage: float, queries: int = 300) -> tu
     return codes, int(np.quantile(apart, coverage, method="higher")) if apart else codes.bits
 
 
-_NEAR = [np.array(sorted({sum(1 << p for p in c) for r in range(most + 1) for c in combinations(range(8), r)}), np.int64) for most in range(9)]
+def substring_bits(bits: int, radius: int) -> int:
+    """16 where few values need probing, else 8."""
+    return 16 if len(near_values(16, radius // (bits // 16))) <= _MOST_VALUES else 8
+
+
+def near_values(bits: int, radius: int) -> np.ndarray:
+    """All differences of at most ``radius`` bits, ``_MOST_VALUES + 1`` at most for 16 bits."""
+    found: list[int] = []
+    for r in range(min(radius, bits) + 1):
+        found += [sum(1 << p for p in c) for c in combinations(range(bits), r)]
+        if bits == 16 and len(found) > _MOST_VALUES:
+            break
+    return np.array(found, np.int64)
+
+
+def substrings(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Values [rows, m] of the codes' substrings."""
+    return codes if bits == 8 else np.ascontiguousarray(codes).view(np.uint16)
+
+
+def within(index: np.ndarray, probes: np.ndarray, table: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and probes within the radius whose first near substring is ``table``."""
+    far = np.bitwise_count(index.view(np.uint64)[None] ^ probes.view(np.uint64)[:, None]) if index.shape[1] % 8 == 0 else np.bitwise_count(index[None] ^ probes[:, None])
+    p, i = np.nonzero(far.sum(axis=2, dtype=np.int64) <= radius)
+    apart = np.bitwise_count(substrings(index[i], bits) ^ substrings(probes[p], bits))
+    first = (apart <= radius // apart.shape[1]).argmax(axis=1) if len(i) else np.zeros(0, np.int64)
+    return i[first == table], p[first == table]
 
 
-class Block:
-    """The indexed codes of one block."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        self.coded = codes(vectors)
-        self.order = [np.argsort(self.coded[:, s], kind="stable") for s in range(self.coded.shape[1])]
-        self.starts = [np.searchsorted(self.coded[o, s], np.arange(257)) for s, o in enumerate(self.order)]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within the radius: pigeonhole probing, then the whole code."""
-        found = np.zeros(len(self.ids), bool)
-        for s, (order, starts) in enumerate(zip(self.order, self.starts)):
-            for value in (int(code[s]) ^ _NEAR[min(8, radius // len(self.order))]).tolist():
-                found[order[starts[value] : starts[value + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[distances(self.coded[rows], code) <= radius]
+def _bytes(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
-    def nearest(self, query: int, vector: np.ndarray, k: int, radius: int) -> list[tuple[int, float]]:
-        code = self.codes(vector[None])[0]
-        others = len(self.ids) - int((self.ids == query).sum())
-        while True:
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != query]
-            if len(rows) >= min(k, others) or radius >= self.codes.bits:
-                break
-            radius = min(self.codes.bits, radius + 4)
-        score = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((self.ids[rows], score))[:k]
-        return [(int(self.ids[rows[i]]), float(score[i])) for i in best]
 
+def _coded(rows: DataFrame, codes: Codes) -> DataFrame:
+    """``rows`` and their codes."""
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = codes(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, codes.bits // 8), np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary())], names=[*batch.schema.names, "code"])
 
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", code binary")
 
-def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+
+def probe(index: DataFrame, asked: DataFrame, bits: int, radius: int, block_rows: int = 8192) -> DataFrame:
+    """``query_id, number``: every code of ``index`` (``number, vec_id, code``) within the radius of one of ``asked`` (``vec_id, code``), once."""
+    size = bits // 8
+    width = substring_bits(bits, radius)
+    near = near_values(width, radius // (bits // width))
+    kind = "smallint" if width == 8 else "int"
+
+    def keyed(values: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    found = substrings(_bytes(batch.column("code"), size), width).astype(np.int64)
+                    if values is not None:
+                        found = found[:, :, None] ^ values
+                    n, m = found.shape[:2]
+                    each = found.size // n
+                    picked = batch.take(pa.array(np.repeat(np.arange(n), each)))
+                    table = np.tile(np.repeat(np.arange(m), each // m), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(table, pa.int16()), pa.array(found.ravel(), pa.int16() if width == 8 else pa.int32()), *picked.columns], names=["table", "value", *batch.schema.names])
+
+        return run
+
+    indexed = index.select("number", "vec_id", "code").mapInArrow(keyed(None), f"table smallint, value {kind}, number long, vec_id long, code binary")
+    probes = asked.select(F.col("vec_id").alias("query_id"), "code").mapInArrow(keyed(near), f"table smallint, value {kind}, query_id long, code binary")
+    # large buckets and much-asked values are split; there are few of either
+    parts = lambda df, name, most: df.groupBy("table", "value").count().where(F.col("count") > most).select("table", "value", F.ceil(F.col("count") / most).cast("int").alias(name))
+    rows, calls = materialize(parts(indexed, "n_rows", block_rows), "index-large"), materialize(parts(probes, "n_calls", _PROBES), "index-asked")
+    sizes = [d.count() for d in (rows, calls)]
+    with_parts = lambda df: df.join(F.broadcast(rows) if sizes[0] <= _PROBES else rows, ["table", "value"], "left").join(F.broadcast(calls) if sizes[1] <= _PROBES else calls, ["table", "value"], "left").fillna(1, ["n_rows", "n_calls"])
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    if any(sizes):
+        indexed = with_parts(indexed).withColumn("r", own("number", "n_rows")).select("*", every("n_calls").alias("c"))
+        probes = with_parts(probes).withColumn("c", own("query_id", "n_calls")).select("*", every("n_rows").alias("r"))
+    else:
+        indexed, probes = (d.withColumns({"r": F.lit(0), "c": F.lit(0)}) for d in (indexed, probes))
+    keys = ["table", "value", "r", "c"]
+    schema = pa.schema([("query_id", pa.int64()), ("number", pa.int64())])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            table = left["table"][0].as_py()
+            codes, numbers, ids = _bytes(left["code"], size), left["number"].to_numpy(), left["vec_id"].to_numpy()
+            asking, queries = _bytes(right["code"], size), right["query_id"].to_numpy()
+            step = max(1, (1 << 21) // len(codes))
+            for at in range(0, len(queries), step):
+                i, p = within(codes, asking[at : at + step], table, width, radius)
+                other = ids[i] != queries[at + p]
+                out.append((queries[at + p[other]], numbers[i[other]]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    found = indexed.select(*keys, "number", "vec_id", "code").groupBy(*keys).cogroup(probes.select(*keys, "query_id", "code").groupBy(*keys))
+    return found.applyInArrow(compare, "query_id long, number long")
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (_matrix(batch.column(k)) for k in ("asking", "embedding")) if batch.num_rows else (np.zeros((0, 1)), np.zeros((0, 1)))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
+
+
+def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, block_rows: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query row."""
     spark = embeddings.sparkSession
-    rows = usable(embeddings)
+    rows = materialize(usable(embeddings), "index-rows")
     sample = sorted(about(rows, sample_rows, "vec_id").limit(2 * sample_rows).collect(), key=lambda r: r["vec_id"])  # a documented bound
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes, radius = learn(np.array([r["embedding"] for r in sample]), k, coverage)
+    # of equal vectors only the smallest ids matter
+    place = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
+    some = rows.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    place = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    some = some.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    index = materialize(_coded(some.select("vec_id", "embedding"), codes).withColumn("number", F.monotonically_increasing_id()), "index")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n, m = rows.count(), asked.count()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-
-    spread = F.sequence(F.lit(0), F.lit(query_blocks - 1))
-    indexed = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(spread).alias("part"), "vec_id", "embedding")
-    everywhere = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asking = asked.select(F.explode(everywhere).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("part"), "vec_id", "embedding")
-
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            block = Block(left["vec_id"].to_numpy(), _matrix(left["embedding"]), codes)
-            for query, vector in zip(right["vec_id"].to_pylist(), _matrix(right["embedding"])):
-                out += [(query, i, s) for i, s in block.nearest(query, vector, k, radius)]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    found = indexed.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(compare, _FOUND)
+    asked = pending = materialize(_coded(asked, codes), "index-queries")
+
+    pairs = None
+    while True:
+        found = materialize(probe(index, pending, codes.bits, radius, block_rows), "index-pairs")
+        enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        few = materialize(pending.join(enough.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti"), "index-few")
+        last = radius >= codes.bits or few.isEmpty()
+        done = found if last else found.join(enough, "query_id", "left_semi")
+        pairs = done if pairs is None else pairs.union(done)
+        if last:
+            break
+        pending, radius = few, min(codes.bits, radius + codes.bits // 8)
+
+    near = pairs.join(index.select("number", "vec_id", "embedding"), "number").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asking")), "query_id")
+    scored = near.select("query_id", "vec_id", "embedding", "asking").mapInArrow(_scores, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return scored.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -279,7 +279,7 @@ def test_multi_index_search(spark):
     same = rows[0][1]
     rows += [(5000 + i, same, 0) for i in range(30)] + [(2000, None, 0), (2100, [0.0] * 24, 0), (2200, [1.0] * 23 + [None], 0), (2300, [1.0] * 23 + [float("nan")], 0), (2400, [1.0] * 23 + [float("inf")], 0), (2500, [1.0] * 7, 0), (None, rows[1][1], 0), (2600, [], 0), rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    got = multi_index.search(df, F.col("vec_id") % 100 == 0, k=10, block_rows=400, query_rows=7).collect()
+    got = multi_index.search(df, F.col("vec_id") % 100 == 0, k=10, block_rows=100).collect()
     exact = brute_nearest(rows, 10)
     found = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -295,16 +295,39 @@ def test_multi_index_search(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
-def test_probing_is_complete():
+def test_probing_is_complete(spark):
     rng = np.random.default_rng(2)
-    X = rng.normal(size=(600, 24))
+    X = rng.normal(size=(300, 24))
+    X[150:] = X[:150] + 0.05 * rng.normal(size=(150, 24))
     codes, _ = multi_index.learn(X, 10, 0.95)
-    block = multi_index.Block(np.arange(600), X, codes)
-    for q in range(0, 600, 60):
-        code = codes(X[q][None])[0]
-        for radius in (0, 3, 7, 12):
-            brute = np.flatnonzero(multi_index.distances(block.coded, code) <= radius)
-            assert (block.within(code, radius) == brute).all()
+    coded = codes(X)
+    index = spark.createDataFrame([(i, i, c.tobytes()) for i, c in enumerate(coded)], "number long, vec_id long, code binary")
+    asked = spark.createDataFrame([(i, coded[i].tobytes()) for i in range(0, 300, 60)], "vec_id long, code binary")
+    for radius in (0, 7, 20, 40):
+        brute = sorted((q, i) for q in range(0, 300, 60) for i in np.flatnonzero(multi_index.distances(coded, coded[q]) <= radius).tolist() if i != q)
+        for rows in (8192, 20):
+            got = multi_index.probe(index, asked, codes.bits, radius, block_rows=rows).collect()
+            assert sorted((r["query_id"], r["number"]) for r in got) == brute  # each once
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """Where vectors have structure, few rows are probed and recall holds."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    X = centres[rng.integers(0, 60, 3000)] + 0.1 * rng.normal(size=(3000, 32))
+    codes, radius = multi_index.learn(X[:1000], 10, 0.98)
+    coded = codes(X)
+    width = multi_index.substring_bits(codes.bits, radius)
+    values = multi_index.substrings(coded, width).astype(np.int64)
+    near = multi_index.near_values(width, radius // values.shape[1])
+    hits = total = 0
+    for q in range(0, 3000, 100):
+        probed = np.isin(values ^ values[q], near).any(axis=1)
+        d = ((X - X[q]) ** 2).sum(axis=1)
+        best = [i for i in np.argsort(d).tolist() if i != q][:10]
+        hits += (multi_index.distances(coded[best], coded[q]) <= radius).sum()
+        total += probed.sum()
+    assert hits / 300 >= 0.9 and total / (30 * 3000) <= 0.1, (radius, codes.bits, hits / 300, total / 90000)
 
 
 def test_recall_on_the_given_table(spark, small):
