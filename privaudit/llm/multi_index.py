@@ -15,11 +15,15 @@ by hash and their probes repeated.  A pair that shares several buckets is report
 the first of them alone.  The pairs within the radius are re-ranked by Euclidean
 distance in double precision.
 
-``radius`` is the quantile ``coverage`` of the code distances between sampled
-vectors and their true neighbours in the sample, the same for all queries.  Queries
-with fewer than ``k`` codes within it are asked again with a wider radius until they
-have ``k`` or all.  Substrings have 16 bits if that takes at most ``_MOST_VALUES``
-probes a substring, else 8; the result is the same.
+Each query has its radius: the one that should hold ``depth`` codes, read off its code
+distances to the sample, but not more than the quantile ``coverage`` of the code
+distances between sampled vectors and their true neighbours in the sample.  All are
+probed with the widest of these.  Queries with fewer than a quarter of ``depth`` codes
+within a radius below that quantile, or fewer than ``k`` within one above, are asked
+again with a wider one.  So what is re-ranked grows with the queries, not with their
+product with the rows.  Substrings
+have 16 bits if that takes at most ``_MOST_VALUES`` probes a substring, else 8; the
+result is the same.
 
 Of equal vectors only those with the smallest ids can be among the nearest: of each,
 ``k + 1`` ids and ``k`` rows an id are indexed, so mass copies cost nothing.
@@ -102,6 +106,17 @@ def learn(sample: np.ndarray, k: int, coverage: float, queries: int = 300) -> tu
     return codes, int(np.quantile(apart, coverage, method="higher")) if apart else codes.bits
 
 
+def radii(coded: np.ndarray, sample: np.ndarray, share: float, most: int) -> np.ndarray:
+    """For each code the radius that holds about ``share`` of all codes, judged by the sample's; ``most`` at most."""
+    out = np.empty(len(coded), np.int64)
+    for i, code in enumerate(coded):
+        apart = np.sort(distances(sample, code))
+        place = share * len(apart)
+        # below the sample's resolution its nearest counts; a wider radius follows where that is too little
+        out[i] = apart[min(len(apart) - 1, int(np.ceil(place)))]
+    return np.minimum(out, most)
+
+
 def substring_bits(bits: int, radius: int) -> int:
     """16 where few values need probing, else 8."""
     return 16 if len(near_values(16, radius // (bits // 16))) <= _MOST_VALUES else 8
@@ -122,10 +137,10 @@ def substrings(codes: np.ndarray, bits: int) -> np.ndarray:
     return codes if bits == 8 else np.ascontiguousarray(codes).view(np.uint16)
 
 
-def within(index: np.ndarray, probes: np.ndarray, table: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and probes within the radius whose first near substring is ``table``."""
+def within(index: np.ndarray, probes: np.ndarray, own: np.ndarray, table: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and probes within the probes' own radii whose first substring that is near at ``radius`` is ``table``."""
     far = np.bitwise_count(index.view(np.uint64)[None] ^ probes.view(np.uint64)[:, None]) if index.shape[1] % 8 == 0 else np.bitwise_count(index[None] ^ probes[:, None])
-    p, i = np.nonzero(far.sum(axis=2, dtype=np.int64) <= radius)
+    p, i = np.nonzero(far.sum(axis=2, dtype=np.int64) <= own[:, None])
     apart = np.bitwise_count(substrings(index[i], bits) ^ substrings(probes[p], bits))
     first = (apart <= radius // apart.shape[1]).argmax(axis=1) if len(i) else np.zeros(0, np.int64)
     return i[first == table], p[first == table]
@@ -140,19 +155,23 @@ def _bytes(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
 
-def _coded(rows: DataFrame, codes: Codes) -> DataFrame:
-    """``rows`` and their codes."""
+def _coded(rows: DataFrame, codes: Codes, sample: np.ndarray | None = None, share: float = 1.0, most: int = 0) -> DataFrame:
+    """``rows`` and their codes; with a sample's codes also their radii."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = codes(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, codes.bits // 8), np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary())], names=[*batch.schema.names, "code"])
+            more = [pa.array([r.tobytes() for r in found], pa.binary())] + ([pa.array(radii(found, sample, share, most))] if sample is not None else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "code", "radius"][: batch.num_columns + len(more)])
 
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", code binary")
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", code binary" + ", radius long" * (sample is not None))
 
 
 def probe(index: DataFrame, asked: DataFrame, bits: int, radius: int, block_rows: int = 8192) -> DataFrame:
-    """``query_id, number``: every code of ``index`` (``number, vec_id, code``) within the radius of one of ``asked`` (``vec_id, code``), once."""
+    """``query_id, number``: every code of ``index`` (``number, vec_id, code``) within its radius of one of ``asked`` (``vec_id, code, radius``), once.
+
+    ``radius``: the widest of theirs.
+    """
     size = bits // 8
     width = substring_bits(bits, radius)
     near = near_values(width, radius // (bits // width))
@@ -175,17 +194,17 @@ def probe(index: DataFrame, asked: DataFrame, bits: int, radius: int, block_rows
         return run
 
     indexed = index.select("number", "vec_id", "code").mapInArrow(keyed(None), f"table smallint, value {kind}, number long, vec_id long, code binary")
-    probes = asked.select(F.col("vec_id").alias("query_id"), "code").mapInArrow(keyed(near), f"table smallint, value {kind}, query_id long, code binary")
+    probes = asked.select(F.col("vec_id").alias("query_id"), "code", F.col("radius").cast("long").alias("radius")).mapInArrow(keyed(near), f"table smallint, value {kind}, query_id long, code binary, radius long")
     # large buckets and much-asked values are split; there are few of either
     parts = lambda df, name, most: df.groupBy("table", "value").count().where(F.col("count") > most).select("table", "value", F.ceil(F.col("count") / most).cast("int").alias(name))
     rows, calls = materialize(parts(indexed, "n_rows", block_rows), "index-large"), materialize(parts(probes, "n_calls", _PROBES), "index-asked")
     sizes = [d.count() for d in (rows, calls)]
     with_parts = lambda df: df.join(F.broadcast(rows) if sizes[0] <= _PROBES else rows, ["table", "value"], "left").join(F.broadcast(calls) if sizes[1] <= _PROBES else calls, ["table", "value"], "left").fillna(1, ["n_rows", "n_calls"])
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     if any(sizes):
-        indexed = with_parts(indexed).withColumn("r", own("number", "n_rows")).select("*", every("n_calls").alias("c"))
-        probes = with_parts(probes).withColumn("c", own("query_id", "n_calls")).select("*", every("n_rows").alias("r"))
+        indexed = with_parts(indexed).withColumn("r", part("number", "n_rows")).select("*", every("n_calls").alias("c"))
+        probes = with_parts(probes).withColumn("c", part("query_id", "n_calls")).select("*", every("n_rows").alias("r"))
     else:
         indexed, probes = (d.withColumns({"r": F.lit(0), "c": F.lit(0)}) for d in (indexed, probes))
     keys = ["table", "value", "r", "c"]
@@ -196,16 +215,16 @@ def probe(index: DataFrame, asked: DataFrame, bits: int, radius: int, block_rows
         if left.num_rows and right.num_rows:
             table = left["table"][0].as_py()
             codes, numbers, ids = _bytes(left["code"], size), left["number"].to_numpy(), left["vec_id"].to_numpy()
-            asking, queries = _bytes(right["code"], size), right["query_id"].to_numpy()
+            asking, queries, own = _bytes(right["code"], size), right["query_id"].to_numpy(), right["radius"].to_numpy()
             step = max(1, (1 << 21) // len(codes))
             for at in range(0, len(queries), step):
-                i, p = within(codes, asking[at : at + step], table, width, radius)
+                i, p = within(codes, asking[at : at + step], own[at : at + step], table, width, radius)
                 other = ids[i] != queries[at + p]
                 out.append((queries[at + p[other]], numbers[i[other]]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    found = indexed.select(*keys, "number", "vec_id", "code").groupBy(*keys).cogroup(probes.select(*keys, "query_id", "code").groupBy(*keys))
+    found = indexed.select(*keys, "number", "vec_id", "code").groupBy(*keys).cogroup(probes.select(*keys, "query_id", "code", "radius").groupBy(*keys))
     return found.applyInArrow(compare, "query_id long, number long")
 
 
@@ -215,14 +234,15 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
 
 
-def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, block_rows: int = 8192) -> DataFrame:
+def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, depth: int = 800, block_rows: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query row."""
     spark = embeddings.sparkSession
     rows = materialize(usable(embeddings), "index-rows")
     sample = sorted(about(rows, sample_rows, "vec_id").limit(2 * sample_rows).collect(), key=lambda r: r["vec_id"])  # a documented bound
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes, radius = learn(np.array([r["embedding"] for r in sample]), k, coverage)
+    vectors = np.array([r["embedding"] for r in sample])
+    codes, most = learn(vectors, k, coverage)
     # of equal vectors only the smallest ids matter
     place = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
     some = rows.withColumn("place", place).where(F.col("place") <= k).drop("place")
@@ -230,19 +250,23 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: in
     some = some.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     index = materialize(_coded(some.select("vec_id", "embedding"), codes).withColumn("number", F.monotonically_increasing_id()), "index")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = pending = materialize(_coded(asked, codes), "index-queries")
+    asked = pending = materialize(_coded(asked, codes, codes(vectors), depth / max(1, index.count()), most), "index-queries")
 
-    pairs = None
+    pairs, n = None, index.count()
     while True:
+        radius = pending.agg(F.coalesce(F.max("radius"), F.lit(0))).first()[0]
         found = materialize(probe(index, pending, codes.bits, radius, block_rows), "index-pairs")
-        enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-        few = materialize(pending.join(enough.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti"), "index-few")
-        last = radius >= codes.bits or few.isEmpty()
-        done = found if last else found.join(enough, "query_id", "left_semi")
+        # k codes are enough within the neighbours' radius
+        wanted = F.when(F.col("radius") >= most, F.lit(min(n, k))).otherwise(F.lit(min(n, max(k, depth // 4))))
+        counts = found.groupBy(F.col("query_id").alias("vec_id")).count()
+        few = pending.join(counts, "vec_id", "left").where((F.coalesce("count", F.lit(0)) < wanted) & (F.col("radius") < codes.bits)).drop("count")
+        few = materialize(few.withColumn("radius", F.least(F.col("radius") + codes.bits // 16, F.lit(codes.bits))), "index-few")
+        last = few.isEmpty()
+        done = found if last else found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
         pairs = done if pairs is None else pairs.union(done)
         if last:
             break
-        pending, radius = few, min(codes.bits, radius + codes.bits // 8)
+        pending = few
 
     near = pairs.join(index.select("number", "vec_id", "embedding"), "number").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asking")), "query_id")
     scored = near.select("query_id", "vec_id", "embedding", "asking").mapInArrow(_scores, "query_id long, vec_id long, score double")

@@ -38,8 +38,8 @@ empty table gives an empty result; further columns are kept as they are.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,8 @@ from pyspark.sql import functions as F
 from privaudit.llm.storage import about, materialize
 from privaudit.llm.tokens import listed
 
-_BUCKETS = 1 << 22
+_BITS = 22
+_BUCKETS = 1 << _BITS
 _SHAPES = 72
 _BIGRAMS = (_SHAPES + 1) * (_SHAPES + 1)
 _PRIOR, _ERRORS = 4.0, 1.5
@@ -70,9 +71,14 @@ def _word(word: str) -> tuple[int, ...]:
     tail = len(raw) - len(raw.rstrip(_SIGNS))
     case = 0 if word.islower() else 1 if word.isupper() and len(word) > 1 else 2
     other = not (core.isalpha() or core[:1] >= b"\x80")
-    letters = core.decode("utf-8", "surrogatepass").lower()
-    begins = (zlib.crc32(letters[:k].encode("utf-8", "surrogatepass"), k) if len(letters) > k else -1 for k in _BEGINNINGS)
-    return zlib.crc32(core.lower()), case + 3 * min(tail, 2) + 9 * (not core) + 36 * other, *begins
+    low = core.lower()
+    if core.isascii():
+        n = len(low)
+        begins = (crc32(low[:5], 5) if n > 5 else -1, crc32(low[:6], 6) if n > 6 else -1, crc32(low[:7], 7) if n > 7 else -1)
+    else:
+        letters = low.decode("utf-8", "surrogatepass")
+        begins = tuple(crc32(letters[:k].encode("utf-8", "surrogatepass"), k) if len(letters) > k else -1 for k in _BEGINNINGS)
+    return crc32(low), case + 3 * min(tail, 2) + 9 * (not core) + 36 * other, *begins
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,14 +89,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct = listed(coded.dictionary)
     if len(_KNOWN) > 200_000:
         _KNOWN.clear()
-    table = np.empty((len(distinct) + 1, 2 + len(_BEGINNINGS)), np.int64)
-    for i, w in enumerate(distinct):
-        found = _KNOWN.get(w)
-        if found is None:
-            found = _word(w)
-            if len(w) < 40:
-                _KNOWN[w] = found
-        table[i] = found
+    found = list(map(_KNOWN.get, distinct))
+    for i in [i for i, known in enumerate(found) if known is None]:
+        found[i] = _word(distinct[i])
+        if len(distinct[i]) < 40:
+            _KNOWN[distinct[i]] = found[i]
+    table = np.array(found or [(0,) * (2 + len(_BEGINNINGS))], np.int64)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
     index = coded.indices.to_numpy(zero_copy_only=False)
@@ -106,16 +110,24 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, np.column_stack([core, table[index, 2:]]), before * (_SHAPES + 1) + shape
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def buckets(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's n-grams, once each: the text's index and the bucket."""
-    found = [np.unique(owner * _BUCKETS + hashes[:, 0] % _BUCKETS)]
+    base = owner << _BITS
+    found = [_distinct(base | hashes[:, 0] & _BUCKETS - 1)[0]]
     known = hashes[:, 1:] >= 0
-    begins, times = np.unique((owner[:, None] * _BUCKETS + hashes[:, 1:] % _BUCKETS)[known], return_counts=True)
+    begins, times = _distinct((base[:, None] | hashes[:, 1:] & _BUCKETS - 1)[known])
     for n in _TIMES:  # another bucket for each number of times
         some = begins[times >= n]
-        found.append(some // _BUCKETS * _BUCKETS + (some % _BUCKETS * 40_503 + n * 7_368_787) % _BUCKETS)
-    both = np.unique(np.concatenate(found))
-    return both // _BUCKETS, both % _BUCKETS
+        found.append(some >> _BITS << _BITS | (some & _BUCKETS - 1) * 40_503 + n * 7_368_787 & _BUCKETS - 1)
+    both = _distinct(np.concatenate(found))[0]
+    return both >> _BITS, both & _BUCKETS - 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +141,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shapes[0] += np.bincount(bigram, minlength=_BIGRAMS)
             shapes[1] += np.bincount(bigram[label[owner] == 1], minlength=_BIGRAMS)
             owner, bucket = buckets(owner, hashes)
-            np.add.at(words[0], bucket, 1)
-            np.add.at(words[1], bucket[label[owner] >= 0], 1)
-            np.add.at(words[2], bucket[label[owner] == 1], 1)
+            for k, some in enumerate((bucket, bucket[label[owner] >= 0], bucket[label[owner] == 1])):
+                seen, times = _distinct(some)
+                words[k][seen] += times.astype(np.int32)
             rows += [len(label), int((label >= 0).sum()), int((label == 1).sum())]
     seen, used = np.flatnonzero(shapes[0]), np.flatnonzero(words[0])
     none = np.zeros(len(seen), np.int64)

@@ -302,12 +302,12 @@ def test_probing_is_complete(spark):
     codes, _ = multi_index.learn(X, 10, 0.95)
     coded = codes(X)
     index = spark.createDataFrame([(i, i, c.tobytes()) for i, c in enumerate(coded)], "number long, vec_id long, code binary")
-    asked = spark.createDataFrame([(i, coded[i].tobytes()) for i in range(0, 300, 60)], "vec_id long, code binary")
-    for radius in (0, 7, 20, 40):
-        brute = sorted((q, i) for q in range(0, 300, 60) for i in np.flatnonzero(multi_index.distances(coded, coded[q]) <= radius).tolist() if i != q)
-        for rows in (8192, 20):
-            got = multi_index.probe(index, asked, codes.bits, radius, block_rows=rows).collect()
-            assert sorted((r["query_id"], r["number"]) for r in got) == brute  # each once
+    for radius, rows in ((0, 8192), (7, 20), (40, 20)):
+        own = {q: max(0, radius - q // 60) for q in range(0, 300, 60)}  # each query has its radius
+        asked = spark.createDataFrame([(q, coded[q].tobytes(), r) for q, r in own.items()], "vec_id long, code binary, radius long")
+        brute = sorted((q, i) for q, r in own.items() for i in np.flatnonzero(multi_index.distances(coded, coded[q]) <= r).tolist() if i != q)
+        got = multi_index.probe(index, asked, codes.bits, radius, block_rows=rows).collect()
+        assert sorted((r["query_id"], r["number"]) for r in got) == brute  # each once
 
 
 def test_clustered_vectors_are_pruned(spark):
