@@ -12,8 +12,9 @@ The store is three Parquet tables in a folder that all executors share:
 * ``manifest``: one row per recipe shard: documents, ids, first id position
   and the Merkle root over its documents' roots.
 
-Reading back re-hashes every chunk, recomputes every root and follows every
-recipe; a difference raises an error.
+Reading back re-hashes every chunk, recomputes every root of documents and shards,
+compares the shards with the manifest and follows every recipe; a difference raises
+an error.
 
 Defined cases: a null text is empty; an empty text is its end id alone; a null
 ``doc_id`` comes first; rows that repeat a ``doc_id`` each get a recipe, ordered
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privaudit.llm.storage import materialize, partitions_for, scratch
+from privaudit.llm.storage import materialize, partitions_for, scratch, spread_join
 from privaudit.llm.tokens import encoder, listed, slices
 
 #: A chunk ends where the top bits of the rolling hash are zero: one id in 512.
@@ -164,23 +165,8 @@ class Store:
         return spark.read.parquet(f"{self.path}/manifest")
 
 
-def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> Store:
-    """Encode, cut, deduplicate and write; see the module's description.
-
-    One shuffle moves each task's new chunks to the place of their digest; the
-    recipes, some per cent of the ids, are then range-sorted by ``doc_id``.
-    """
-    spark = documents.sparkSession
-    path, n = path or scratch(spark, "content-store"), partitions_for(spark)
-    loose = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_loose(tokenizer, end_id), _LOOSE)
-    # recipes are spread by their root and row: copies of one document must not meet in one task
-    place = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "root"))
-    placed = loose.withColumn("place", place).repartition(n, "place").drop("place")
-    placed.mapInArrow(_unique, _LOOSE).write.option("compression", "zstd").parquet(f"{path}/loose")
-
-    recipes = spark.read.parquet(f"{path}/loose").where("digest is null").select("doc_id", "n_tokens", "digests", "lengths", "root")
-    shards = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root", "n_tokens")
-    shards.mapInArrow(_shards, "shard int, row long, local_start long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+def _shard_roots(recipes: DataFrame, n: int) -> DataFrame:
+    """Of each shard its documents, ids and the Merkle root over its documents' roots."""
 
     def roots(batches):
         leaves: list[bytes] = []
@@ -193,7 +179,7 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str
             yield pa.RecordBatch.from_pydict({"shard": [shard], "documents": [len(leaves)], "ids": [total], "root": [merkle_root(leaves)]}, schema=pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())]))
 
     # a shard's rows were written in order by one task; reading by shard number keeps them together
-    ordered = spark.read.parquet(f"{path}/recipes").select("shard", "root", "n_tokens", "row").repartition(n, "shard").sortWithinPartitions("shard", "row")
+    ordered = recipes.select("shard", "root", "n_tokens", "row").repartition(n, "shard").sortWithinPartitions("shard", "row")
 
     def by_shard(batches):
         last, held = None, []
@@ -208,7 +194,28 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str
                     held.append(batch.slice(int(part[0]), len(part)))
         yield from roots(held)
 
-    found = ordered.mapInArrow(by_shard, "shard int, documents long, ids long, root binary")
+    return ordered.mapInArrow(by_shard, "shard int, documents long, ids long, root binary")
+
+
+def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> Store:
+    """Encode, cut, deduplicate and write; see the module's description.
+
+    One shuffle moves each task's new chunks to the place of their digest; the
+    recipes, some per cent of the ids, are then range-sorted by ``doc_id``.
+    """
+    spark = documents.sparkSession
+    path, n = path or scratch(spark, "content-store"), partitions_for(spark)
+    loose = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_loose(tokenizer, end_id), _LOOSE)
+    # recipes are spread by their root and row: copies of one document must not meet in one task
+    place = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "root"))
+    placed = loose.withColumn("place", place).repartition(n, "place").drop("place")
+    placed.mapInArrow(_unique, _LOOSE).write.option("compression", "zstd").parquet(f"{path}/loose")
+
+    recipes = spark.read.parquet(f"{path}/loose").where("digest is null").select("doc_id", "n_tokens", "digests", "lengths", "root")
+    shards = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root", "n_tokens")
+    shards.mapInArrow(_shards, "shard int, row long, local_start long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+
+    found = _shard_roots(spark.read.parquet(f"{path}/recipes"), n)
     before = 0
     rows = []
     for r in sorted(found.collect(), key=lambda r: r.shard):  # as many rows as there are shards
@@ -311,16 +318,22 @@ def read_checksums(spark: SparkSession, store: Store) -> DataFrame:
     lengths and checksums are shuffled: the checksum of a document is put
     together from its chunks' checksums, the chunks' bytes stay where they are.
     """
-    chunks = store.chunks(spark).mapInArrow(_verify_chunks, "digest binary, n int, crc long")
+    chunks = materialize(store.chunks(spark).mapInArrow(_verify_chunks, "digest binary, n int, crc long"), "content-store-chunks")
     recipes = store.recipes(spark)
+    stated = {r["shard"]: (r["documents"], r["ids"], bytes(r["root"])) for r in store.manifest(spark).collect()}  # a row per shard
+    present = {r["shard"]: (r["documents"], r["ids"], bytes(r["root"])) for r in _shard_roots(recipes, partitions_for(spark)).collect()}
+    if stated != present:
+        raise ValueError(f"the recipes do not match the manifest in shard {min(s for s in {*stated, *present} if stated.get(s) != present.get(s))}")
     references = recipes.select("shard", "row", "n_tokens", "digests", "lengths", "root").mapInArrow(_references, "shard int, row long, digest binary, length int, after long")
-    found = references.join(chunks, "digest", "left").select("shard", "row", "length", "after", "n", "crc")
+    # a chunk that many documents hold is a hot key
+    found = spread_join(materialize(references, "content-store-references"), chunks, ["digest"], "left").select("shard", "row", "length", "after", "n", "crc")
     moved = found.mapInArrow(_shifted, "shard int, row long, n long, moved long")
     sums = moved.groupBy("shard", "row").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("n").alias("read"), F.count("*").alias("n_chunks"))
     first = F.broadcast(store.manifest(spark).select("shard", "first_id"))  # a row per shard
     slim = recipes.select("shard", "row", "doc_id", "local_start", "n_tokens", F.lower(F.hex("root")).alias("root"))
-    out = slim.join(sums, ["shard", "row"]).join(first, "shard")
-    return out.select("doc_id", (F.col("first_id") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", "root", (F.col("read") == F.col("n_tokens")).alias("complete"))
+    out = slim.join(sums, ["shard", "row"], "left").join(first, "shard")
+    whole = F.when(F.col("read") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks do not add up to it")).cast("long"))
+    return out.select("doc_id", (F.col("first_id") + F.col("local_start")).alias("start"), whole.alias("n_tokens"), "ids_crc32", "n_chunks", "root")
 
 
 def read_documents(spark: SparkSession, store: Store, doc_ids: DataFrame | None = None) -> DataFrame:
@@ -338,7 +351,3 @@ def read_documents(spark: SparkSession, store: Store, doc_ids: DataFrame | None
 
     return gathered.select("doc_id", "parts").mapInArrow(joined, "doc_id long, ids binary")
 
-
-def checked(df: DataFrame) -> DataFrame:
-    """The checksums written out, so that every check has run before a row is used."""
-    return materialize(df, "content-store-read")

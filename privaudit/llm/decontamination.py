@@ -6,9 +6,11 @@ has fewer words, is a pattern; one automaton of all patterns scans each document
 once.  A document word inside any occurrence of a pattern is hit; the hits' spans
 are mapped back to byte offsets of the original text.
 
-The patterns are broadcast in blocks of at most ``_PATTERN_BYTES``; a larger
-benchmark makes more blocks, each with its own automaton and pass over the
-documents, so what an executor holds stays bounded.
+The patterns are cut and made distinct by Spark and dealt by hash to blocks of about
+``_PATTERN_BYTES``, as many as their measured size asks for.  The driver takes one
+block at a time and ships it to the tasks; each has its own automaton and pass over
+the documents, written out before the next, so what the driver and an executor hold
+stays bounded whatever the benchmark's size.
 
 Defined cases: a null text or item has no words; an item without words makes no
 pattern; repeated items count once by ``item_id``; a null ``item_id`` makes its
@@ -25,6 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from privaudit.llm.storage import materialize
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Byte for byte: word bytes stay (A-Z lower-cased), all others become a space.
@@ -39,25 +44,34 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def patterns(items: list[tuple], window: int) -> list[tuple[bytes, list]]:
-    """Each different pattern with the ids of the items it stands in."""
-    found: dict[bytes, set] = {}
-    for item_id, text in items:
-        w = words(text)
-        for at in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(b" " + b" ".join(w[at : at + window]) + b" ", set()).add(item_id)
-    return sorted((p, sorted(ids, key=str)) for p, ids in found.items())
-
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Each different pattern with the ids of the items it stands in, as strings (null for null ids)."""
 
-def blocks(found: list[tuple[bytes, list]], most: int = _PATTERN_BYTES) -> list[list[tuple[bytes, list]]]:
-    out, size = [[]], 0
-    for p in found:
-        if size + len(p[0]) > most and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(p)
-        size += len(p[0])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ids = [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                for at in range(max(1, len(w) - window + 1) if w else 0):
+                    found.append(b" " + b" ".join(w[at : at + window]) + b" ")
+                    ids.append(item_id)
+                if len(found) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.string())], names=["pattern", "item"])
+                    found, ids = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.string())], names=["pattern", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "pattern binary, item string").groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def blocks(benchmark: DataFrame, window: int, most: int = _PATTERN_BYTES) -> Iterator[list[tuple[bytes, list]]]:
+    """The patterns in blocks of about ``most`` bytes; one block if there is none."""
+    found = materialize(windows(benchmark, window), "decontamination-windows")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.lit(50)), F.lit(0))).first()[0]
+    n = max(1, -(-size // most))
+    for k in range(n):
+        part = found.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k)
+        yield sorted((bytes(r["pattern"]), r["items"]) for r in part.collect())  # about ``most`` bytes
 
 
 _AUTOMATA: dict[str, object] = {}
@@ -127,7 +141,7 @@ def _between(block, more):
     def run(batches):
         for doc_id, text, hits, items in _matches(block, more)(batches):
             ranges = [[{"start": a, "end": b} for a, b in x] for x in hits]
-            yield pa.RecordBatch.from_arrays([doc_id, text, pa.array(ranges, _HITS), pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64()))], names=["doc_id", "text", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([doc_id, text, pa.array(ranges, _HITS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
 
     return run
 
@@ -171,7 +185,7 @@ def _result(block, more):
                     at = [(m.start(), m.end()) for m in WORD.finditer(raw.lower())]
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
                     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in edges.reshape(-1, 2)]
-                named = sorted(str(x) for x in items[i] if x is not None)
+                named = sorted(items[i])
                 rows.append((n, int(inside.sum()), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(inside.any()), spans))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), _HITS]
@@ -182,14 +196,15 @@ def _result(block, more):
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = _PATTERN_BYTES) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows, and the hit spans as byte offsets of the original text."""
-    # the benchmark is a fixed set of test questions; its size does not follow the corpus
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    parts = blocks(patterns(items, window), pattern_bytes)
     df = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    for k, block in enumerate(parts[:-1]):
-        step = _between(block, k > 0)
-        df = df.mapInArrow((lambda step, k: lambda it: step(_tuples(it) if k else it))(step, k), "doc_id long, text string, hits array<struct<start:int,end:int>>, items array<long>")
-    return df.mapInArrow(_result(parts[-1], len(parts) > 1), RESULT)
+    held, more = None, False
+    for block in blocks(benchmark, window, pattern_bytes):
+        if held is not None:  # not the last block
+            step = _between(held, more)
+            df = materialize(df.mapInArrow((lambda step, more: lambda it: step(_tuples(it) if more else it))(step, more), "doc_id long, text string, hits array<struct<start:int,end:int>>, items array<string>"), "decontamination-hits")
+            more = True
+        held = block
+    return df.mapInArrow(_result(held, more), RESULT)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = _PATTERN_BYTES) -> DataFrame:
@@ -197,9 +212,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, pattern_
 
     Judges each row where it is: no join, so repeated and null ids keep their own decision.
     """
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    for block in blocks(patterns(items, window), pattern_bytes):
-        documents = documents.mapInArrow(_untouched(block), documents.schema)
+    first = True
+    for block in blocks(benchmark, window, pattern_bytes):
+        documents = (documents if first else materialize(documents, "decontamination-clean")).mapInArrow(_untouched(block), documents.schema)
+        first = False
     return documents
 
 

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privaudit.llm.similar import ROUNDS, bands, links, shingles
-from privaudit.llm.storage import materialize, partitions_for
+from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BLOCK = 8192
-#: Roots of large components are broadcast up to so many, and joined beyond.
+#: Large buckets and components are broadcast up to so many, and joined beyond.
 _BROADCAST_ROWS = 100_000
 #: (fingerprint, word) comparisons held at a time.
 _AT_ONCE = 1 << 17
@@ -260,7 +260,8 @@ def link(different: DataFrame, radius: int = 4, extra: int | None = None) -> Dat
     """
     spark = different.sparkSession
     if extra is None:
-        extra = 1 if different.count() < 1 << 24 else 2 if radius > 1 else 1
+        n = different.count()
+        extra = 1 if n < 1 << 24 else 2 if n < 1 << 32 else 3
     n = partitions_for(spark)
     masks = F.array(*(F.lit(_signed(m)) for m in _bands(radius, extra)))
     keyed = different.select("fp", F.posexplode(masks).alias("table", "mask")).select("table", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp")
@@ -271,7 +272,8 @@ def link(different: DataFrame, radius: int = 4, extra: int | None = None) -> Dat
     else:
         # a bucket of n members becomes all pairs of its n / _BLOCK blocks
         k = F.ceil(F.col("count") / F.lit(_BLOCK)).cast("int")
-        known = keyed.join(hot.withColumn("k", k).drop("count"), ["table", "bucket"], "left")
+        blocks = hot.withColumn("k", k).drop("count")
+        known = keyed.join(F.broadcast(blocks) if hot.count() <= _BROADCAST_ROWS else blocks, ["table", "bucket"], "left")
         own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
         parts = F.when(F.col("k").isNull(), F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))).otherwise(
             F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct((F.least(own, o) * F.col("k") + F.greatest(own, o)).cast("int").alias("pair"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
@@ -288,10 +290,11 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour is tied to the smallest neighbour or the node itself
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "simhash-large-star")
         # small star: a node's smaller neighbours and the node are tied to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = spread_join(large, low, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = materialize(small, "simhash-star")
         same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         edges = new
@@ -312,14 +315,9 @@ def near_duplicates(documents: DataFrame, size: int = 4, radius: int = 4, extra:
     rows = materialize(fingerprints(documents, size), "simhash-fingerprints")
     different = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
     merged = materialize(different.join(classes(different, radius, extra), "fp"), "simhash-merged")
-    sizes = merged.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    ids = materialize(sizes.where("n > 1"), "simhash-components")
-    # the fingerprints of a large component would all meet its root in one task: there are few such roots
-    large = ids.where(F.col("n") > _BLOCK).select("root", F.col("component_id").alias("large_id"), F.lit(True).alias("large"))
-    placed = merged.join(F.broadcast(large) if large.count() <= _BROADCAST_ROWS else large, "root", "left")
-    rest = placed.where("large is null").join(ids.where(F.col("n") <= _BLOCK).select("root", "component_id"), "root", "left")
-    named = placed.where("large").select("fp", F.col("large_id").alias("component_id")).union(rest.select("fp", F.coalesce("component_id", "least")))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    ids = materialize(merged.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
+    named = materialize(spread_join(merged.select("fp", "root"), ids, ["root"]).select("fp", "component_id"), "simhash-named")
+    return spread_join(rows, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None, similar: tuple[int, float] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from privaudit.llm import content_store, decontamination, packing, quality, simhash, tokens
+from privaudit.llm import content_store, decontamination, packing, quality, simhash, storage, tokens
 
 SCHEMA = "doc_id long, text string, source string, extra int"
 
@@ -66,7 +66,7 @@ def test_content_store(spark, docs, tokenizer):
         ids = ids_of(tokenizer, t, 2)
         expected.setdefault(i, []).append((len(ids), zlib.crc32(ids.tobytes())))
     for r in got:
-        assert r["start"] == start and r["complete"]
+        assert r["start"] == start
         expected[r["doc_id"]].remove((r["n_tokens"], r["ids_crc32"]))
         start += r["n_tokens"]
     chunks = store.chunks(spark)
@@ -90,6 +90,23 @@ def test_content_store_notices_damage(spark, docs):
         content_store.read_checksums(spark, content_store.Store(f"{store.path}-damaged")).collect()
 
 
+def test_content_store_notices_lost_recipes(spark, docs):
+    store = content_store.write_store(make(spark, docs), tokens.default_tokenizer())
+    spark.read.parquet(f"{store.path}/loose").write.parquet(f"{store.path}-lost/loose")
+    spark.read.parquet(f"{store.path}/manifest").write.parquet(f"{store.path}-lost/manifest")
+    spark.read.parquet(f"{store.path}/recipes").where("doc_id <> 7 or doc_id is null").write.parquet(f"{store.path}-lost/recipes")
+    with pytest.raises(ValueError, match="do not match the manifest"):
+        content_store.read_checksums(spark, content_store.Store(f"{store.path}-lost"))
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_HOT_ROWS", 5)
+    left = storage.materialize(spark.createDataFrame([(1, i) for i in range(100)] + [(i, i) for i in range(2, 9)] + [(None, 0), (77, 1)], "k int, v int"), "left")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(9)], "k int, w string")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, storage.spread_join(left, right, ["k"], how).collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+
+
 def test_empty_store(spark):
     store = content_store.write_store(make(spark, []), tokens.default_tokenizer())
     assert content_store.read_checksums(spark, store).collect() == []
@@ -250,6 +267,9 @@ def test_decontamination(spark):
     # blocks of patterns make the same result
     few = decontamination.find_contamination(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"), 10, pattern_bytes=40)
     assert sorted((tuple(r[c] for c in columns) for r in few.collect()), key=str) == expected
+    named = spark.createDataFrame([(f"q-{i}", t) for i, t in items], "item_id string, text string")
+    whole, cut = (decontamination.find_contamination(make(spark, docs), named, 10, pattern_bytes=b).collect() for b in (1 << 20, 40))
+    assert sorted(map(str, whole)) == sorted(map(str, cut)) and sum(r["n_items"] for r in whole) > 0
     spans = {r["doc_id"]: r["spans"] for r in got.collect()}
     raw = docs[0][1].encode()
     assert [raw[s["start"] : s["end"]] for s in spans[1]] == [b"THE QUICK, brown--fox jumps over the lazy dog AND then it"]
@@ -295,7 +315,7 @@ def brute_components(fps):
 @pytest.mark.parametrize("extra", [None, 2])
 def test_simhash(spark, extra, monkeypatch):
     if extra:
-        monkeypatch.setattr(simhash, "_BLOCK", 3)  # components above a block go the other way
+        monkeypatch.setattr(storage, "_HOT_ROWS", 3)  # large components go the other way
     rng = random.Random(2)
     words = [f"w{k}" for k in range(500)]
     base = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(12)]
