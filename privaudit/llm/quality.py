@@ -57,7 +57,7 @@ _BIGRAMS = (_SHAPES + 1) * (_SHAPES + 1)
 _PRIOR, _ERRORS = 4.0, 1.5
 _BEGINNINGS, _TIMES = (5, 6, 7), (1, 2, 4)
 _SIGNS = b".,;:!?#%&*$|\"'()[]{}<>-_=+/\\"
-_ROWS = 2000
+_ROWS = 1000
 #: Counting tasks a core.
 _TASKS = 8
 
@@ -87,7 +87,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.values)
     distinct = listed(coded.dictionary)
-    if len(_KNOWN) > 200_000:
+    if len(_KNOWN) > 150_000:
         _KNOWN.clear()
     found = list(map(_KNOWN.get, distinct))
     for i in [i for i, known in enumerate(found) if known is None]:

@@ -26,7 +26,7 @@ from privaudit.llm.storage import materialize
 
 _BANDS, _ROWS = 24, 5
 #: Pivots of a bucket, by round.
-ROUNDS = (1, 64)
+ROUNDS = (1, 24)
 #: Numbers of texts to check are broadcast up to so many, and joined beyond.
 _BROADCAST_ROWS = 100_000
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, _BANDS * _ROWS), np.uint64)
