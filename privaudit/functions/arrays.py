@@ -41,16 +41,6 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def squared_error(a: Column, b: Column) -> Column:
-    """Mean over the entries."""
-    return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a)
-
-
-def diffuse(x: Column, noise: Column, alpha: float) -> Column:
-    """sqrt(alpha) x + sqrt(1 - alpha) noise."""
-    return F.zip_with(x, noise, lambda a, e: F.lit(alpha**0.5) * a + F.lit((1 - alpha) ** 0.5) * e)
-
-
 def output_transform(values: Column, kind: str) -> Column:
     apply = {
         "none": lambda x: x,

@@ -41,13 +41,27 @@ def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tpr_at_fpr(scores: DataFrame, keys: list[str], target: float = 0.10) -> DataFrame:
-    """Highest TPR among row cuts with FPR at most ``target``; rows by score down, then ``sample_id``; 0 if a class is missing."""
-    rows = scores.select(*keys, "sample_id", "score", F.col("y").cast("long").alias("y"), (1 - F.col("y")).cast("long").alias("not_y"))
-    ranks = running(ranged(rows, "score"), keys, [F.desc("score"), F.asc("sample_id")], F.desc("part"), {"tp": "y", "fp": "not_y"})
-    totals = scores.groupBy(*keys).agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    joined = ranks.join(totals, keys) if keys else ranks.crossJoin(totals)
-    best = joined.groupBy(*keys).agg(F.max(F.when((F.col("n") > 0) & (F.col("fp") / F.col("n") <= F.lit(target)) & (F.col("p") > 0), F.col("tp") / F.col("p"))).alias("tpr"))
-    return best.select(*keys, F.coalesce("tpr", F.lit(0.0)).alias("tpr_at_fpr"))
+    """Highest TPR among row cuts with FPR at most ``target``; rows by score down, then ``sample_id``; 0 if a class is missing.
+
+    Counts per score decide but for the one score at which a group passes the
+    target; its rows are counted in ``sample_id`` order, over ranges of ids.
+    """
+    by_score = scores.groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    ranks = running(ranged(by_score, "score"), keys, [F.desc("score")], F.desc("part"), {"tp": "pos", "fp": "neg"})
+    totals = by_score.groupBy(*keys).agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
+    joined = ranks.join(F.broadcast(totals), keys) if keys else ranks.crossJoin(F.broadcast(totals))  # a row per group
+    within = lambda fp: F.when(F.col("n") > 0, fp / F.col("n") <= F.lit(target)).otherwise(False)
+    fits = within(F.col("fp"))
+    passing = F.max(F.when(~fits, F.struct("score", (F.col("tp") - F.col("pos")).alias("tp0"), (F.col("fp") - F.col("neg")).alias("fp0"))))
+    groups = joined.groupBy(*keys).agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max(F.when(fits, F.col("tp"))).alias("whole"), passing.alias("at"))
+    at = groups.select(*keys, F.col("at.score").alias("score"), "at.tp0", "at.fp0", "n").where("score is not null")
+    tied = scores.join(F.broadcast(at), [*keys, "score"]).select(*keys, "sample_id", "tp0", "fp0", "n", F.col("y").cast("long").alias("y"), (1 - F.col("y")).cast("long").alias("not_y"))
+    tied = tied.repartitionByRange(*keys, "sample_id").withColumn("part", F.spark_partition_id())
+    cuts = running(tied, keys, [F.asc("sample_id")], F.asc("part"), {"tp": "y", "fp": "not_y"})
+    inner = cuts.where(within(F.col("fp0") + F.col("fp"))).groupBy(*keys).agg(F.max(F.col("tp0") + F.col("tp")).alias("inner"))
+    best = groups.join(F.broadcast(inner), keys, "left") if keys else groups.crossJoin(F.broadcast(inner))
+    value = F.when((F.col("p") > 0) & (F.col("n") > 0), F.greatest(F.coalesce("whole", F.lit(0)), F.coalesce("inner", F.lit(0))) / F.col("p"))
+    return best.select(*keys, F.coalesce(value, F.lit(0.0)).alias("tpr_at_fpr"))
 
 
 def accuracy(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,12 +77,8 @@ def evaluate(scores: DataFrame, keys: list[str], target: float = 0.10) -> DataFr
 
 def report(metrics: DataFrame) -> DataFrame:
     """Per-split rows and, with a null ``split_no``, the average of each (trained_on, source)."""
-    metrics.createOrReplaceTempView("_privaudit_metrics")
-    return metrics.sparkSession.sql(
-        """SELECT trained_on, source, split_no, avg(auc) AS auc, avg(tpr_at_fpr) AS tpr_at_fpr, avg(acc) AS acc
-           FROM _privaudit_metrics
-           GROUP BY GROUPING SETS ((trained_on, source, split_no), (trained_on, source))"""
-    )
+    columns = [F.col(c) for c in ("trained_on", "source", "split_no")]
+    return metrics.groupingSets([columns, columns[:2]], *columns).agg(*(F.avg(m).alias(m) for m in ("auc", "tpr_at_fpr", "acc")))
 
 
 def domain_gap(metrics: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quantile normalisation of matrix columns to a normal distribution.
 
 Fit: quantiles at min(1000, n) even levels by linear interpolation, made monotone.
+Exact at any size: values are counted, running counts come from value ranges and
+their totals, and a level takes the two values that stand at its place.
 Transform: interpolate forward and backward and average (ties), inverse normal,
-clip.  ``approximate`` fits with percentile sketches where a column's values do
-not fit one task.
+clip.
 """
 
 from __future__ import annotations
@@ -12,44 +13,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from privaudit.functions.normal import cdf_array, ppf, ppf_array
+from privaudit.operators.metrics import ranged, running
 
 MOST = 1000
 _EDGE = 1e-7
 
 
-def levels(n: int) -> list[float]:
-    n = max(2, min(MOST, n))
-    return [i / (n - 1) for i in range(n)]
+def fit(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``keys, quantiles`` from long cells (``keys, value``); ``n``: rows per column, which sets the number of levels."""
+    last = max(2, min(MOST, n)) - 1
+    counts = cells.where("value is not null").groupBy(*keys, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("times"))
+    placed = running(ranged(counts, "value"), keys, [F.asc("value")], F.asc("part"), {"before": "times"}, inclusive=False)
+    totals = counts.groupBy(*keys).agg(F.sum("times").alias("rows"))
+    # a value holds the places before .. before + times - 1; level i is at place i / last * (rows - 1)
+    rows = placed.join(F.broadcast(totals), keys).withColumn("step", (F.col("rows") - 1) / F.lit(float(last)))
+    low = F.when(F.col("step") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((F.col("before") - 1) / F.col("step")) - 1)).cast("int")
+    high = F.when(F.col("step") == 0, F.lit(last)).otherwise(F.least(F.lit(last), F.ceil((F.col("before") + F.col("times")) / F.col("step")) + 1)).cast("int")
+    place = F.col("i") / F.lit(float(last)) * (F.col("rows") - 1)
+    held = lambda at: F.when((at >= F.col("before")) & (at < F.col("before") + F.col("times")), F.col("value"))
+    near = rows.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("i"))
+    ends = near.select(*keys, "i", (place - F.floor(place)).alias("share"), held(F.floor(place)).alias("a"), held(F.ceil(place)).alias("b")).where("a is not null or b is not null")
+    at = ends.groupBy(*keys, "i").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("share").alias("share"))
+    levels_of = at.select(*keys, "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("q"))
+    grown = F.max("q").over(Window.partitionBy(*keys).orderBy("i"))  # a row per level
+    ordered = levels_of.select(*keys, F.struct("i", grown.alias("q")).alias("q")).groupBy(*keys).agg(F.sort_array(F.collect_list("q")).alias("q"))
+    return ordered.select(*keys, F.transform("q", lambda x: x["q"]).alias("quantiles"))
 
 
-def fit(cells: DataFrame, keys: list[str], n: int, approximate: bool = False) -> DataFrame:
-    """``keys, quantiles`` from long cells (``keys, value``); ``n``: rows per column."""
-    refs = levels(n)
-    found = F.percentile_approx("value", refs, 100_000) if approximate else F.percentile("value", refs)
-    fitted = cells.groupBy(*keys).agg(found.cast("array<double>").alias("q"))
-    grown = F.aggregate("q", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.greatest(x, F.coalesce(F.get(a, F.size(a) - 1), x)))))
-    return fitted.select(*keys, grown.alias("quantiles"))
+def _knots(quantiles: Column, holds) -> Column:
+    """How many of the first knots hold, by halving steps."""
+    n, steps = F.size(quantiles), [1 << k for k in range(MOST.bit_length() - 1, -1, -1)]
+
+    def step(at: Column, s: Column) -> Column:
+        inside = at + s <= n
+        return F.when(inside & holds(F.get(quantiles, F.when(inside, at + s - 1).otherwise(0))), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
 def uniform(value: Column, quantiles: Column) -> Column:
     """The average of forward and backward interpolation; 0 and 1 at and beyond the ends."""
     n = F.size(quantiles)
-    below = F.size(F.filter(quantiles, lambda q: q <= value))  # knots not above
-    under = F.size(F.filter(quantiles, lambda q: q < value))  # knots below
+    counts = F.struct(_knots(quantiles, lambda q: q <= value).alias("below"), _knots(quantiles, lambda q: q < value).alias("under"))
 
     def at(i: Column) -> Column:
         return F.get(quantiles, i.cast("int"))
 
-    def mix(left: Column) -> Column:
+    def placed(c: Column) -> Column:
+        left = c["below"] - 1
         a, b = at(left), at(left + 1)
-        return (left + (value - a) / (b - a)) / (n - 1)
+        tied = ((left + c["under"]) / F.lit(2.0)) / (n - 1)
+        return F.when(c["below"] > c["under"], tied).otherwise((left + (value - a) / (b - a)) / (n - 1))
 
-    tied = (((below - 1) + under) / F.lit(2.0)) / (n - 1)
-    return F.when(value <= at(F.lit(0)), F.lit(0.0)).when(value >= at(n - 1), F.lit(1.0)).when(below > under, tied).otherwise(mix(below - 1))
+    # a lambda's argument is computed once, a column at each of its uses
+    inner = F.get(F.transform(F.array(counts), placed), F.lit(0))
+    return F.when(value <= at(F.lit(0)), F.lit(0.0)).when(value >= at(n - 1), F.lit(1.0)).otherwise(inner)
 
 
 def normal(value: Column, quantiles: Column) -> Column:

@@ -1,12 +1,14 @@
 """The audit: splits, shadows, synthetic tables, loss features, classifier, metrics, scores.
 
 Every stage is a Parquet table below ``root``.  A stage computes only the splits
-that it lacks or whose fingerprint, which includes that of all stages before it,
-has changed.
+that it lacks or whose fingerprint has changed; that covers the settings of the
+stage and of all before it and the contents of the input tables.  A forced stage is
+computed once more, and so are all stages after it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from privaudit.plans import classify
 from privaudit.plans.shadows import FAMILIES, Family
 from privaudit.sources import matrix, splits_io, stages
 
+_STAGES = ("shadows", "synthetic", "features", "classifier")
 _DATA = ("seed", "ratio", "scale", "label_mode", "neighbours")
 _FIT = (*_DATA, "family", "floor", "latent_dim")
 _SCORE = (*_FIT, "levels", "draws", "temperatures")
@@ -42,6 +45,8 @@ class Audit:
 
     def __post_init__(self):
         self.spark = self.samples.sparkSession
+        self._renewed: set[str] = set()
+        self._contents: str | None = None
         if self.external is not None:
             n = self.external.select("split_no").distinct().count()
             k, q = splits.capped(self.cfg.train_shadows, self.cfg.holdout_shadows, n)
@@ -63,6 +68,21 @@ class Audit:
             return df.drop("label_idx").transform(labels.knn_labels(self.labelled, self.cfg.neighbours)).withColumnRenamed("y_label", "label_idx")
         return df.withColumn("label_idx", F.lit(0))
 
+    def _forced(self, stage: str, path: str) -> bool:
+        """Whether the stage, or one before it, is to be computed again and has not been yet."""
+        if path in self._renewed or not self.force & {*_STAGES[: _STAGES.index(stage) + 1]}:
+            return False
+        self._renewed.add(path)
+        return True
+
+    def _fingerprint(self, *fields: str) -> str:
+        """Of the settings and of the input tables' contents."""
+        if self._contents is None:
+            tables = [t for t in (self.samples, self.labelled, self.external, self.split_table) if t is not None]
+            sums = [t.agg(F.count("*"), F.sum(F.xxhash64(*sorted(t.columns)).cast("decimal(20,0)"))).first() for t in tables]
+            self._contents = hashlib.sha1(repr([tuple(map(str, r)) for r in sums]).encode()).hexdigest()[:12]
+        return f"{self.cfg.fingerprint(*fields)}-{self._contents}"
+
     def splits(self) -> DataFrame:
         if self.split_table is not None:
             return self.split_table.select("split_no", "sample_id", "is_member")
@@ -99,7 +119,7 @@ class Audit:
             return out
 
         path = self.path(f"shadows-{source}")
-        stages.ensure(self.spark, path, self.cfg.splits, self.cfg.fingerprint(*_FIT), compute, "shadows" in self.force)
+        stages.ensure(self.spark, path, self.cfg.splits, self._fingerprint(*_FIT), compute, self._forced("shadows", path))
         return self.spark.read.parquet(path)
 
     def synthetic(self) -> DataFrame:
@@ -117,7 +137,7 @@ class Audit:
             return out
 
         path = self.path("synthetic")
-        stages.ensure(self.spark, path, self.cfg.splits, self.cfg.fingerprint(*_FIT), compute, "synthetic" in self.force)
+        stages.ensure(self.spark, path, self.cfg.splits, self._fingerprint(*_FIT), compute, self._forced("synthetic", path))
         return self.spark.read.parquet(path)
 
     def features(self, source: str) -> DataFrame:
@@ -134,7 +154,7 @@ class Audit:
             return out.join(truth, ["split_no", "sample_id"])
 
         path = self.path(f"features-{source}")
-        stages.ensure(self.spark, path, self.cfg.splits, self.cfg.fingerprint(*_SCORE), compute, "features" in self.force)
+        stages.ensure(self.spark, path, self.cfg.splits, self._fingerprint(*_SCORE), compute, self._forced("features", path))
         return self.spark.read.parquet(path)
 
     def _by_role(self, source: str) -> DataFrame:
@@ -142,8 +162,8 @@ class Audit:
         return classify.prepared(self.features(source), self.cfg).join(F.broadcast(roles), "split_no")  # a row per split
 
     def classifier(self, source: str = "real") -> classify.Classifier:
-        path = self.path(f"classifier-{source}-{self.cfg.classifier}-{self.cfg.fingerprint()}")
-        if "classifier" not in self.force:
+        path = self.path(f"classifier-{source}-{self.cfg.classifier}-{self._fingerprint()}")
+        if not self._forced("classifier", path):
             try:
                 return classify.load(path, self.cfg.classifier)
             except Exception as e:

@@ -16,7 +16,7 @@ from privaudit.functions import arrays, noise, normal
 from privaudit.operators import features as feats
 from privaudit.operators import labels, metrics, scaler, splits, statistics
 from privaudit.plans.shadows import FAMILIES, generate_class
-from privaudit.sources import matrix, splits_io
+from privaudit.sources import matrix, splits_io, stages
 
 SPLITS, SEED, RATIO = [1, 2, 3, 4, 5], 42, 0.8
 LEVELS, DRAWS = (5, 10, 20), 4
@@ -152,7 +152,7 @@ def _priced(spark, d):
 
 def quantile_fit(spark, d):
     fitted = scaler.fit(_priced(spark, d), ["gene"], 1000)
-    return fitted.select("gene", F.posexplode("quantiles").alias("i", "q")).select("gene", "i", F.round("q", 5).alias("q"))
+    return fitted.select("gene", F.posexplode("quantiles").alias("i", "q")).select("gene", "i", F.round("q", 7).alias("q"))
 
 
 def _scaled_cells(spark, d):
@@ -171,13 +171,14 @@ def quantile_normal(spark, d):
 
 
 def quantile_round_trip(spark, d):
-    """Largest difference of members' values after transform and inverse."""
+    """Members' values after transform and inverse, summed, and the largest difference."""
     samples = _samples(spark, d)
     own = splits.members(samples, splits.assign(samples, [1], RATIO, SEED), 1).select("sample_id", "features")
     Q = scaler.quantile_matrix(scaler.fit(matrix.cells(own), ["gene_idx"], own.count()))
     back = scaler.apply_rows(scaler.apply_rows(own, Q), Q, inverse=True).withColumnRenamed("features", "back")
     gap = F.array_max(F.zip_with("features", "back", lambda a, b: F.abs(a.cast("double") - b)))
-    return own.join(back, "sample_id").select("sample_id", (gap < 1e-4).alias("restored"))
+    total = F.round(arrays.total(F.transform("back", lambda x: F.round(x, 4))), 2)
+    return own.join(back, "sample_id").select("sample_id", (gap < 1e-4).alias("restored"), total.alias("total"))
 
 
 # ---- noise, shadows, losses
@@ -297,6 +298,16 @@ def shadow_spectrum(spark, d):
     return fitted.select("split_no", "n", F.round(F.get("eigvals", F.lit(0)), 6).alias("largest"), F.round(arrays.total(F.col("eigvals")), 6).alias("trace"))
 
 
+def shadow_forms(spark, d):
+    """The spectrum's trace, and its quadratic forms onto the sum and the difference of neighbouring columns."""
+    fitted = statistics.spectrum(_member_rows(spark, d))
+    places = F.sequence(F.lit(0), F.size("eigvals") - 1)
+    # component i of vector k stands at i * size + k
+    along = lambda sign: arrays.total(F.transform("eigvals", lambda v, k: v * F.pow(arrays.total(F.transform(places, lambda i: sign(i) * F.get("eigvecs", i * F.size("eigvals") + k))), F.lit(2.0))))
+    both = along(lambda i: F.lit(1.0)), along(lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0))
+    return fitted.select("split_no", "n", F.round(arrays.total(F.col("eigvals")), 6).alias("trace"), F.round(both[0], 6).alias("sum_form"), F.round(both[1], 6).alias("difference_form"))
+
+
 def diffusion_losses_full(spark, d):
     family = FAMILIES["diffusion"]
     return family.losses(family.fit(_member_rows(spark, d), 1e-6), _samples(spark, d), _CFG)
@@ -382,20 +393,20 @@ def audit_minimal(spark, d):
     """Splits, diagonal shadows, losses, score, metrics per split."""
     losses = _diag_losses(spark, d).groupBy("split_no", "sample_id").agg(F.round(-F.avg("loss"), 9).alias("score"))
     truth = _assigned(spark, d).select("split_no", "sample_id", F.col("is_member").cast("int").alias("y"))
-    scores = losses.join(truth, ["split_no", "sample_id"])
+    scores = stages.written(losses.join(truth, ["split_no", "sample_id"]), "scores")
     found = metrics.auc(scores, ["split_no"]).join(metrics.tpr_at_fpr(scores, ["split_no"]), "split_no")
     return found.select("split_no", F.round("auc", 9).alias("auc"), F.round("tpr_at_fpr", 9).alias("tpr_at_fpr"))
 
 
-# ---- classifiers and the whole audit
-
+def audit_full(spark, d):
+    """The same with full covariances: shadows, expected losses, score, metrics per split."""
+    losses = diffusion_losses_full(spark, d).select("split_no", "sample_id", (-arrays.total(F.col("features"))).alias("score"))
+    truth = splits.assign(_samples(spark, d), _CFG.splits, RATIO, SEED).select("split_no", "sample_id", F.col("is_member").cast("int").alias("y"))
+    scores = stages.written(losses.join(truth, ["split_no", "sample_id"]), "scores")
+    return metrics.auc(scores, ["split_no"]).join(metrics.tpr_at_fpr(scores, ["split_no"]), "split_no")
 
-def _root(spark, name):
-    import tempfile
-    import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="privaudit-")
-    return f"{base.rstrip('/')}/audit/{name}-{uuid.uuid4().hex[:12]}"
+# ---- classifiers and the whole audit
 
 
 def _audit(spark, d, **changes):
@@ -403,7 +414,7 @@ def _audit(spark, d, **changes):
 
     from privaudit.plans.audit import Audit
 
-    return Audit(_samples(spark, d).withColumnRenamed("label", "label_idx"), _root(spark, "run"), replace(_CFG, **changes))
+    return Audit(_samples(spark, d).withColumnRenamed("label", "label_idx"), stages.shared_path(spark, "run"), replace(_CFG, **changes))
 
 
 def rf_scores(spark, d):
@@ -433,8 +444,8 @@ _ALL = (
     cells_long, matrix_from_long, label_encode, one_hot_codes, positional_join, knn_neighbours, knn_labels, constant_labels,
     quantile_fit, quantile_uniform, quantile_normal, quantile_round_trip,
     forward_diffuse, shadow_stats_diag, shadow_stats_orders, diffusion_losses_diag, loss_summary, loss_summary_array, losses_long, latent_kl_diag, elbo_by_split, output_transforms, stale_features,
-    shadow_spectrum, diffusion_losses_full, latent_losses, generate_latent, generate_diffusion, generate_one_class,
-    score_accuracy, score_auc, tpr_at_fpr, lineitem_auc, eval_report, domain_gap, best_checkpoint, audit_minimal,
+    shadow_spectrum, shadow_forms, diffusion_losses_full, latent_losses, generate_latent, generate_diffusion, generate_one_class,
+    score_accuracy, score_auc, tpr_at_fpr, lineitem_auc, eval_report, domain_gap, best_checkpoint, audit_minimal, audit_full,
     rf_scores, mlp_scores, latent_audit, audit_gap, released_scores,
 )
 
@@ -545,12 +556,15 @@ def oracle_sql() -> dict[str, str]:
         "knn_labels": _SIDES + _NEAR + ", votes AS (SELECT sample_id, label, count(*) AS c FROM near GROUP BY ALL) SELECT sample_id, label AS y_label FROM votes QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY c DESC, label) = 1",
         "constant_labels": "SELECT 0 AS y_label, count(*) AS n FROM embeddings",
         "quantile_fit": "WITH c AS (SELECT 'l_quantity' AS gene, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem), "
-        f"q AS (SELECT gene, quantile_cont(value, {[i / 999 for i in range(1000)]}) AS q FROM c GROUP BY gene) SELECT gene, unnest(range(1000))::INT AS i, round(unnest(q), 5) AS q FROM q",
+        f"q AS (SELECT gene, quantile_cont(value, {[i / 999 for i in range(1000)]}) AS q FROM c GROUP BY gene) SELECT gene, unnest(range(1000))::INT AS i, round(unnest(q), 7) AS q FROM q",
         "quantile_uniform": _QUANTILES + "SELECT sample_id, gene_idx, round(u, 9) AS u FROM u",
         "quantile_normal": _ppf_sql(),
-        "quantile_round_trip": f"WITH {_S}, {_split_cte('sp', 's', [1])} SELECT sample_id, true AS restored FROM sp WHERE is_member",
+        "quantile_round_trip": f"WITH {_S}, {_split_cte('sp', 's', [1])} SELECT sample_id, true AS restored, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 4))), 2) AS total FROM sp JOIN s USING (sample_id) WHERE is_member",
         "forward_diffuse": f"WITH {_S}, {_CELLS}, {_ALPHA} SELECT sample_id, t::INT AS level, round(sum(pow(sqrt(a) * value + sqrt(1 - a) * {_hash_normal('0', 'gene_idx')}, 2)), 6) AS energy FROM cells, alpha WHERE t IN {LEVELS} GROUP BY ALL",
         "shadow_stats_diag": f"WITH {_S}, {_SP}, {_CELLS}, {_STATS} SELECT split_no, gene_idx, n, round(mean, 9) AS mean, round(var, 9) AS var FROM stats",
+        "shadow_forms": f"WITH {_S}, {_split_cte('sp', 's', [1, 2, 3, 4, 5, 6])}, {_CELLS}, t AS (SELECT split_no, sum(v) AS trace FROM (SELECT split_no, gene_idx, var_pop(value) AS v FROM cells JOIN sp USING (sample_id) WHERE is_member GROUP BY ALL) GROUP BY split_no), "
+        "m AS (SELECT split_no, sum(value) AS plus, sum(CASE WHEN gene_idx % 2 = 0 THEN value ELSE -value END) AS turns FROM cells JOIN sp USING (sample_id) WHERE is_member GROUP BY split_no, sample_id) "
+        "SELECT split_no, count(*) AS n, round(any_value(trace), 6) AS trace, round(var_pop(plus), 6) AS sum_form, round(var_pop(turns), 6) AS difference_form FROM m JOIN t USING (split_no) GROUP BY split_no",
         "shadow_stats_orders": f"WITH {_O}, {_split_cte('sp', 'o', [1, 2, 3])} SELECT split_no, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(var_pop(o_totalprice) / 1e6, 2) AS var_millions FROM o JOIN sp USING (sample_id) WHERE is_member GROUP BY ALL",
         "diffusion_losses_diag": losses,
         "losses_long": losses,

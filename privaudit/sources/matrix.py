@@ -64,11 +64,11 @@ def read_labelled(spark: SparkSession, data: str, labels: str, genes: list[str])
     return positional(left, right).select("row_id", "features", "label")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``sample_id, label``: first column and first label column of a CSV."""
+def read_labels(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """``sample_id, label``: first column and the named label column (else the first one) of a CSV."""
     schema = StructType([StructField("sample_id", StringType()), StructField("label", StringType())])
     raw = spark.read.csv(path, header=True)
-    return raw.select(F.col(raw.columns[0]).alias("sample_id"), F.col(raw.columns[1]).alias("label")).to(schema)
+    return raw.select(F.col(raw.columns[0]).alias("sample_id"), F.col(f"`{column or raw.columns[1]}`").alias("label")).to(schema)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

@@ -12,9 +12,16 @@ CUSTOM = "map<string,struct<train_ids:array<string>,test_ids:array<string>>>"
 KFOLD = "struct<splits:map<string,struct<train_index:array<string>,test_index:array<string>>>>"
 
 
-def to_json(table: DataFrame) -> DataFrame:
-    """One ``json`` row: ``{"split_1": {"train_ids": [...], "test_ids": [...]}}``."""
-    ids = lambda member: F.sort_array(F.collect_list(F.when(F.col("is_member") == member, F.col("sample_id").cast("string"))))
+def to_json(table: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """One ``json`` row: ``{"split_1": {"train_ids": [...], "test_ids": [...]}}``.
+
+    The ids stand in the order of the samples' ``ordinal``, or sorted if no ``samples`` are given.
+    """
+    name = F.col("sample_id").cast("string")
+    if samples is not None:
+        table = table.join(samples.select("sample_id", "ordinal"), "sample_id")
+    item = F.struct(*([F.col("ordinal")] if samples is not None else []), name.alias("id"))
+    ids = lambda member: F.transform(F.sort_array(F.collect_list(F.when(F.col("is_member") == member, item))), lambda x: x["id"])
     per = table.groupBy("split_no").agg(ids(F.lit(True)).alias("train_ids"), ids(F.lit(False)).alias("test_ids"))
     entry = F.struct(F.concat(F.lit("split_"), F.col("split_no").cast("string")).alias("key"), F.struct("train_ids", "test_ids").alias("value"))
     return per.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("json"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a temporary one only where the master is this machine."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="privaudit-")
+    return f"{base.rstrip('/')}/audit/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018

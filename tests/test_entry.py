@@ -8,7 +8,7 @@ import __spark_entry__
 
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["split_no", "auc", "tpr_at_fpr"] and df.count() == 5
+    assert df.columns == ["split_no", "auc", "tpr_at_fpr"] and df.count() == 6
 
 
 def test_names():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from privaudit.functions import arrays, noise, normal
 from privaudit.operators import features, labels, metrics, scaler, splits
+from privaudit.sources import splits_io
 
 
 def scores(spark, values, truth):
@@ -141,3 +142,42 @@ def test_null_features_fail(spark):
     df = spark.createDataFrame([("a", [1.0, None])], "sample_id string, features array<double>")
     with pytest.raises(PySparkException, match="null or NaN"):
         features.checked(df).collect()
+
+
+def test_tpr_with_tied_scores(spark):
+    """One score holds all or most rows: cuts inside it follow the ids, whatever ranges they fall in."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, f"s{rng.randrange(10**6):06d}-{i}", score, int(rng.random() < 0.4)) for g, scores in ((1, [0.5]), (2, [0.9, 0.5, 0.1]), (3, [k / 50 for k in range(50)])) for i in range(400) for score in [rng.choice(scores)]]
+    got = {r["g"]: r["tpr_at_fpr"] for r in metrics.tpr_at_fpr(spark.createDataFrame(rows, "g int, sample_id string, score double, y int"), ["g"], 0.1).collect()}
+    for g in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        p, n, tp, fp, best = sum(r[3] for r in own), sum(1 - r[3] for r in own), 0, 0, 0.0
+        for r in own:
+            tp, fp = tp + r[3], fp + 1 - r[3]
+            best = max(best, tp / p) if fp / n <= 0.1 else best
+        assert got[g] == best
+
+
+def test_exact_quantiles_of_tied_and_small_columns(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    columns = {0: [1.0] * 30, 1: [float(rng.randrange(4)) for _ in range(1500)], 2: [rng.gauss(0, 1) for _ in range(1500)], 3: [7.5], 4: [2.0, 4.0]}
+    cells = spark.createDataFrame([(k, v) for k, vs in columns.items() for v in vs], "gene_idx int, value double")
+    for n in (2, 400, 1500):
+        got = {r["gene_idx"]: r["quantiles"] for r in scaler.fit(cells, ["gene_idx"], n).collect()}
+        for k, vs in columns.items():
+            assert np.allclose(got[k], np.quantile(vs, np.linspace(0, 1, max(2, min(1000, n)))), atol=1e-12), (k, n)
+
+
+def test_split_lists_keep_the_samples_order(spark):
+    import json
+
+    samples = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2), ("d", 3)], "sample_id string, ordinal long")
+    table = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", False), (1, "d", True)], "split_no int, sample_id string, is_member boolean")
+    found = json.loads(splits_io.to_json(table, samples).first()["json"])
+    assert found == {"split_1": {"train_ids": ["b", "a", "d"], "test_ids": ["c"]}}
