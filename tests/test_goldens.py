@@ -89,7 +89,7 @@ def test_noise_column_equals_numpy(spark):
 
 def test_quantiles(spark):
     cells = spark.createDataFrame([(0, float(v)) for v in range(1, 6)], "gene_idx int, value double")
-    fitted = scaler.fit(cells, ["gene_idx"], 5)
+    fitted = scaler.fit(cells, ["gene_idx"], 5).cache()
     at = lambda x: fitted.select(scaler.normal(F.lit(x), F.col("quantiles")).alias("z")).first()["z"]
     assert at(2.5) == pytest.approx(-0.318639, abs=1e-6)
     assert at(0.0) == pytest.approx(-5.199337582605575, abs=1e-6)
@@ -101,7 +101,7 @@ def test_quantiles(spark):
 
 def test_ties_in_quantiles(spark):
     cells = spark.createDataFrame([(0, v) for v in (1.0, 2.0, 2.0, 2.0, 3.0)], "gene_idx int, value double")
-    fitted = scaler.fit(cells, ["gene_idx"], 5)
+    fitted = scaler.fit(cells, ["gene_idx"], 5).cache()
     u = fitted.select(scaler.uniform(F.lit(2.0), F.col("quantiles")).alias("u")).first()["u"]
     assert u == 0.5
     assert scaler.transform_matrix(np.array([[2.0]]), scaler.quantile_matrix(fitted))[0, 0] == pytest.approx(0.0, abs=1e-12)
