@@ -88,11 +88,16 @@ def test_audit_is_incremental(spark, small, tmp_path, family):
     metrics = audit.metrics("synth", "synth").collect()
     assert len(metrics) == 1 and 0 <= metrics[0]["auc"] <= 1
     path, required = audit.path("features-synth"), cfg.splits
-    fresh = cfg.fingerprint("seed", "ratio", "scale", "label_mode", "neighbours", "family", "floor", "latent_dim", "levels", "draws", "temperatures")
+    fresh = audit._fingerprint("seed", "ratio", "scale", "label_mode", "neighbours", "family", "floor", "latent_dim", "levels", "draws", "temperatures")
     assert stages.ensure(spark, path, required, fresh, lambda n: 1 / 0) == []
     assert stages.ensure(spark, path, [*required, 9], "other", lambda n: spark.read.parquet(path).where("split_no = 1").drop("fingerprint").withColumn("split_no", F.lit(9))) == [*required, 9]
     gap = audit.domain_gap().first()
     assert gap["trained_on"] == "real"
+    # other contents under one root are other stages; a forced stage renews those after it, once
+    fewer = Audit(_samples(spark, small).where("label < 9"), audit.root, cfg)
+    assert fewer._fingerprint("seed") != audit._fingerprint("seed") == Audit(_samples(spark, small).repartition(3), audit.root, cfg)._fingerprint("seed")
+    forced = Audit(_samples(spark, small), audit.root, cfg, force=frozenset({"synthetic"}))
+    assert not forced._forced("shadows", "a") and forced._forced("synthetic", "b") and forced._forced("classifier", "c") and not forced._forced("classifier", "c")
 
 
 def test_external_tables_are_capped_and_use_their_splits(spark, small, tmp_path):
