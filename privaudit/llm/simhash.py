@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.similar import ROUNDS, bands, links, shingles
+from privaudit.llm.similar import ROUNDS, bands, links, remaining_links, shingles
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BLOCK = 8192
@@ -334,23 +334,32 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], []
+            found, keys, sketches = [], [], []
             for value in batch.column(0):
                 text = value.as_py()
                 found.append(fingerprint(text, size))
-                keys.append(bands(shingles(text, similar[0])) if similar else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["number", "id", "row", "fp", "bands"])
+                own, sketch = bands(shingles(text, similar[0])) if similar else (None, None)
+                keys.append(own)
+                sketches.append(sketch)
+            lists = (pa.array(c, pa.list_(pa.int64())) for c in (keys, sketches))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(found, np.uint64).view(np.int64)), *lists], names=["number", "id", "row", "fp", "bands", "sketch"])
 
     kinds = dict(inputs.dtypes)
-    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, bands array<long>"), "simhash-rows")
+    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, bands array<long>, sketch array<long>"), "simhash-rows")
     best = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best")), "simhash-best")
     merged = best.join(classes(best, radius, extra), "fp")
-    for pivots in ROUNDS if similar else ():
+    for pivots in (*ROUNDS, None) if similar else ():
         merged = materialize(merged.select("fp", "best", "root"), "simhash-merged")
-        kept = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"), F.lit(True).alias("kept"))
-        members = merged.select("fp", "root", F.col("best.number").alias("number")).join(kept, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-        members = members.join(rows.select("number", "bands"), "number")
-        near = materialize(links(members, rows.select("number", F.col("row.text").cast("string").alias("text")), *similar, pivots), "simhash-similar")
+        members = merged.select("fp", "root", F.col("best.number").alias("number"))
+        texts = rows.select("number", F.col("row.text").cast("string").alias("text"))
+        if pivots:
+            kept = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"), F.lit(True).alias("kept"))
+            members = members.join(kept, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+            found = links(members.join(rows.select("number", "bands"), "number"), texts, *similar, pivots)
+        else:
+            members = materialize(members.join(rows.select("number", "bands", "sketch"), "number"), "simhash-members")
+            found = remaining_links(members, texts, *similar)
+        near = materialize(found, "simhash-similar")
         of = merged.select("fp", "root")
         ends = near.join(of.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
         tops = materialize(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-tops")

@@ -4,31 +4,39 @@ Candidates share a band of min-hashes; every candidate pair is then checked
 exactly, on the texts' shingle sets.  With ``_BANDS`` bands of ``_ROWS`` values a
 pair at similarity 0.8 has no common band with chance 0.00007.
 
-Texts that are already known to belong together (``root``) are not compared.  A
-bucket holds two members of each root, that of the kept row and another that
-changes from band to band.  The first ``pivots`` of a bucket meet all the others:
-up to ``pivots + 1`` members, these are all pairs.  The rounds of ``ROUNDS`` are run
-one after the other: the first, with few pivots, ties large groups together, so
-that the later one, with many, finds only two members of each of them.
+Texts that are already known to belong together (``root``) are not compared.
+``links`` ties large groups together: a bucket holds two members of each root,
+that of the kept row and another that changes from band to band, and the first
+``pivots`` of them meet all the others.  ``remaining_links`` then finds every link
+that is left: all members of a bucket meet all those of other roots, compared by
+sketches (two bits of each min-hash) in blocks of bounded size, and only pairs
+whose sketches agree are read as texts.  At similarity 0.8 sketches agree in 85 %
+of their places on average; the bound of 68 % lies five standard errors below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm.storage import materialize
+from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BANDS, _ROWS = 24, 5
-#: Pivots of a bucket, by round.
-ROUNDS = (1, 24)
+#: Pivots of a bucket, by round, before the round that meets all that is left.
+ROUNDS = (1,)
+#: Members of a bucket that one task compares at a time.
+_BLOCK = 4096
+#: Agreeing places that sketches of linked texts have at least, of ``_BANDS * _ROWS``.
+_AGREE = 82
 #: Numbers of texts to check are broadcast up to so many, and joined beyond.
 _BROADCAST_ROWS = 100_000
+#: Bytes of the texts on each side of a cell of pairs, about.
+_CELL_BYTES = 8 << 20
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, _BANDS * _ROWS), np.uint64)
 _TIMES, _PLUS = (_DRAWN[0] << np.uint64(1) | np.uint64(1))[:, None], _DRAWN[1][:, None]
 
@@ -48,37 +56,133 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band of min-hashes; none for an empty set."""
+def bands(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """A signed key for each band of min-hashes, and the sketch: two bits of each in four numbers; none for an empty set."""
     from xxhash import xxh64_intdigest
 
     if not len(hashes):
-        return []
+        return [], []
     least = np.full(_BANDS * _ROWS, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[at : at + 2048] * _TIMES + _PLUS) >> np.uint64(32)).min(axis=1))
     keys = [xxh64_intdigest(row.tobytes(), 7) for row in least.reshape(_BANDS, _ROWS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    bits = np.zeros(256, np.uint8)
+    bits[: 2 * len(least)] = np.stack([least & np.uint64(1), least >> np.uint64(1) & np.uint64(1)], axis=1).ravel()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), np.packbits(bits).view(np.int64).tolist()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets; empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def near(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` have a Jaccard similarity to ``one`` of at least ``similarity``; none of the sorted sets is empty."""
+    lengths = np.array([len(o) for o in others])
+    whole = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, whole), len(one) - 1)] == whole
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths)
+    return both / (len(one) + lengths - both) >= similarity
 
 
 def _check(size: int, similarity: float):
+    """Cells come one after the other, each with its texts before its pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lru_cache(maxsize=64)(lambda text: shingles(text, size))
+        cell, sets = None, {}
         for batch in batches:
-            near = [jaccard(cut(x.as_py()), cut(y.as_py())) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            found: list[tuple[int, int]] = []
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            for (cx, cy, x), group in groupby(rows, lambda r: (r[0], r[1], r[5])):
+                if cell != (cx, cy):
+                    cell, sets = (cx, cy), {}
+                pairs = []
+                for row in group:
+                    if row[6] is None:
+                        sets[x] = shingles(row[2], size)
+                    else:
+                        pairs.append(row)
+                for at in range(0, len(pairs), 256):
+                    some = pairs[at : at + 256]
+                    similar = near(sets[x], [sets[r[6]] for r in some], similarity).tolist()
+                    found += [r[3:5] for r, yes in zip(some, similar) if yes]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def links(members: DataFrame, texts: DataFrame, size: int, similarity: float, pivots: int = ROUNDS[-1]) -> DataFrame:
-    """``a, b``: members of different roots that are at least so similar.
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places at which sketches agree; ``a`` and ``b`` end in an axis of four numbers."""
+    x = a ^ b
+    differ = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return _BANDS * _ROWS - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a part (``band, key, pair``; rows come sorted by them) that may be similar."""
+
+    def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, fp, number, root, *words = (np.concatenate(c) for c in zip(*parts))
+        sketch = np.stack(words, axis=1).view(np.uint64)
+        step = max(1, (1 << 18) // len(fp))
+        for at in range(0, len(fp), step):
+            rows = np.arange(at, min(at + step, len(fp)))[:, None]
+            later = np.arange(at, len(fp))[None, :]
+            meets = (later > rows) & (root[rows] != root[later]) & ((side[rows] == 0) | (side[rows] != side[later]))
+            i, j = np.nonzero(meets)
+            a, b = i + at, j + at
+            near = agreeing(sketch[a], sketch[b]) >= _AGREE
+            a, b = a[near], b[near]
+            swap = fp[a] > fp[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[a], fp[b], number[a], number[b])], names=["a", "b", "x", "y"])
+
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        edges = [0, *(np.nonzero(new)[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            part = tuple(c[a] for c in columns[:3])
+            if part != last and held:
+                yield from pairs(held)
+                held = []
+            last = part
+            held.append(tuple(c[a:b] for c in columns[3:]))
+    if held:
+        yield from pairs(held)
+
+
+def remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: all members of different roots that share a band and are at least so similar.
+
+    ``members``: ``fp, number, root, bands, sketch``, a written table with each
+    ``fp`` once; ``texts``: ``number, text``.  A bucket of one root needs nothing.  In
+    one above ``_BLOCK`` members, those of its largest root are cut into blocks that
+    meet the blocks of the others, and these meet each other.
+    """
+    keyed = members.select("fp", "root", F.posexplode("bands").alias("band", "key"))
+    by_root = keyed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    mixed = materialize(mixed.select("band", "key", "n", F.col("top.n").alias("top_n"), F.col("top.root").alias("top")), "similar-buckets")
+    found = spread_join(keyed, mixed, ["band", "key"])
+    k, k_top, k_rest = F.col("n") > _BLOCK, F.ceil(F.col("top_n") / F.lit(_BLOCK)).cast("int"), F.ceil((F.col("n") - F.col("top_n")) / F.lit(_BLOCK)).cast("int")
+    found = found.select("band", "key", "fp", k.alias("cut"), (F.col("root") == F.col("top")).alias("in_top"), k_top.alias("k_top"), k_rest.alias("k_rest"), F.xxhash64("fp").alias("deal"))
+    part = lambda pair, side: F.struct(pair.cast("long").alias("pair"), side.cast("int").alias("side"))
+    own = F.when(F.col("in_top"), F.pmod("deal", F.col("k_top"))).otherwise(F.pmod("deal", F.col("k_rest"))).cast("int")
+    tops, rest = F.sequence(F.lit(0), F.col("k_top") - 1), F.sequence(F.lit(0), F.col("k_rest") - 1)
+    across = F.when(F.col("in_top"), F.transform(rest, lambda j: part(own * F.col("k_rest") + j, F.lit(1)))).otherwise(F.transform(tops, lambda i: part(i * F.col("k_rest") + own, F.lit(2))))
+    among = F.transform(rest, lambda j: part(F.col("k_top") * F.col("k_rest") + F.least(own, j) * F.col("k_rest") + F.greatest(own, j), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
+    parts = F.when(~F.col("cut"), F.array(part(F.lit(0), F.lit(0)))).when(F.col("in_top"), across).otherwise(F.concat(across, among))
+    placed = found.select("band", "key", "fp", F.explode(parts).alias("p")).select("band", "key", "p.pair", "p.side", "fp")
+    words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)]
+    placed = placed.join(members.select("fp", "number", "root", *words), "fp").select("band", "key", "pair", "side", "fp", "number", "root", *(f"s{i}" for i in range(4)))
+    placed = placed.repartition(partitions_for(members.sparkSession), "band", "key", "pair").sortWithinPartitions("band", "key", "pair")
+    met = placed.mapInArrow(_meet, "a long, b long, x long, y long")
+    return _similar(materialize(met.distinct(), "similar-pairs"), texts, size, similarity)
+
+
+def links(members: DataFrame, texts: DataFrame, size: int, similarity: float, pivots: int) -> DataFrame:
+    """``a, b``: members of different roots that are at least so similar, of those that meet a pivot.
 
     ``members``: ``fp, number, root, kept, bands``, each ``fp`` once; ``texts``:
     ``number, text``.
@@ -94,8 +198,23 @@ def links(members: DataFrame, texts: DataFrame, size: int, similarity: float, pi
     met = entries.join(some, ["band", "key"]).where("place > p and root <> r")
     ends = lambda pick: pick(F.struct("fp", "number"), F.struct(F.col("f").alias("fp"), F.col("m").alias("number")))
     pairs = materialize(met.select(ends(F.least).alias("x"), ends(F.greatest).alias("y")).distinct().select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.number").alias("x"), F.col("y.number").alias("y")), "similar-pairs")
+    return _similar(pairs, texts, size, similarity)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b, x, y`` whose texts, of the numbers ``x`` and ``y``, are at least so similar.
+
+    Pairs are dealt to cells by both their numbers, so a task reads each text of a
+    cell once, however many pairs it is in, and a cell's texts are bounded.
+    """
     needed = pairs.select(F.col("x").alias("number")).union(pairs.select(F.col("y").alias("number"))).distinct()
     few = needed.count() <= _BROADCAST_ROWS
     found = materialize(texts.join(F.broadcast(needed) if few else needed, "number", "left_semi"), "similar-texts")
-    sides = [found.select(F.col("number").alias(n), F.col("text").alias(f"text_{n}")) for n in "xy"]
-    return pairs.join(sides[0], "x").join(sides[1], "y").select("a", "b", "text_x", "text_y").mapInArrow(_check(size, similarity), "a long, b long")
+    held = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    k = F.lit(1 + held // _CELL_BYTES)
+    cells = pairs.select(F.pmod(F.xxhash64("x"), k).alias("cx"), F.pmod(F.xxhash64("y"), k).alias("cy"), "a", "b", "x", "y")
+    ends = cells.select("cx", "cy", F.explode(F.array("x", "y")).alias("number")).distinct()
+    given = ends.join(found, "number").select("cx", "cy", "text", *(F.lit(None).cast("long").alias(c) for c in "ab"), F.col("number").alias("x"), F.lit(None).cast("long").alias("y"))
+    rows = given.union(cells.select("cx", "cy", F.lit(None).cast("string").alias("text"), "a", "b", "x", "y"))
+    placed = rows.repartition(partitions_for(pairs.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy", F.col("y").isNotNull(), "x")
+    return placed.mapInArrow(_check(size, similarity), "a long, b long")

@@ -1,7 +1,9 @@
 """The corpus pipeline: every stage's decision takes effect on all that the stage before kept."""
 
+import numpy as np
+
 import corpus_pipeline
-from privaudit.llm import decontamination, quality, simhash
+from privaudit.llm import decontamination, quality, similar, simhash
 from tests.llm.test_corpus_ops import check_packing
 from tokenizers import Tokenizer
 
@@ -65,3 +67,30 @@ def test_near_copies_at_similarity(spark, small):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), small).collect()}
     assert all(near(texts[10 * k], texts[10 * k + 1]) and not near(texts[10 * k], texts[10 * k + 2]) for k in range(40))
     assert kept == {10 * k + d for k in range(40) for d in (0, 2)}
+
+
+def test_remaining_links(spark, monkeypatch):
+    """All links between different roots that share a band, in whole and in cut buckets."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    sets, texts = [], []
+    for _ in range(90):  # one crowd around the same words
+        at = int(rng.integers(0, 12))
+        words = [*base[:at], *(f"n{rng.integers(1 << 40)}" for _ in range(rng.integers(0, 3))), *base[at:]]
+        texts.append(" ".join(words))
+        sets.append(similar.shingles(texts[-1], 5))
+    roots = [0 if i < 60 else i for i in range(90)]
+    bands, sketches = zip(*(similar.bands(s) for s in sets))
+    rows = [(i, i, roots[i], bands[i], sketches[i]) for i in range(90)]
+    members = spark.createDataFrame(rows, "fp long, number long, root long, bands array<long>, sketch array<long>")
+    given = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
+    jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    pairs = {(i, j) for i in range(90) for j in range(i + 1, 90) if roots[i] != roots[j] and set(bands[i]) & set(bands[j])}
+    want = {(i, j) for i, j in pairs if jaccard(i, j) >= 0.8}
+    assert 100 < len(want) < len(pairs)
+    for block, cell in ((4096, 8 << 20), (7, 2000), (40, 500)):
+        monkeypatch.setattr(similar, "_BLOCK", block)
+        monkeypatch.setattr(similar, "_CELL_BYTES", cell)
+        found = [tuple(r) for r in similar.remaining_links(members, given, 5, 0.8).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert similar.remaining_links(members.limit(0), given, 5, 0.8).collect() == []
