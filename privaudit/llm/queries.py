@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm import chat, content_store, decontamination, main_text, multi_index, packing, quality, simhash, url_filter, warc
+from privaudit.llm import chat, content_store, decontamination, divergence, main_text, multi_index, packing, quality, simhash, url_filter, warc
 from privaudit.llm.tokens import default_tokenizer
 
 #: The URL rules of op5: block net/, allow example.net/en/, block example.com/de/, allow org/fr/.
@@ -81,8 +81,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 def queries() -> dict:
-    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash)
+    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -180,5 +184,31 @@ FROM scored
 """
 
 
+_DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS lang_size FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total, v, lang_size,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (size + v) AS p
+  FROM sizes g JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b USING (lang) LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source),
+terms AS (SELECT lang, source, term AS item, p, 1 + 1000000000::HUGEINT * (total + 1) // (lang_size + v) AS q FROM dense WHERE n > 0),
+every AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, (p - q) * (p - q) // q FROM terms WHERE p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_trees": _CHAT_SQL, "op4_warc": _WARC_SQL, "op5_url_filter": _URL_SQL, "op9_decontamination": _DECONTAMINATION_SQL}
+    return {"op3_chat_trees": _CHAT_SQL, "op4_warc": _WARC_SQL, "op5_url_filter": _URL_SQL, "op9_decontamination": _DECONTAMINATION_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
