@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm import chat, content_store, decontamination, divergence, main_text, multi_index, packing, quality, simhash, url_filter, warc
+from privaudit.llm import alignment, chat, content_store, decontamination, divergence, main_text, multi_index, packing, quality, simhash, url_filter, warc
 from privaudit.llm.tokens import default_tokenizer
 
 #: The URL rules of op5: block net/, allow example.net/en/, block example.com/de/, allow org/fr/.
@@ -81,12 +81,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.Alignment(_table(spark, sf_dir, "documents"), default_tokenizer(), alignment.default_pieces())
+    return found.measures().select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
 
 
 def queries() -> dict:
-    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash, op13_source_divergence)
+    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash, op12_tokenizer_alignment, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
