@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from privaudit.llm import alignment, chat, content_store, decontamination, divergence, main_text, multi_index, packing, quality, simhash, url_filter, warc
+from privaudit.llm import alignment, chat, content_store, decontamination, divergence, main_text, multi_index, packing, quality, repeats, simhash, url_filter, warc
 from privaudit.llm.tokens import default_tokenizer
 
 #: The URL rules of op5: block net/, allow example.net/en/, block example.com/de/, allow org/fr/.
@@ -81,6 +81,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.Repeats(_table(spark, sf_dir, "documents"), length=400, keep="none").documents()
+    kept = F.octet_length("kept").cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.Alignment(_table(spark, sf_dir, "documents"), default_tokenizer(), alignment.default_pieces())
     return found.measures().select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -91,7 +97,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash, op12_tokenizer_alignment, op13_source_divergence)
+    found = (op1_content_store, op2_quality_resampling, op3_chat_trees, op4_warc, op5_url_filter, op6_mixture_packing, op7_main_text, op8_multi_index_search, op9_decontamination, op10_simhash, op11_repeated_passages, op12_tokenizer_alignment, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -189,6 +195,20 @@ FROM scored
 """
 
 
+_REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+passages AS (SELECT row, p, md5_number(array_slice(b, p + 1, p + 400)) AS h FROM (SELECT row, b, unnest(range(octet_length(b) - 399)) AS p FROM d)),
+copied AS (SELECT row, p FROM passages WHERE h IN (SELECT h FROM passages GROUP BY h HAVING count(*) > 1)),
+islands AS (SELECT row, p, sum(new) OVER (PARTITION BY row ORDER BY p) AS island FROM (SELECT row, p, (p > coalesce(lag(p) OVER (PARTITION BY row ORDER BY p), -401) + 400)::INT AS new FROM copied)),
+runs AS (SELECT row, min(p) AS a, max(p) + 400 AS z FROM islands GROUP BY row, island),
+gaps AS (SELECT row, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS z FROM runs UNION ALL SELECT row, coalesce(max(r.z), 0), any_value(octet_length(b)) FROM d LEFT JOIN runs r USING (row) GROUP BY row),
+kept AS (SELECT row, sha256(unhex(string_agg(hex(array_slice(b, a + 1, g.z)), '' ORDER BY a, g.z))) AS kept_sha256 FROM gaps g JOIN d USING (row) GROUP BY row),
+sums AS (SELECT row, sum(z - a) AS n, count(*) AS k FROM runs GROUP BY row)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, kept_sha256
+FROM d JOIN kept USING (row) LEFT JOIN sums USING (row)
+"""
+
+
 _DIVERGENCE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -216,4 +236,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_trees": _CHAT_SQL, "op4_warc": _WARC_SQL, "op5_url_filter": _URL_SQL, "op9_decontamination": _DECONTAMINATION_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
+    return {"op3_chat_trees": _CHAT_SQL, "op4_warc": _WARC_SQL, "op5_url_filter": _URL_SQL, "op9_decontamination": _DECONTAMINATION_SQL, "op11_repeated_passages": _REPEATS_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
