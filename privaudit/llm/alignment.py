@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from privaudit.llm.tokens import _WHOLE, encoder, listed, slices
 
 #: Texts that have what this finds are aligned whole.
 _UNCUT = rf"{_WHOLE}|^[ \n]|[ \n]$"
-#: Pieces kept per Python worker; when there are more, the worker starts anew.
-_MOST_PIECES = 300_000
+#: Bytes of text aligned at a time.
+_SLICE_BYTES = 4 << 20
 #: Pair counts are broadcast up to so many rows.
 _BROADCAST_PAIRS = 2_000_000
 #: A pair is ``a * _SIDE + b``.
@@ -78,8 +79,19 @@ def written(groups: list[tuple[list[int], list[int]]]) -> str:
     return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
 
 
+def _binary(data, edges: np.ndarray) -> pa.Array:
+    """Parts of a buffer as a ``large_binary`` array."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(data)])
+
+
+def _parts(values: pa.Array) -> tuple:
+    """The data and the edges of a ``large_binary`` array."""
+    raw = values.buffers()
+    return (raw[2] or b"", np.frombuffer(raw[1], np.int64, len(values) + 1, values.offset * 8)) if len(values) else (b"", np.zeros(1, np.int64))
+
+
 class Aligner:
-    """Both tokenizers, with a bounded cache of the pieces seen by this worker."""
+    """Both tokenizers and tables of their tokens' bytes."""
 
     def __init__(self, a: str, b: str):
         import sentencepiece
@@ -94,33 +106,63 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         self.space = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple | None] = {}
-
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """Numbers of tokens and groups, the links, and the groups written after a ``;``; None if bytes differ."""
-        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+        self._tables = [(np.array(size), pa.array(tokens, pa.large_binary())) for size, tokens in ((self.size_a, self.bytes_a), (self.size_b, self.bytes_b))]
+        self._top = max(len(self.bytes_a), len(self.bytes_b))
+        self._names = pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self._top)], pa.large_binary())
+
+    def whole(self, text: str) -> tuple[int, int, int, bytes, bytes] | None:
+        """Numbers of tokens and groups, the links, and the groups written; None if the text has no tokens."""
+        raw, a, b = text.encode("utf-8", "surrogatepass"), np.frombuffer(self.a.whole(" " + text), "<u2").tolist(), self.b.encode(text)
+        if not raw or any(b"".join([of[i] for i in ids]) != b" " + raw for of, ids in ((self.bytes_a, a), (self.bytes_b, b))):
             return None
         groups, links = cut(a, b, self.size_a, self.size_b)
-        return len(a), len(b), len(groups), np.array(links, np.int64).tobytes(), f";{written(groups)}".encode()
-
-    def whole(self, text: str) -> tuple | None:
-        raw = text.encode("utf-8", "surrogatepass")
-        return self._align(b" " + raw, np.frombuffer(self.a.whole(" " + text), "<u2").tolist(), self.b.encode(text)) if raw else None
-
-    def pieces(self, pieces: list[str]) -> list[tuple | None]:
-        """What ``_align`` gives for each piece: a word after a space, or after a line feed if it begins with ``\\x01``."""
-        if len(self.known) > _MOST_PIECES:
-            self.known.clear()
-        known, new = self.known, [p for p in pieces if p not in self.known]
-        if new:
-            lines = [p.replace("\x01", "\n", 1) for p in new]
-            for p, line, a, b in zip(new, lines, self.a.pieces(new), self.b.encode(lines)):
-                ids = np.frombuffer(a, "<u2").tolist()
-                if p[:1] == "\x01":
-                    known[p] = self._align(line.encode(), ids, b[1:]) if b[:1] == [self.space] else None
-                else:
-                    known[p] = self._align(b" " + line.encode(), ids, b)
-        return [known[p] for p in pieces]
+        return len(a), len(b), len(groups), np.array(links, np.int64).tobytes(), written(groups).encode()
+
+    def _ids(self, pieces: list[str], lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both tokenizers and how many each piece has."""
+        coded = self.a.pieces(pieces)
+        a, n_a = np.frombuffer(b"".join(coded), "<u2").astype(np.int64), np.array([len(c) for c in coded], np.int64) // 2
+        coded = self.b.encode(lines)
+        n_b = np.array([len(c) for c in coded], np.int64)
+        b = np.fromiter(chain.from_iterable(coded), np.int64, int(n_b.sum()))
+        after = np.array([p[:1] == "\x01" for p in pieces], bool)  # no space stands before these
+        first = (np.cumsum(n_b) - n_b)[after & (n_b > 0)]
+        first = first[b[first] == self.space]
+        n_b[np.searchsorted(np.cumsum(n_b), first, "right")] -= 1
+        return [(a, n_a), (np.delete(b, first), n_b)]
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray], pa.Array, pa.Array]:
+        """Which pieces' bytes agree; numbers of tokens and groups, links and groups (each ended by ``;``) of those, none for the others.
+
+        A piece is a word after a space, or after a line feed if it begins with ``\x01``.
+        """
+        lines = [p.replace("\x01", "\n", 1) for p in pieces]
+        raw = [(line if p[:1] == "\x01" else " " + line).encode("utf-8", "surrogatepass") for p, line in zip(pieces, lines)]
+        length = np.array([len(r) for r in raw], np.int64)
+        raw, sides, good = np.frombuffer(b"".join(raw), np.uint8), self._ids(pieces, lines), np.ones(len(pieces), bool)
+        held = [np.concatenate([[0], np.cumsum(size[ids])]) for (ids, _), (size, _) in zip(sides, self._tables)]
+        for at, (_, n) in zip(held, sides):
+            good &= np.diff(at[np.concatenate([[0], np.cumsum(n)])]) == length
+        for _ in range(2):  # lengths first, then bytes
+            raw, length = raw[np.repeat(good, length)], np.where(good, length, 0)
+            sides = [(ids[np.repeat(good, n)], np.where(good, n, 0)) for ids, n in sides]
+            for (ids, _), (_, tokens) in zip(sides, self._tables):
+                other = np.flatnonzero(np.frombuffer(_parts(pc.take(tokens, pa.array(ids)))[0], np.uint8, len(raw)) != raw)
+                good[np.searchsorted(np.cumsum(length), other, "right")] = False
+        (a, n_a), (b, n_b) = sides
+        end_a, end_b = (np.cumsum(size[ids]) for (ids, _), (size, _) in zip(sides, self._tables))
+        edge_a, edge_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        met = np.minimum(np.searchsorted(end_b, end_a), max(0, len(b) - 1))
+        last_a, last_b = end_b[met] == end_a if len(b) else np.zeros(0, bool), np.zeros(len(b), bool)
+        last_b[met[last_a]] = True
+        links = a[last_a] * _SIDE + b[last_b]
+        upto_a, upto_b = np.flatnonzero(last_a) + 1, np.concatenate([[0], np.flatnonzero(last_b) + 1])
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + upto_b[np.cumsum(last_a) - last_a]] = a + self._top * last_a
+        names[np.arange(len(b)) + upto_a[np.cumsum(last_b) - last_b]] = b + 2 * self._top * last_b
+        text, at = _parts(pc.take(self._names, pa.array(names)))
+        ends = np.concatenate([[0], np.cumsum(last_a)])[edge_a]
+        return good, [n_a, n_b, np.diff(ends)], _binary(links.tobytes(), 8 * ends), _binary(text, at[edge_a + edge_b])
 
     def column(self, texts: pa.Array, keep_groups: bool) -> list[pa.Array]:
         """The measures of each text (``large_string``, without nulls)."""
@@ -129,26 +171,19 @@ class Aligner:
         lines = pc.replace_substring(pc.if_else(uncut, pa.scalar("", pa.large_string()), texts), "\n", " \x01")
         parts = pc.split_pattern(lines, " ")
         coded = pc.dictionary_encode(parts.values)
-        names = listed(coded.dictionary)
-        found = [f or (0, 0, 0, b"", b"") for f in self.pieces(names)]
-        failed = np.array([not f[0] for f in found], bool)
-        code = coded.indices.to_numpy()
         edges = np.frombuffer(parts.buffers()[1], np.int64 if pa.types.is_large_list(parts.type) else np.int32, n + 1)
-        upto = lambda values: np.concatenate([[0], np.cumsum(values)])[edges]
-        sums = [np.diff(upto(np.array([f[k] for f in found], np.int64)[code])) for k in range(3)]
-        slow = np.diff(upto(failed[code])) > 0
+        good, numbers, links, groups = self.pieces(listed(coded.dictionary))
+        code = coded.indices.to_numpy()
+        upto = lambda values: np.concatenate([[0], np.cumsum(values[code])])[edges]
+        sums = [np.diff(upto(x)) for x in numbers]
+        slow = np.diff(upto((~good).astype(np.int64))) > 0
         slow |= uncut.to_numpy(zero_copy_only=False)
-        gathered = []
-        for k in (3, 4):
-            taken = pc.take(pa.array([f[k] for f in found], pa.large_binary()), coded.indices)
-            starts = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
-            gathered.append((memoryview(taken.buffers()[2] or b""), starts[edges]))
-        (links, at), (groups, g) = gathered
+        (links, at), (groups, g) = ((memoryview(x), y[edges]) for x, y in (_parts(pc.take(v, coded.indices)) for v in (links, groups)))
         some = {int(i): self.whole(texts[int(i)].as_py()) or (0, 0, 0, b"", b"") for i in np.flatnonzero(slow)}
         for i, f in some.items():
             for k in range(3):
                 sums[k][i] = f[k]
-        own = [some[i][4][1:] if i in some else groups[g[i] + 1 : g[i + 1]] for i in range(n)]
+        own = [some[i][4] if i in some else groups[g[i] : max(g[i], g[i + 1] - 1)] for i in range(n)]
         digests = [hashlib.sha256(x).hexdigest() if len(x) else "" for x in own]
         if some:
             held = [some[i][3] if i in some else links[at[i] : at[i + 1]] for i in range(n)]
@@ -168,7 +203,7 @@ def _aligned(a: str, b: str, keep_groups: bool):
         if (a, b) not in _ALIGNERS:
             _ALIGNERS[a, b] = Aligner(a, b)
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, _SLICE_BYTES):
                 columns = _ALIGNERS[a, b].column(batch.column(0).cast(pa.large_string()), keep_groups)
                 names = ["key", "copies", "n_a", "n_b", "n_groups", "links", "groups_sha256", "groups"]
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=names)

@@ -164,10 +164,10 @@ def encoder(path: str, plain: bool = False) -> Encoder:
     return _ENCODERS[path, plain]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded size of text (single long texts aside)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // _SLICE_BYTES
+    part = (np.cumsum(size) - size) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         if b > a:
