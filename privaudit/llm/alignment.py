@@ -41,8 +41,8 @@ from privaudit.llm.tokens import _WHOLE, encoder, listed, slices
 
 #: Texts that have what this finds are aligned whole.
 _UNCUT = rf"{_WHOLE}|^[ \n]|[ \n]$"
-#: Bytes of text aligned at a time.
-_SLICE_BYTES = 4 << 20
+#: Bytes of text aligned at a time, and pieces whose ids of A a Python worker keeps.
+_SLICE_BYTES, _MOST_PIECES = 2 << 20, 150_000
 #: Pair counts are broadcast up to so many rows.
 _BROADCAST_PAIRS = 2_000_000
 #: A pair is ``a * _SIDE + b``.
@@ -97,6 +97,7 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = encoder(a, plain=True), sentencepiece.SentencePieceProcessor(model_file=b)
+        self.a.most = _MOST_PIECES
         back = {letter: byte for byte, letter in self.a.letters.items()}
         vocabulary = self.a.tokenizer.get_vocab()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)

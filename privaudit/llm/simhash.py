@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.similar import ROUNDS, bands, links, remaining_links, shingles
+from privaudit.llm.similar import bands, links, remaining_links, shingles
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BLOCK = 8192
@@ -327,43 +327,46 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
     shingles of so many words are at least so similar are linked as well.
 
     Rows are numbered once, in a written table; what is grouped are numbers and
-    fingerprints, so the texts of a large group never meet.
+    fingerprints, so the texts of a large group never meet.  Texts are compared once
+    for each fingerprint and shingle set (its 64-bit digest).
     """
+    from xxhash import xxh64_intdigest
+
     row = F.struct(*(documents[f"`{c}`"] for c in documents.columns))
     inputs = documents.select(F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("number"), F.col("doc_id").alias("id"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys, sketches = [], [], []
+            found, digests, keys = [], [], []
             for value in batch.column(0):
                 text = value.as_py()
                 found.append(fingerprint(text, size))
-                own, sketch = bands(shingles(text, similar[0])) if similar else (None, None)
-                keys.append(own)
-                sketches.append(sketch)
-            lists = (pa.array(c, pa.list_(pa.int64())) for c in (keys, sketches))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.array(found, np.uint64).view(np.int64)), *lists], names=["number", "id", "row", "fp", "bands", "sketch"])
+                own = shingles(text, similar[0]) if similar else np.zeros(0, np.uint64)
+                digests.append(xxh64_intdigest(own.tobytes(), 9))
+                keys.append(bands(own))
+            numbers = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in (found, digests))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *numbers, pa.array(keys, pa.list_(pa.int64()))], names=["number", "id", "row", "fp", "digest", "bands"])
 
     kinds = dict(inputs.dtypes)
-    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, bands array<long>, sketch array<long>"), "simhash-rows")
-    best = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best")), "simhash-best")
-    merged = best.join(classes(best, radius, extra), "fp")
-    for pivots in (*ROUNDS, None) if similar else ():
-        merged = materialize(merged.select("fp", "best", "root"), "simhash-merged")
-        members = merged.select("fp", "root", F.col("best.number").alias("number"))
+    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, digest long, bands array<long>"), "simhash-rows")
+    best = rows.groupBy("fp", "digest").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best"))
+    best = materialize(best, "simhash-best")
+    merged = materialize(best.join(classes(best.select("fp").distinct(), radius, extra), "fp").select("best", "root"), "simhash-merged")
+    for last in (False, True) if similar else ():
+        members = merged.select("root", F.col("best.number").alias("number"))
         texts = rows.select("number", F.col("row.text").cast("string").alias("text"))
-        if pivots:
+        if last:
+            found = remaining_links(materialize(members.join(rows.select("number", "bands"), "number"), "simhash-members"), texts, *similar)
+        else:
             kept = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"), F.lit(True).alias("kept"))
             members = members.join(kept, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-            found = links(members.join(rows.select("number", "bands"), "number"), texts, *similar, pivots)
-        else:
-            members = materialize(members.join(rows.select("number", "bands", "sketch"), "number"), "simhash-members")
-            found = remaining_links(members, texts, *similar)
+            found = links(members.join(rows.select("number", "bands"), "number"), texts, *similar)
         near = materialize(found, "simhash-similar")
-        of = merged.select("fp", "root")
-        ends = near.join(of.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
+        of = merged.select(F.col("best.number").alias("number"), "root")
+        ends = near.join(of.select(F.col("number").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("number").alias("b"), F.col("root").alias("rb")), "b")
         tops = materialize(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-tops")
-        merged = merged.join(F.broadcast(tops) if tops.count() <= _BROADCAST_ROWS else tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
+        merged = merged.join(F.broadcast(tops) if tops.count() <= _BROADCAST_ROWS else tops, "root", "left")
+        merged = materialize(merged.select("best", F.coalesce("top", "root").alias("root")), "simhash-merged")
     chosen = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
     kept = rows.join(chosen, "number", "left_semi")
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

@@ -1,17 +1,19 @@
 """Links between texts whose word shingles have a Jaccard similarity of at least a given value.
 
-Candidates share a band of min-hashes; every candidate pair is then checked
-exactly, on the texts' shingle sets.  With ``_BANDS`` bands of ``_ROWS`` values a
-pair at similarity 0.8 has no common band with chance 0.00007.
-
-Texts that are already known to belong together (``root``) are not compared.
-``links`` ties large groups together: a bucket holds two members of each root,
-that of the kept row and another that changes from band to band, and the first
-``pivots`` of them meet all the others.  ``remaining_links`` then finds every link
-that is left: all members of a bucket meet all those of other roots, compared by
-sketches (two bits of each min-hash) in blocks of bounded size, and only pairs
-whose sketches agree are read as texts.  At similarity 0.8 sketches agree in 85 %
-of their places on average; the bound of 68 % lies five standard errors below.
+A text is the set of its shingles' hashes.  Texts come with a ``root``, the component that
+they are known to belong to, and are only compared with those of other roots:
+
+1. ``links``: 24 bands of five min-hashes give buckets.  Of each bucket one pivot meets
+   one kept and one changing member of every other root, which ties large groups
+   together with as many pairs as there are members.
+2. ``remaining_links``: texts that still share a bucket with another root are dealt to
+   cells of bounded size, each pair of cells to one task.  There all members of a bucket
+   meet those of other roots as bit sets of the hashes that several of them have; what
+   leaves the task is a forest of links, never the pairs that were compared, however
+   many texts just below the similarity stand around one template.
+
+All comparisons are exact.  Lost are only links of texts without a common band, at
+similarity 0.8 with a chance of 0.00007.
 """
 
 from __future__ import annotations
@@ -21,22 +23,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BANDS, _ROWS = 24, 5
-#: Pivots of a bucket, by round, before the round that meets all that is left.
-ROUNDS = (1,)
-#: Members of a bucket that one task compares at a time.
-_BLOCK = 4096
-#: Agreeing places that sketches of linked texts have at least, of ``_BANDS * _ROWS``.
-_AGREE = 82
-#: Numbers of texts to check are broadcast up to so many, and joined beyond.
+#: Numbers of texts to read are broadcast up to so many, and joined beyond.
 _BROADCAST_ROWS = 100_000
-#: Bytes of the texts on each side of a cell of pairs, about.
+#: Bytes of the sets on each side of a cell of pairs, about.
 _CELL_BYTES = 8 << 20
+#: Hashes whose members are compared at a time, and words of bit sets held for pairs.
+_HASHES, _WORDS = 1 << 20, 1 << 22
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, _BANDS * _ROWS), np.uint64)
 _TIMES, _PLUS = (_DRAWN[0] << np.uint64(1) | np.uint64(1))[:, None], _DRAWN[1][:, None]
 
@@ -56,19 +54,17 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> tuple[list[int], list[int]]:
-    """A signed key for each band of min-hashes, and the sketch: two bits of each in four numbers; none for an empty set."""
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of min-hashes; none for an empty set."""
     from xxhash import xxh64_intdigest
 
     if not len(hashes):
-        return [], []
+        return []
     least = np.full(_BANDS * _ROWS, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[at : at + 2048] * _TIMES + _PLUS) >> np.uint64(32)).min(axis=1))
     keys = [xxh64_intdigest(row.tobytes(), 7) for row in least.reshape(_BANDS, _ROWS)]
-    bits = np.zeros(256, np.uint8)
-    bits[: 2 * len(least)] = np.stack([least & np.uint64(1), least >> np.uint64(1) & np.uint64(1)], axis=1).ravel()
-    return np.array(keys, np.uint64).view(np.int64).tolist(), np.packbits(bits).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def near(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -80,141 +76,195 @@ def near(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.nda
     return both / (len(one) + lengths - both) >= similarity
 
 
-def _check(size: int, similarity: float):
-    """Cells come one after the other, each with its texts before its pairs."""
+def sets(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``number, set`` and the other columns of ``members`` (a written table): the shingle sets, written; ``texts``: ``number, text``."""
+    names = [c for c in members.columns if c != "number"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets = None, {}
+        for batch in batches:
+            found = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], names=["number", "set", *names])
+
+    few = members.count() <= _BROADCAST_ROWS
+    rows = texts.join(F.broadcast(members) if few else members, "number").select("number", "text", *names)
+    kinds = dict(members.dtypes)
+    return materialize(rows.mapInArrow(run, ", ".join(["number long", "set array<long>", *(f"{c} {kinds[c]}" for c in names)])), "similar-sets")
+
+
+class _Forest:
+    """Joins trees of texts and their roots; ``label`` of a text is the same within a tree."""
+
+    def __init__(self, roots: np.ndarray):
+        self.label = np.unique(roots, return_inverse=True)[1]
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.label[a], self.label[b]
+        if x == y:
+            return False
+        self.label[self.label == max(x, y)] = min(x, y)
+        return True
+
+
+def _compare(one: np.ndarray, other: np.ndarray | None, held: list[np.ndarray], forest: _Forest, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the texts ``one``, or between those and ``other``, that join two trees."""
+    both = one if other is None else np.concatenate([one, other])
+    label = forest.label[both]
+    if (label == label[0]).all():
+        return
+    sizes = np.array([len(held[i]) for i in both])
+    if sizes.sum() > _HASHES and len(both) > 2:
+        halves = [np.array_split(x, 2) if len(x) > 1 else [x] for x in ([one] if other is None else [one, other])]
+        for i, x in enumerate(halves[0]):
+            for y in [None, *halves[0][i + 1 :]] if other is None else halves[1]:
+                yield from _compare(x, y, held, forest, similarity)
+        return
+    values, codes, n = np.unique(np.concatenate([held[i] for i in both]), return_inverse=True, return_counts=True)
+    common = n > 1  # only hashes that several texts have count
+    feature, row = (np.cumsum(common) - 1)[codes], np.repeat(np.arange(len(both)), sizes)
+    row, feature = row[common[codes]], feature[common[codes]]
+    bits = np.zeros((len(both), max(1, -(-int(common.sum()) // 64))), np.uint64)
+    np.bitwise_or.at(bits, (row, feature // 64), np.uint64(1) << (feature % 64).astype(np.uint64))
+    split = len(both) if other is None else len(one)
+    step = max(1, (1 << 20) // len(both))
+    for at in range(0, split, step):
+        rows, label = np.arange(at, min(at + step, split)), forest.label[both]
+        columns = np.arange(at if other is None else split, len(both))
+        meets = label[rows][:, None] != label[columns][None, :]
+        meets &= np.minimum(sizes[rows][:, None], sizes[columns][None, :]) >= similarity * np.maximum(sizes[rows][:, None], sizes[columns][None, :]) - 1e-9
+        if other is None:
+            meets &= columns[None, :] > rows[:, None]
+        i, j = np.nonzero(meets)
+        i, j = rows[i], columns[j]
+        for part in range(0, len(i), chunk := max(1, _WORDS // bits.shape[1])):
+            a, b = i[part : part + chunk], j[part : part + chunk]
+            shared = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+            linked = shared / (sizes[a] + sizes[b] - shared) >= similarity
+            for x, y in zip(both[a[linked]].tolist(), both[b[linked]].tolist()):
+                if forest.join(x, y):
+                    yield x, y
+
+
+def _cell(similarity: float):
+    """Rows ``cx, cy, cell, number, root, buckets, set`` come sorted by ``cx, cy``."""
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        cx, cy, cell, number, root = (table[c].to_numpy() for c in ("cx", "cy", "cell", "number", "root"))
+        held = [s.values.to_numpy() for s in table["set"]]
+        lists = table["buckets"].combine_chunks()
+        key = lists.flatten().to_numpy()
+        of = np.repeat(np.arange(len(number)), lists.value_lengths().to_numpy())
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]])) if len(key) else [0]
+        forest, found = _Forest(root), []
+        for a, b in zip(edges, edges[1:]):
+            some = of[order[a:b]]
+            if b - a == 1:
+                continue
+            if cx[0] == cy[0]:
+                found += _compare(some, None, held, forest, similarity)
+            elif 0 < (left := cell[some] == cx[0]).sum() < len(some):
+                found += _compare(some[left], some[~left], held, forest, similarity)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(number[ends[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if held and b > a and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (x[a], y[a]):
+                    yield links(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: links between texts of different roots that share a band and are at least so similar; of each pair of cells a forest.
+
+    ``members``: ``number, root, bands``, a written table with each number once; ``texts``: ``number, text``.
+    """
+    keyed = members.select("number", "root", F.posexplode("bands").alias("band", "key"))
+    mixed = keyed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    found = spread_join(keyed, materialize(mixed, "similar-buckets"), ["band", "key"])
+    asked = found.groupBy("number", "root").agg(F.collect_list(F.xxhash64("band", "key")).alias("buckets"))
+    held = sets(materialize(asked, "similar-asked"), texts, size)
+    k = 1 + (held.agg(F.sum(F.size("set") * 8)).first()[0] or 0) // _CELL_BYTES
+    rows = held.withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(k)))
+    columns = ["cell", "number", "root", "buckets", "set"]
+    if k == 1:
+        dealt = rows.select(F.col("cell").alias("cx"), F.col("cell").alias("cy"), *columns)
+    else:
+        # a text meets the cells that its buckets reach
+        places = materialize(rows.select("number", "cell", F.explode("buckets").alias("bucket")), "similar-places")
+        reach = places.groupBy("bucket").agg(F.collect_set("cell").alias("cells"))
+        met = spread_join(places.select("number", "bucket"), materialize(reach, "similar-reach"), ["bucket"])
+        met = met.groupBy("number").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells"))
+        dealt = rows.join(met, "number").select(F.explode("cells").alias("other"), *columns)
+        dealt = dealt.select(F.least("cell", "other").alias("cx"), F.greatest("cell", "other").alias("cy"), *columns)
+    placed = dealt.repartition(partitions_for(members.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy")
+    return placed.mapInArrow(_cell(similarity), "a long, b long")
+
+
+def links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: members of different roots that are at least so similar, of those that meet a bucket's pivot.
+
+    ``members``: ``number, root, kept, bands``, each number once; ``texts``: ``number, text``.
+    """
+    keyed = members.select("number", "root", "kept", F.posexplode("bands").alias("band", "key"))
+    mark = F.struct((~F.col("kept")).alias("other"), F.xxhash64("number", "band").alias("turn"), "number", "root")
+    entries = materialize(keyed.groupBy("band", "key", "root").agg(F.min(mark).alias("first"), F.max(mark).alias("last")), "similar-entries")
+    mixed = entries.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("first").alias("pivot")).where("low <> high")
+    met = spread_join(entries, mixed.select("band", "key", "pivot"), ["band", "key"]).where("root <> pivot.root")
+    met = met.select("pivot.number", F.explode(F.array_distinct(F.array("first.number", "last.number"))).alias("other"))
+    pairs = materialize(met.select(F.least("number", "other").alias("x"), F.greatest("number", "other").alias("y")).distinct(), "similar-pairs")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
+    return _similar(pairs, sets(materialize(asked, "similar-asked"), texts, size), similarity)
+
+
+def _check(similarity: float):
+    """Cells come one after the other, each with its sets before its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for batch in batches:
             found: list[tuple[int, int]] = []
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            for (cx, cy, x), group in groupby(rows, lambda r: (r[0], r[1], r[5])):
+            own, lists = batch.column(2).is_valid().to_numpy(zero_copy_only=False), batch.column(2)
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), own.tolist(), range(batch.num_rows))
+            for (cx, cy, x), group in groupby(rows, lambda r: r[:3]):
                 if cell != (cx, cy):
-                    cell, sets = (cx, cy), {}
+                    cell, held = (cx, cy), {}
                 pairs = []
-                for row in group:
-                    if row[6] is None:
-                        sets[x] = shingles(row[2], size)
+                for _, _, _, y, is_set, i in group:
+                    if is_set:
+                        held[x] = np.sort(lists[i].values.to_numpy().view(np.uint64))
                     else:
-                        pairs.append(row)
+                        pairs.append(y)
                 for at in range(0, len(pairs), 256):
                     some = pairs[at : at + 256]
-                    similar = near(sets[x], [sets[r[6]] for r in some], similarity).tolist()
-                    found += [r[3:5] for r, yes in zip(some, similar) if yes]
+                    found += [(x, y) for y, yes in zip(some, near(held[x], [held[y] for y in some], similarity).tolist()) if yes]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places at which sketches agree; ``a`` and ``b`` end in an axis of four numbers."""
-    x = a ^ b
-    differ = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    return _BANDS * _ROWS - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a part (``band, key, pair``; rows come sorted by them) that may be similar."""
-
-    def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        side, fp, number, root, *words = (np.concatenate(c) for c in zip(*parts))
-        sketch = np.stack(words, axis=1).view(np.uint64)
-        step = max(1, (1 << 18) // len(fp))
-        for at in range(0, len(fp), step):
-            rows = np.arange(at, min(at + step, len(fp)))[:, None]
-            later = np.arange(at, len(fp))[None, :]
-            meets = (later > rows) & (root[rows] != root[later]) & ((side[rows] == 0) | (side[rows] != side[later]))
-            i, j = np.nonzero(meets)
-            a, b = i + at, j + at
-            near = agreeing(sketch[a], sketch[b]) >= _AGREE
-            a, b = a[near], b[near]
-            swap = fp[a] > fp[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[a], fp[b], number[a], number[b])], names=["a", "b", "x", "y"])
-
-    held: list[tuple] = []
-    last = None
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not batch.num_rows:
-            continue
-        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-        edges = [0, *(np.nonzero(new)[0] + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            part = tuple(c[a] for c in columns[:3])
-            if part != last and held:
-                yield from pairs(held)
-                held = []
-            last = part
-            held.append(tuple(c[a:b] for c in columns[3:]))
-    if held:
-        yield from pairs(held)
+def _similar(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``x, y`` whose sets (``number, set``) are at least so similar.
 
-
-def remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``a, b``: all members of different roots that share a band and are at least so similar.
-
-    ``members``: ``fp, number, root, bands, sketch``, a written table with each
-    ``fp`` once; ``texts``: ``number, text``.  A bucket of one root needs nothing.  In
-    one above ``_BLOCK`` members, those of its largest root are cut into blocks that
-    meet the blocks of the others, and these meet each other.
-    """
-    keyed = members.select("fp", "root", F.posexplode("bands").alias("band", "key"))
-    by_root = keyed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("band", "key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
-    mixed = materialize(mixed.select("band", "key", "n", F.col("top.n").alias("top_n"), F.col("top.root").alias("top")), "similar-buckets")
-    found = spread_join(keyed, mixed, ["band", "key"])
-    k, k_top, k_rest = F.col("n") > _BLOCK, F.ceil(F.col("top_n") / F.lit(_BLOCK)).cast("int"), F.ceil((F.col("n") - F.col("top_n")) / F.lit(_BLOCK)).cast("int")
-    found = found.select("band", "key", "fp", k.alias("cut"), (F.col("root") == F.col("top")).alias("in_top"), k_top.alias("k_top"), k_rest.alias("k_rest"), F.xxhash64("fp").alias("deal"))
-    part = lambda pair, side: F.struct(pair.cast("long").alias("pair"), side.cast("int").alias("side"))
-    own = F.when(F.col("in_top"), F.pmod("deal", F.col("k_top"))).otherwise(F.pmod("deal", F.col("k_rest"))).cast("int")
-    tops, rest = F.sequence(F.lit(0), F.col("k_top") - 1), F.sequence(F.lit(0), F.col("k_rest") - 1)
-    across = F.when(F.col("in_top"), F.transform(rest, lambda j: part(own * F.col("k_rest") + j, F.lit(1)))).otherwise(F.transform(tops, lambda i: part(i * F.col("k_rest") + own, F.lit(2))))
-    among = F.transform(rest, lambda j: part(F.col("k_top") * F.col("k_rest") + F.least(own, j) * F.col("k_rest") + F.greatest(own, j), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
-    parts = F.when(~F.col("cut"), F.array(part(F.lit(0), F.lit(0)))).when(F.col("in_top"), across).otherwise(F.concat(across, among))
-    placed = found.select("band", "key", "fp", F.explode(parts).alias("p")).select("band", "key", "p.pair", "p.side", "fp")
-    words = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)]
-    placed = placed.join(members.select("fp", "number", "root", *words), "fp").select("band", "key", "pair", "side", "fp", "number", "root", *(f"s{i}" for i in range(4)))
-    placed = placed.repartition(partitions_for(members.sparkSession), "band", "key", "pair").sortWithinPartitions("band", "key", "pair")
-    met = placed.mapInArrow(_meet, "a long, b long, x long, y long")
-    return _similar(materialize(met.distinct(), "similar-pairs"), texts, size, similarity)
-
-
-def links(members: DataFrame, texts: DataFrame, size: int, similarity: float, pivots: int) -> DataFrame:
-    """``a, b``: members of different roots that are at least so similar, of those that meet a pivot.
-
-    ``members``: ``fp, number, root, kept, bands``, each ``fp`` once; ``texts``:
-    ``number, text``.
-    """
-    keyed = members.select("fp", "number", "root", "kept", F.posexplode("bands").alias("band", "key"))
-    mark = F.struct((~F.col("kept")).alias("other"), F.xxhash64("fp", "band").alias("turn"), "fp", "number")
-    held = keyed.groupBy("band", "key", "root").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
-    mixed = held.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    entries = held.join(mixed, ["band", "key"], "left_semi").select("band", "key", "root", F.explode(F.array_distinct(F.array("first", "last"))).alias("e"))
-    place = F.row_number().over(Window.partitionBy("band", "key").orderBy("e.other", "e.turn", "e.fp"))
-    entries = materialize(entries.select("band", "key", "root", F.col("e.fp").alias("fp"), F.col("e.number").alias("number"), place.alias("place")), "similar-entries")
-    some = entries.where(F.col("place") <= pivots).select("band", "key", F.col("root").alias("r"), F.col("fp").alias("f"), F.col("number").alias("m"), F.col("place").alias("p"))
-    met = entries.join(some, ["band", "key"]).where("place > p and root <> r")
-    ends = lambda pick: pick(F.struct("fp", "number"), F.struct(F.col("f").alias("fp"), F.col("m").alias("number")))
-    pairs = materialize(met.select(ends(F.least).alias("x"), ends(F.greatest).alias("y")).distinct().select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.number").alias("x"), F.col("y.number").alias("y")), "similar-pairs")
-    return _similar(pairs, texts, size, similarity)
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b, x, y`` whose texts, of the numbers ``x`` and ``y``, are at least so similar.
-
-    Pairs are dealt to cells by both their numbers, so a task reads each text of a
-    cell once, however many pairs it is in, and a cell's texts are bounded.
+    Pairs are dealt to cells by both their numbers, so a task reads each set of a
+    cell once, however many pairs it is in, and a cell's sets are bounded.
     """
-    needed = pairs.select(F.col("x").alias("number")).union(pairs.select(F.col("y").alias("number"))).distinct()
-    few = needed.count() <= _BROADCAST_ROWS
-    found = materialize(texts.join(F.broadcast(needed) if few else needed, "number", "left_semi"), "similar-texts")
-    held = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    k = F.lit(1 + held // _CELL_BYTES)
-    cells = pairs.select(F.pmod(F.xxhash64("x"), k).alias("cx"), F.pmod(F.xxhash64("y"), k).alias("cy"), "a", "b", "x", "y")
+    size = held.agg(F.sum(F.size("set") * 8)).first()[0] or 0
+    k = F.lit(1 + size // _CELL_BYTES)
+    cells = pairs.select(F.pmod(F.xxhash64("x"), k).alias("cx"), F.pmod(F.xxhash64("y"), k).alias("cy"), "x", "y")
     ends = cells.select("cx", "cy", F.explode(F.array("x", "y")).alias("number")).distinct()
-    given = ends.join(found, "number").select("cx", "cy", "text", *(F.lit(None).cast("long").alias(c) for c in "ab"), F.col("number").alias("x"), F.lit(None).cast("long").alias("y"))
-    rows = given.union(cells.select("cx", "cy", F.lit(None).cast("string").alias("text"), "a", "b", "x", "y"))
+    given = ends.join(held, "number").select("cx", "cy", "set", F.col("number").alias("x"), F.lit(None).cast("long").alias("y"))
+    rows = given.union(cells.select("cx", "cy", F.lit(None).cast("array<long>").alias("set"), "x", "y"))
     placed = rows.repartition(partitions_for(pairs.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy", F.col("y").isNotNull(), "x")
-    return placed.mapInArrow(_check(size, similarity), "a long, b long")
+    return placed.mapInArrow(_check(similarity), "a long, b long")

@@ -59,6 +59,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids need more than 16 bits")
         self.known: dict[str, bytes] = {}
+        self.most = _MOST_PIECES
         self.newline = self.whole("\n")
         self.marks = {m: self.whole(m) for m in ",."}
         self.letters = self._byte_letters()
@@ -125,7 +126,7 @@ class Encoder:
             known[piece] = known[piece[:-1]] + marks[piece[-1]]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > _MOST_PIECES:
+        if len(self.known) > self.most:
             self.known.clear()
         found = list(map(self.known.get, pieces))
         missing = [p for p, ids in zip(pieces, found) if ids is None]

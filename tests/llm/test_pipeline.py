@@ -69,8 +69,21 @@ def test_near_copies_at_similarity(spark, small):
     assert kept == {10 * k + d for k in range(40) for d in (0, 2)}
 
 
+def components_of(n, pairs):
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[top(a)] = top(b)
+    return [top(i) for i in range(n)]
+
+
 def test_remaining_links(spark, monkeypatch):
-    """All links between different roots that share a band, in whole and in cut buckets."""
+    """Links join exactly what all links between different roots that share a band join, in whole and in cut cells."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     sets, texts = [], []
@@ -80,17 +93,49 @@ def test_remaining_links(spark, monkeypatch):
         texts.append(" ".join(words))
         sets.append(similar.shingles(texts[-1], 5))
     roots = [0 if i < 60 else i for i in range(90)]
-    bands, sketches = zip(*(similar.bands(s) for s in sets))
-    rows = [(i, i, roots[i], bands[i], sketches[i]) for i in range(90)]
-    members = spark.createDataFrame(rows, "fp long, number long, root long, bands array<long>, sketch array<long>")
+    bands = [similar.bands(s) for s in sets]
+    members = spark.createDataFrame([(i, roots[i], bands[i]) for i in range(90)], "number long, root long, bands array<long>")
     given = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
     jaccard = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
     pairs = {(i, j) for i in range(90) for j in range(i + 1, 90) if roots[i] != roots[j] and set(bands[i]) & set(bands[j])}
     want = {(i, j) for i, j in pairs if jaccard(i, j) >= 0.8}
     assert 100 < len(want) < len(pairs)
-    for block, cell in ((4096, 8 << 20), (7, 2000), (40, 500)):
-        monkeypatch.setattr(similar, "_BLOCK", block)
+    same = [(i, roots[i]) for i in range(90)]
+    for cell, hashes in ((8 << 20, 1 << 20), (2000, 1 << 20), (8 << 20, 200), (9000, 900)):
         monkeypatch.setattr(similar, "_CELL_BYTES", cell)
-        found = [tuple(r) for r in similar.remaining_links(members, given, 5, 0.8).collect()]
-        assert len(found) == len(set(found)) and set(found) == want
+        monkeypatch.setattr(similar, "_HASHES", hashes)
+        found = [tuple(sorted(r)) for r in similar.remaining_links(members, given, 5, 0.8).collect()]
+        assert set(found) <= want and components_of(90, [*same, *found]) == components_of(90, [*same, *found, *want])
+        if cell == 8 << 20:
+            assert len(found) == len(set(found)) < 90  # a forest, not the pairs
     assert similar.remaining_links(members.limit(0), given, 5, 0.8).collect() == []
+
+
+def template(n, changed):
+    rng = np.random.default_rng(n)
+    texts = []
+    for _ in range(n):
+        words = [f"t{i}" for i in range(200)]
+        for at in rng.choice(200, changed, replace=False):
+            words[at] = f"o{rng.integers(1 << 50)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_template_just_below(spark):
+    """Texts around one template that are not similar enough stay, and few links leave the tasks."""
+    for n in (100, 200):
+        texts = template(n, 4)
+        sets = [similar.shingles(t, 5) for t in texts]
+        pairs = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        shared = sum(bool(set(similar.bands(a)) & set(similar.bands(b))) for i, a in enumerate(sets) for b in sets[:i])
+        assert shared > n * n / 5  # what would be written as pairs
+        members = spark.createDataFrame([(i, i, similar.bands(s)) for i, s in enumerate(sets)], "number long, root long, bands array<long>")
+        found = [tuple(r) for r in similar.remaining_links(members, spark.createDataFrame(list(enumerate(texts)), "number long, text string"), 5, 0.8).collect()]
+        assert len(found) < n and components_of(n, found) == components_of(n, [(i, j) for i, j in pairs if set(similar.bands(sets[i])) & set(similar.bands(sets[j]))])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    near = [simhash.fingerprint(t, 4) for t in texts]
+    close = [(i, j) for i in range(n) for j in range(i) if bin(near[i] ^ near[j]).count("1") <= 4]
+    kept = {r["doc_id"] for r in simhash.representatives(docs, similar=(5, 0.8)).collect()}
+    tops = components_of(n, [*pairs, *close])
+    assert kept == {min(i for i in range(n) if tops[i] == t) for t in set(tops)}
