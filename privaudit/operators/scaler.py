@@ -23,17 +23,17 @@ MOST = 1000
 _EDGE = 1e-7
 
 
-def fit(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """``keys, quantiles`` from long cells (``keys, value``); ``n``: rows per column, which sets the number of levels."""
-    last = max(2, min(MOST, n)) - 1
+def fit(cells: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """``keys, quantiles`` from long cells (``keys, value``); ``n``: rows per column, which sets the number of levels (each column's own if none)."""
+    last = (F.greatest(F.lit(2), F.least(F.lit(MOST), F.col("rows"))) - 1).cast("int") if n is None else F.lit(max(2, min(MOST, n)) - 1)
     counts = cells.where("value is not null").groupBy(*keys, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("times"))
     placed = running(ranged(counts, "value"), keys, [F.asc("value")], F.asc("part"), {"before": "times"}, inclusive=False)
     totals = counts.groupBy(*keys).agg(F.sum("times").alias("rows"))
     # a value holds the places before .. before + times - 1; level i is at place i / last * (rows - 1)
-    rows = placed.join(F.broadcast(totals), keys).withColumn("step", (F.col("rows") - 1) / F.lit(float(last)))
+    rows = placed.join(F.broadcast(totals), keys).withColumn("step", (F.col("rows") - 1) / last.cast("double"))
     low = F.when(F.col("step") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((F.col("before") - 1) / F.col("step")) - 1)).cast("int")
-    high = F.when(F.col("step") == 0, F.lit(last)).otherwise(F.least(F.lit(last), F.ceil((F.col("before") + F.col("times")) / F.col("step")) + 1)).cast("int")
-    place = F.col("i") / F.lit(float(last)) * (F.col("rows") - 1)
+    high = F.when(F.col("step") == 0, last).otherwise(F.least(last, F.ceil((F.col("before") + F.col("times")) / F.col("step")) + 1)).cast("int")
+    place = F.col("i") / last.cast("double") * (F.col("rows") - 1)
     held = lambda at: F.when((at >= F.col("before")) & (at < F.col("before") + F.col("times")), F.col("value"))
     near = rows.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("i"))
     ends = near.select(*keys, "i", (place - F.floor(place)).alias("share"), held(F.floor(place)).alias("a"), held(F.ceil(place)).alias("b")).where("a is not null or b is not null")
@@ -101,6 +101,14 @@ def quantile_matrix(scaler: DataFrame, order: str = "gene_idx") -> np.ndarray:
     return np.array([r["quantiles"] for r in scaler.orderBy(order).collect()], float)
 
 
+def quantile_matrices(scalers: DataFrame) -> dict[int, np.ndarray]:
+    """The quantiles of the splits in ``split_no, gene_idx, quantiles``, as of ``quantile_matrix``."""
+    out: dict[int, list] = {}
+    for r in scalers.orderBy("split_no", "gene_idx").toLocalIterator():
+        out.setdefault(r["split_no"], []).append(np.array(r["quantiles"]))
+    return {k: np.array(v) for k, v in out.items()}
+
+
 def apply_rows(rows: DataFrame, Q: np.ndarray, inverse: bool = False) -> DataFrame:
     """Scale the ``features`` arrays of wide rows; other columns stay."""
 

@@ -1,8 +1,12 @@
 """Sufficient statistics of wide rows: n, sums and products per group, then mean and spectrum.
 
-Tasks add up n, the sum and the product matrix of their rows per group and emit
-the matrix row by row.  The rows meet by (group, matrix row), so a task adds up
-vectors of one matrix row; only the finished d x d matrix of a group is held whole.
+A row may belong to many splits (an array), so the samples are read once for all
+splits, not once for each.  Rows are centred at their label's overall mean before
+products are taken, and groups at their own afterwards, so columns whose mean dwarfs
+their deviation lose nothing.  Tasks add up n, the sum and the product matrix of their
+rows per group (rows of one membership pattern are multiplied once) and emit the matrix
+row by row.  The rows meet by (group, block of matrix rows), so a task adds up some
+vectors; only the finished d x d matrix of a group is held whole.
 """
 
 from __future__ import annotations
@@ -14,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.operators.scaler import transform_matrix
+
 PARAMS = "split_no int, label_idx int, n long, mean array<double>, eigvals array<double>, eigvecs array<double>"
+#: Matrix rows of a group that one task adds up.
+_BLOCK_ROWS = 64
 
 
 def diagonal(cells: DataFrame, keys: list[str], floor: float = 1e-6) -> DataFrame:
@@ -22,54 +30,126 @@ def diagonal(cells: DataFrame, keys: list[str], floor: float = 1e-6) -> DataFram
     return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.greatest(F.var_pop("value"), F.lit(floor)).alias("var"))
 
 
-def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple, list] = {}
+def wide_matrix(lists: pa.Array) -> np.ndarray:
+    """An array of equally long lists as rows by columns."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return values.reshape(len(lists), -1) if len(lists) else values.reshape(0, 0)
+
+
+def wide_lists(X: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(X) + 1) * X.shape[1], pa.int32()), pa.array(X.ravel(), kind))
+
+
+def _label_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, list] = {}
     for batch in batches:
-        keys = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) if batch.num_rows else np.zeros((0, 2), int)
-        X = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
-        for key in {tuple(k) for k in keys.tolist()}:
-            part = X[(keys == key).all(axis=1)]
-            own = sums.setdefault(key, [0, np.zeros(X.shape[1]), np.zeros((X.shape[1], X.shape[1]))])
+        X, labels = wide_matrix(batch.column(1)), batch.column(0).to_numpy()
+        for label in np.unique(labels).tolist():
+            part = X[labels == label]
+            own = sums.setdefault(label, [0, np.zeros(X.shape[1])])
             own[0] += len(part)
             own[1] += part.sum(axis=0)
-            own[2] += part.T @ part
-    for (split, label), (n, s, m) in sums.items():
-        rows = [s, *m]
-        yield pa.RecordBatch.from_arrays([pa.array([split] * len(rows), pa.int32()), pa.array([label] * len(rows), pa.int32()), pa.array(range(-1, len(m)), pa.int32()), pa.array([n] * len(rows), pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["split_no", "label_idx", "row", "n", "v"])
+    for label, (n, s) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64()))], names=["label_idx", "n", "v"])
+
+
+def _label_mean(table: pa.Table) -> pa.Table:
+    mean = wide_matrix(table["v"].combine_chunks()).sum(axis=0) / np.sum(table["n"].to_numpy())
+    return pa.table({"label_idx": table["label_idx"][:1], "mean": pa.array([mean.tolist()], pa.list_(pa.float64()))})
+
+
+def centres(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The overall mean of each label: a vector a label, whatever the rows."""
+    wide = rows.select(F.col("label_idx").cast("int"), F.col("features").cast("array<double>"))
+    found = wide.mapInArrow(_label_sums, "label_idx int, n long, v array<double>").groupBy("label_idx").applyInArrow(_label_mean, "label_idx int, mean array<double>")
+    return {r["label_idx"]: np.array(r["mean"]) for r in found.collect()}
+
+
+def _products(centre: dict[int, np.ndarray], quantiles: dict[int, np.ndarray] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+
+        def add(group: tuple[int, int], n: int, s: np.ndarray, m: np.ndarray) -> None:
+            own = sums.setdefault(group, [0, np.zeros_like(s), np.zeros_like(m)])
+            own[0] += n
+            own[1] += s
+            own[2] += m
+
+        for batch in batches:
+            lists, labels, X = batch.column(0), batch.column(1).to_numpy(), wide_matrix(batch.column(2))
+            numbers, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            inside = np.zeros((len(X), len(numbers)), bool)
+            inside[np.repeat(np.arange(len(X)), lists.value_lengths().to_numpy()), column] = True
+            if quantiles is None and len(X):
+                X = X - np.stack([centre[k] for k in labels.tolist()])
+                patterns, of = np.unique(np.column_stack([labels, inside]), axis=0, return_inverse=True)
+                if 8 * len(patterns) <= len(X):
+                    for k, (label, *pattern) in enumerate(patterns.tolist()):
+                        part = X[of.ravel() == k]
+                        s, m = part.sum(axis=0), part.T @ part
+                        for number in numbers[np.array(pattern, bool)].tolist():
+                            add((number, label), len(part), s, m)
+                    continue
+            for j, number in enumerate(numbers.tolist()):
+                Z, own = X[inside[:, j]], labels[inside[:, j]]
+                if quantiles is not None:
+                    Z = transform_matrix(Z, quantiles[number])
+                for label in np.unique(own).tolist():
+                    part = Z[own == label]
+                    add((number, label), len(part), part.sum(axis=0), part.T @ part)
+        for (number, label), (n, s, m) in sums.items():
+            rows = len(m) + 1
+            columns = [pa.array([x] * rows, k) for x, k in ((number, pa.int32()), (label, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(-1, len(m)), pa.int32()), pa.array([n] * rows, pa.int64()), wide_lists(np.vstack([s, m]))], names=["split_no", "label_idx", "row", "n", "v"])
 
-
-def _added(table: pa.Table) -> pa.Table:
-    v = np.array(table["v"].to_pylist(), float).sum(axis=0)
-    return pa.table({"split_no": table["split_no"][:1], "label_idx": table["label_idx"][:1], "row": table["row"][:1], "n": pa.array([int(np.sum(table["n"].to_numpy()))]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+    return run
 
 
-def sufficient(rows: DataFrame) -> DataFrame:
-    """``split_no, label_idx, row, n, v`` of ``split_no, label_idx, features``; row -1 holds the sums."""
-    wide = rows.select(F.col("split_no").cast("int"), F.col("label_idx").cast("int"), F.col("features").cast("array<double>"))
+def _added(table: pa.Table) -> pa.Table:
+    rows, at = np.unique(table["row"].to_numpy(), return_inverse=True)
+    n, v = np.zeros(len(rows), np.int64), wide_matrix(table["v"].combine_chunks())
+    total = np.zeros((len(rows), v.shape[1]))
+    np.add.at(n, at, table["n"].to_numpy())
+    np.add.at(total, at, v)
+    keys = {c: pa.array([table[c][0].as_py()] * len(rows), pa.int32()) for c in ("split_no", "label_idx")}
+    return pa.table({**keys, "row": pa.array(rows, pa.int32()), "n": pa.array(n), "v": wide_lists(total)})
+
+
+def sufficient(rows: DataFrame, centre: dict[int, np.ndarray], quantiles: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """``split_no, label_idx, row, n, v`` of ``split_no`` or ``splits`` (an array), ``label_idx, features``; row -1 holds the sums.
+
+    Sums and products are those of rows less their label's ``centre``, or of rows scaled with their split's ``quantiles``.
+    """
+    splits = F.col("splits") if "splits" in rows.columns else F.array("split_no")
+    wide = rows.select(splits.cast("array<int>").alias("splits"), F.col("label_idx").cast("int"), F.col("features").cast("array<double>"))
     kinds = "split_no int, label_idx int, row int, n long, v array<double>"
-    return wide.mapInArrow(_partials, kinds).groupBy("split_no", "label_idx", "row").applyInArrow(_added, kinds)
+    parts = wide.mapInArrow(_products(centre, quantiles), kinds).withColumn("block", F.floor((F.col("row") + 1) / _BLOCK_ROWS))
+    return parts.groupBy("split_no", "label_idx", "block").applyInArrow(_added, kinds)
 
 
-def _spectrum(floor: float):
+def _spectrum(centre: dict[int, np.ndarray], floor: float):
     def run(table: pa.Table) -> pa.Table:
         labels = np.array(table["label_idx"].to_pylist())
         n_all, scatter, means, sizes = 0, None, {}, {}
         for label in sorted(set(labels.tolist())):
             part = table.filter(pa.array(labels == label))
             order = np.argsort(part["row"].to_numpy())
-            V, n = np.array(part["v"].to_pylist(), float)[order], part["n"][0].as_py()
-            means[label], sizes[label] = V[0] / n, n
-            within = V[1:] - n * np.outer(means[label], means[label])
+            V, n = wide_matrix(part["v"].combine_chunks())[order], part["n"][0].as_py()
+            shift = V[0] / n
+            means[label], sizes[label] = centre[label] + shift if centre else shift, n
+            within = V[1:] - n * np.outer(shift, shift)
             scatter, n_all = within if scatter is None else scatter + within, n_all + n
         values, vectors = np.linalg.eigh(scatter / n_all)
         values, vectors = np.maximum(values[::-1], floor), vectors[:, ::-1]
         k = len(means)
         split = table["split_no"][0].as_py()
-        return pa.table({"split_no": pa.array([split] * k, pa.int32()), "label_idx": pa.array(list(means), pa.int32()), "n": pa.array([sizes[v] for v in means], pa.int64()), "mean": pa.array([m.tolist() for m in means.values()], pa.list_(pa.float64())), "eigvals": pa.array([values.tolist()] * k, pa.list_(pa.float64())), "eigvecs": pa.array([vectors.ravel().tolist()] * k, pa.list_(pa.float64()))})
+        same = lambda v: wide_lists(np.tile(v.ravel(), (k, 1)))
+        return pa.table({"split_no": pa.array([split] * k, pa.int32()), "label_idx": pa.array(list(means), pa.int32()), "n": pa.array([sizes[v] for v in means], pa.int64()), "mean": wide_lists(np.array([*means.values()])), "eigvals": same(values), "eigvecs": same(vectors)})
 
     return run
 
 
-def spectrum(rows: DataFrame, floor: float = 1e-6) -> DataFrame:
-    """Per split: class means and the spectrum of the pooled within-class covariance, largest first."""
-    return sufficient(rows).groupBy("split_no").applyInArrow(_spectrum(floor), PARAMS)
+def spectrum(rows: DataFrame, floor: float = 1e-6, quantiles: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Per split: class means and the spectrum of the pooled within-class covariance, largest first; of scaled rows if there are ``quantiles``."""
+    centre = {} if quantiles is not None else centres(rows)
+    return sufficient(rows, centre, quantiles).groupBy("split_no").applyInArrow(_spectrum(centre, floor), PARAMS)

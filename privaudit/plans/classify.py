@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privaudit.functions import arrays
 from privaudit.operators import metrics
+from privaudit.sources import stages
 
 
 def prepared(features: DataFrame, cfg) -> DataFrame:
@@ -42,6 +43,12 @@ class Classifier:
         self.model.write().overwrite().save(f"{path}/model")
         if self.scaler is not None:
             self.scaler.write().overwrite().save(f"{path}/scaler")
+        SparkSession.active().range(1).write.mode("overwrite").parquet(f"{path}/done")
+
+
+def saved(spark: SparkSession, path: str) -> bool:
+    """Whether a classifier has been saved at ``path``, to its end."""
+    return stages.exists(spark, f"{path}/done")
 
 
 def load(path: str, kind: str) -> Classifier:
@@ -56,7 +63,7 @@ def train(training: DataFrame, validation: DataFrame, cfg) -> Classifier:
     if cfg.classifier == "rf":
         return Classifier(RandomForestClassifier(featuresCol="_x", labelCol="y_member", seed=cfg.seed, **cfg.rf).fit(df))
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(df)
-    scaled = scaler.transform(df).cache()
+    scaled = stages.written(scaler.transform(df).select("_z", "y_member"), "standardised")
     width = len(scaled.first()["_z"])
     best, weights = (-1.0, None), None
     for _ in range(cfg.rounds):
@@ -70,5 +77,4 @@ def train(training: DataFrame, validation: DataFrame, cfg) -> Classifier:
         tpr = metrics.tpr_at_fpr(scored.withColumn("all", F.lit(1)), ["all"], cfg.target_fpr).first()["tpr_at_fpr"]
         if tpr > best[0]:
             best = (tpr, found)
-    scaled.unpersist()
     return best[1]

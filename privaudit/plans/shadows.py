@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privaudit.functions import noise
-from privaudit.operators.statistics import spectrum
+from privaudit.operators.scaler import inverse_matrix, quantile_matrices, transform_matrix
+from privaudit.operators.statistics import spectrum, wide_lists, wide_matrix
 
-FLOATS = pa.list_(pa.float32())
+#: Bytes of splits' parameters that the driver and a task hold at a time; more take another scan of the rows.
+_HELD = 64 << 20
 _bank = lru_cache(maxsize=8)(noise.bank)
 
 
 class Gaussian:
-    """One split's parameters on the driver: d x d numbers, whatever the rows."""
+    """One split's parameters: d x d numbers, whatever the rows."""
 
     def __init__(self, rows: list):
         self.mean = {r["label_idx"]: np.array(r["mean"]) for r in rows}
@@ -33,11 +35,18 @@ class Gaussian:
         d = len(self.values)
         self.vectors = np.array(rows[0]["eigvecs"]).reshape(d, d)
         self.n = {r["label_idx"]: r["n"] for r in rows}
+        self._turned: tuple = (None, None)
 
     def centred(self, X: np.ndarray, labels: np.ndarray) -> np.ndarray:
         overall = sum(self.mean[k] * self.n[k] for k in self.mean) / sum(self.n.values())
         return X - np.array([self.mean.get(int(k), overall) for k in labels]).reshape(X.shape)
 
+    def turned(self, E: np.ndarray) -> np.ndarray:
+        """The noise in the eigenbasis, computed once a task."""
+        if self._turned[0] is not E:
+            self._turned = E, E @ self.vectors
+        return self._turned[1]
+
 
 def gaussians(params: DataFrame) -> dict[int, Gaussian]:
     out: dict[int, list] = {}
@@ -46,6 +55,19 @@ def gaussians(params: DataFrame) -> dict[int, Gaussian]:
     return {k: Gaussian(v) for k, v in out.items()}
 
 
+def held(params: DataFrame, scalers: DataFrame | None = None) -> Iterator[tuple[dict[int, Gaussian], dict[int, np.ndarray] | None]]:
+    """The splits' parameters and quantiles, about ``_HELD`` bytes at a time."""
+    sizes = params.groupBy("split_no").agg(F.max(8 * (F.size("eigvecs") + (1000 * F.size("eigvals") if scalers is not None else F.lit(0)))).alias("b")).orderBy("split_no").collect()  # a row a split
+    part, size = [], 0
+    for i, (number, b) in enumerate(sizes):
+        part.append(number)
+        size += b
+        if i == len(sizes) - 1 or size + b > _HELD:
+            chosen = F.col("split_no").isin(part)
+            yield gaussians(params.where(chosen)), None if scalers is None else quantile_matrices(scalers.where(chosen))
+            part, size = [], 0
+
+
 def diffusion_losses(C: np.ndarray, E: np.ndarray, values: np.ndarray, alphas: np.ndarray) -> np.ndarray:
     """Rows x (levels x draws): C rows and E noise in the eigenbasis."""
     d, out = len(values), []
@@ -83,9 +105,9 @@ class Family:
 
     name = ""
 
-    def fit(self, rows: DataFrame, floor: float) -> DataFrame:
-        """Parameters of ``split_no, label_idx, features``."""
-        return spectrum(rows, floor)
+    def fit(self, rows: DataFrame, floor: float, quantiles: dict[int, np.ndarray] | None = None) -> DataFrame:
+        """Parameters of ``split_no`` or ``splits``, ``label_idx, features``; of scaled rows if there are ``quantiles``."""
+        return spectrum(rows, floor, quantiles)
 
     def score(self, gaussian: Gaussian, X: np.ndarray, labels: np.ndarray, cfg) -> np.ndarray:
         raise NotImplementedError
@@ -93,53 +115,64 @@ class Family:
     def width(self, cfg) -> int:
         raise NotImplementedError
 
-    def losses(self, params: DataFrame, samples: DataFrame, cfg) -> DataFrame:
-        """``split_no, sample_id, features`` of every sample under every split's shadow.
+    def losses(self, params: DataFrame, samples: DataFrame, cfg, scalers: DataFrame | None = None) -> DataFrame:
+        """``split_no, sample_id, features`` of every sample under every split's shadow, or under those in the sample's ``splits``.
 
-        A split's parameters go to the tasks once; the samples are never shuffled.
+        One scan of the samples serves all splits whose parameters are held at a time; the
+        samples are never shuffled.
         """
-        parts = [self._one(samples, split, g, cfg) for split, g in gaussians(params).items()]
-        return reduce(DataFrame.union, parts)
+        label = F.col("label_idx") if "label_idx" in samples.columns else F.lit(0)
+        asked = F.col("splits").cast("array<int>") if "splits" in samples.columns else F.lit(None).cast("array<int>")
+        rows = samples.select("sample_id", label.cast("int").alias("label_idx"), F.col("features").cast("array<double>").alias("features"), asked.alias("splits"))
+        parts = [rows.mapInArrow(self._scored(some, quantiles, cfg), "split_no int, sample_id string, features array<float>") for some, quantiles in held(params, scalers)]
+        return reduce(DataFrame.union, parts) if parts else params.sparkSession.createDataFrame([], "split_no int, sample_id string, features array<float>")
 
-    def _one(self, samples: DataFrame, split: int, gaussian: Gaussian, cfg) -> DataFrame:
+    def _scored(self, some: dict[int, Gaussian], quantiles: dict[int, np.ndarray] | None, cfg):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    X, labels = np.array(part.column(2).to_pylist(), float), part.column(1).to_numpy()
-                    S = self.score(gaussian, X, labels, cfg).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(S), FLOATS)], names=["sample_id", "features"])
+                    X, labels, asked = wide_matrix(part.column(2)), part.column(1).to_numpy(), part.column(3).to_pylist()
+                    for number, gaussian in some.items():
+                        own = np.flatnonzero([a is None or number in a for a in asked])
+                        if len(own):
+                            Z = X[own] if quantiles is None else transform_matrix(X[own], quantiles[number])
+                            S = self.score(gaussian, Z, labels[own], cfg).astype(np.float32)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number), pa.int32()), part.column(0).take(pa.array(own)), wide_lists(S, pa.float32())], names=["split_no", "sample_id", "features"])
 
-        label = F.col("label_idx") if "label_idx" in samples.columns else F.lit(0)
-        rows = samples.select("sample_id", label.cast("int").alias("label_idx"), F.col("features").cast("array<double>").alias("features"))
-        return rows.mapInArrow(run, "sample_id string, features array<float>").select(F.lit(split).alias("split_no"), "sample_id", "features")
+        return run
 
     def sample(self, gaussian: Gaussian, labels: np.ndarray, normals: np.ndarray, cfg) -> np.ndarray:
         raise NotImplementedError
 
-    def generate(self, params: DataFrame, members: DataFrame, cfg) -> DataFrame:
-        """One synthetic row per member (``split_no, row_id, label_idx``), so the labels stay as they are."""
-        return reduce(DataFrame.union, (self._draw(members, split, g, cfg) for split, g in gaussians(params).items()))
-
-    def _draw(self, members: DataFrame, split: int, gaussian: Gaussian, cfg) -> DataFrame:
-        d = len(gaussian.values)
+    def generate(self, params: DataFrame, members: DataFrame, cfg, scalers: DataFrame | None = None) -> DataFrame:
+        """One synthetic row per member (``split_no, row_id, label_idx``), so the labels stay as they are; in the original space if the shadows were fitted on scaled rows."""
+        kinds = "split_no int, row_id string, label_idx int, features array<float>"
+        rows = members.select(F.col("split_no").cast("int").alias("split_no"), F.col("row_id").cast("string").alias("row_id"), F.col("label_idx").cast("int").alias("label_idx"))
+        parts = [rows.where(F.col("split_no").isin([*some])).mapInArrow(self._drawn(some, quantiles, cfg), kinds) for some, quantiles in held(params, scalers)]
+        return reduce(DataFrame.union, parts) if parts else params.sparkSession.createDataFrame([], kinds)
 
+    def _drawn(self, some: dict[int, Gaussian], quantiles: dict[int, np.ndarray] | None, cfg):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, labels = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                normals = np.array([np.random.default_rng(np.random.SeedSequence([cfg.seed, split, *str(i).encode()])).normal(size=d) for i in ids]).reshape(len(ids), d)
-                X = self.sample(gaussian, labels, normals, cfg).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(X), FLOATS)], names=["row_id", "label_idx", "features"])
+                numbers = batch.column(0).to_numpy()
+                for number in np.unique(numbers).tolist():
+                    part, gaussian = batch.filter(pa.array(numbers == number)), some[number]
+                    seeds = [np.random.SeedSequence([cfg.seed, number, *str(i).encode()]) for i in part.column(1).to_pylist()]
+                    normals = np.array([np.random.default_rng(s).normal(size=len(gaussian.values)) for s in seeds])
+                    X = self.sample(gaussian, part.column(2).to_numpy(), normals, cfg)
+                    if quantiles is not None:
+                        X = inverse_matrix(X, quantiles[number])
+                    yield pa.RecordBatch.from_arrays([*part.columns, wide_lists(X.astype(np.float32), pa.float32())], names=["split_no", "row_id", "label_idx", "features"])
 
-        own = members.where(F.col("split_no") == split).select(F.col("row_id").cast("string").alias("row_id"), F.col("label_idx").cast("int").alias("label_idx"))
-        return own.mapInArrow(run, "row_id string, label_idx int, features array<float>").select(F.lit(split).alias("split_no"), "row_id", "label_idx", "features")
+        return run
 
 
 class Diffusion(Family):
     name = "diffusion"
 
     def score(self, gaussian, X, labels, cfg):
-        E = _bank(cfg.seed, cfg.draws, X.shape[1]) @ gaussian.vectors
+        E = gaussian.turned(_bank(cfg.seed, cfg.draws, X.shape[1]))
         alphas = noise.alpha_bar()[list(cfg.levels)]
         return diffusion_losses(gaussian.centred(X, labels) @ gaussian.vectors, E, gaussian.values, alphas)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privaudit.operators import splits
-from privaudit.sources.stages import exists
+from privaudit.sources.stages import ensure
 
 CUSTOM = "map<string,struct<train_ids:array<string>,test_ids:array<string>>>"
 KFOLD = "struct<splits:map<string,struct<train_index:array<string>,test_index:array<string>>>>"
@@ -52,12 +52,12 @@ def read(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     return from_json(text) if form == "json" else from_kfold_json(text)
 
 
-def extend(samples: DataFrame, path: str, required: list[int], ratio: float, seed: int) -> list[int]:
-    """Write the splits that the table at ``path`` lacks; returns their numbers."""
-    spark = samples.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in required], "split_no int")
-    lacking = wanted if not exists(spark, path) else splits.missing(wanted, spark.read.parquet(path))
-    numbers = sorted(r["split_no"] for r in lacking.collect())  # as many as splits asked for
-    if numbers:
-        splits.assign(samples, numbers, ratio, seed).write.mode("append").partitionBy("split_no").parquet(path)
-    return numbers
+def ids_print(samples: DataFrame) -> str:
+    """A fingerprint of the sample ids, whatever their order."""
+    n, total = samples.agg(F.count("*"), F.sum(F.xxhash64(F.col("sample_id").cast("string")).cast("decimal(20,0)"))).first()
+    return f"{n}-{total or 0}"
+
+
+def extend(samples: DataFrame, path: str, required: list[int], ratio: float, seed: int, force: bool = False) -> list[int]:
+    """Write the splits that the table at ``path`` lacks or that were made from other ids; returns their numbers."""
+    return ensure(samples.sparkSession, path, required, f"{ids_print(samples)}-{ratio}-{seed}", lambda numbers: splits.assign(samples, numbers, ratio, seed), force)

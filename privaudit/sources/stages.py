@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +56,19 @@ def write(df: DataFrame, path: str, keys: tuple[str, ...] = ("split_no",)) -> No
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def ensure(spark: SparkSession, path: str, required: list[int], fingerprint: str, compute: Callable[[list[int]], DataFrame], force: bool = False) -> list[int]:
-    """Compute the splits that are missing or have another fingerprint; returns those numbers."""
+def by_split(spark: SparkSession, prints: Mapping[int, str]) -> DataFrame:
+    """``split_no, fingerprint``: a row a split."""
+    return spark.createDataFrame([*prints.items()], "split_no int, fingerprint string")
+
+
+def ensure(spark: SparkSession, path: str, required: list[int], fingerprint: str | Mapping[int, str], compute: Callable[[list[int]], DataFrame], force: bool = False) -> list[int]:
+    """Compute the splits that are missing or have another fingerprint (one for all, or one a split); returns those numbers."""
+    prints = {s: fingerprint if isinstance(fingerprint, str) else fingerprint[s] for s in required}
     fresh: set[int] = set()
     if not force and exists(spark, path):
-        known = spark.read.parquet(path).where(F.col("fingerprint") == fingerprint).select("split_no").distinct()
-        fresh = {r["split_no"] for r in known.collect()}  # as many as splits
+        known = spark.read.parquet(path).select("split_no", "fingerprint").distinct().collect()  # some rows a split
+        fresh = {r["split_no"] for r in known if prints.get(r["split_no"]) == r["fingerprint"]}
     todo = [s for s in required if s not in fresh]
     if todo:
-        write(compute(todo).withColumn("fingerprint", F.lit(fingerprint)), path)
+        write(compute(todo).join(F.broadcast(by_split(spark, {s: prints[s] for s in todo})), "split_no"), path)
     return todo

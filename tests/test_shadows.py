@@ -87,17 +87,115 @@ def test_audit_is_incremental(spark, small, tmp_path, family):
     audit = Audit(_samples(spark, small), f"file://{tmp_path}/audit", cfg)
     metrics = audit.metrics("synth", "synth").collect()
     assert len(metrics) == 1 and 0 <= metrics[0]["auc"] <= 1
-    path, required = audit.path("features-synth"), cfg.splits
-    fresh = audit._fingerprint("seed", "ratio", "scale", "label_mode", "neighbours", "family", "floor", "latent_dim", "levels", "draws", "temperatures")
-    assert stages.ensure(spark, path, required, fresh, lambda n: 1 / 0) == []
-    assert stages.ensure(spark, path, [*required, 9], "other", lambda n: spark.read.parquet(path).where("split_no = 1").drop("fingerprint").withColumn("split_no", F.lit(9))) == [*required, 9]
+    n = 500 * len(cfg.splits)
+    assert audit.computed["features-synth"] == n and audit.computed["shadows-synth"] == cfg.splits
+    again = Audit(_samples(spark, small).repartition(3), audit.root, cfg)
+    assert again.metrics("synth", "synth").collect() == metrics
+    assert again.computed["features-synth"] == 0 and again.computed["splits"] == []
+    path, made = f"file://{tmp_path}/stage", []
+    compute = lambda n: made.extend(n) or spark.createDataFrame([(i, i * len(made)) for i in n], "split_no int, v int")
+    assert stages.ensure(spark, path, [1, 2, 3], "one", compute) == [1, 2, 3] and stages.ensure(spark, path, [1, 3], "one", compute) == []
+    assert stages.ensure(spark, path, [1, 2, 3, 9], {1: "one", 2: "other", 3: "one", 9: "new"}, compute) == [2, 9]
+    assert made == [1, 2, 3, 2, 9] and {r["split_no"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: 3, 2: 10, 3: 9, 9: 45}
     gap = audit.domain_gap().first()
     assert gap["trained_on"] == "real"
-    # other contents under one root are other stages; a forced stage renews those after it, once
-    fewer = Audit(_samples(spark, small).where("label < 9"), audit.root, cfg)
-    assert fewer._fingerprint("seed") != audit._fingerprint("seed") == Audit(_samples(spark, small).repartition(3), audit.root, cfg)._fingerprint("seed")
+    # a forced stage renews those after it, once
     forced = Audit(_samples(spark, small), audit.root, cfg, force=frozenset({"synthetic"}))
     assert not forced._forced("shadows", "a") and forced._forced("synthetic", "b") and forced._forced("classifier", "c") and not forced._forced("classifier", "c")
+    assert Audit(_samples(spark, small), audit.root, cfg, force=frozenset({"splits"}))._forced("splits", "a")
+
+
+def cells(audit, source="real"):
+    return {(r["split_no"], r["sample_id"]): (r["y_member"], r["features"]) for r in audit.features(source).collect()}
+
+
+def same(a, b):
+    return a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-4, abs=1e-6) for k in a)
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_audit_follows_its_samples(spark, small, tmp_path, scale):
+    """More, fewer and changed samples under one root give what a new root gives."""
+    from dataclasses import replace
+
+    cfg, root = replace(CFG, scale=scale), f"file://{tmp_path}/one"
+    samples = _samples(spark, small)
+    wide = samples.withColumn("features", F.slice("features", 1, 6))
+    few = wide.where("ordinal < 250")
+    first = Audit(few, root, cfg)
+    before = cells(first)
+    assert len(before) == 250 * 3 == first.computed["features-real"]
+    assert {r["n_member"] for r in first.metrics("real", "real").collect()} == {200}
+    more = Audit(wide.where("ordinal < 260"), root, cfg)
+    assert same(cells(more), cells(Audit(wide.where("ordinal < 260"), f"file://{tmp_path}/two", cfg))) and len(cells(more)) == 260 * 3
+    assert more.computed["splits"] == cfg.splits  # the member threshold has moved
+    back = Audit(few, root, cfg)
+    assert same(cells(back), before) and back.computed["features-real"] in (0, 250 * 3)
+    with pytest.raises(ValueError, match="in no split"):
+        lost = Audit(few, root, cfg)
+        lost._known["splits"] = lost.splits().where("sample_id <> '7'")
+        lost.features("real")
+
+
+def test_only_changed_cells_are_scored(spark, small, tmp_path):
+    """Rows that no shadow was fitted on come, change and go at the cost of their own cells."""
+    from privaudit.operators import splits
+
+    samples, root = _samples(spark, small).withColumn("features", F.slice("features", 1, 6)), f"file://{tmp_path}/one"
+    old = samples.where("ordinal < 300")
+    folds = splits.assign(old, [1, 2, 3], 0.8, 7)
+    extra = samples.where("ordinal between 300 and 309")
+    listed = folds.union(extra.select(F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("split_no"), "sample_id", F.lit(False)))
+    first = Audit(old, root, CFG, split_table=folds)
+    before = cells(first)
+    grown = Audit(old.union(extra), root, CFG, split_table=listed)
+    after = cells(grown)
+    assert grown.computed["features-real"] == 30 and grown.computed["shadows-real"] == []
+    assert {k: v for k, v in after.items() if k in before} == before  # cells that stay are those that were there
+    assert same(after, cells(Audit(old.union(extra), f"file://{tmp_path}/two", CFG, split_table=listed)))
+    other = F.when(F.col("ordinal") >= 305, F.transform("features", lambda x: x + F.lit(1).cast("float"))).otherwise(F.col("features"))
+    changed = Audit(old.union(extra.withColumn("features", other)), root, CFG, split_table=listed)
+    assert changed.features("real").count() == 930 and changed.computed["features-real"] == 15
+    gone = Audit(old, root, CFG, split_table=folds)
+    assert cells(gone) == before and gone.computed["features-real"] == 0
+    # a member that changes renews the shadows it is a member of, and only those
+    asked = folds.where("is_member").groupBy("sample_id").agg(F.collect_list("split_no").alias("s")).where("size(s) = 2").first()
+    bent = old.withColumn("features", F.when(F.col("sample_id") == asked["sample_id"], F.transform("features", lambda x: x * F.lit(2).cast("float"))).otherwise(F.col("features")))
+    moved = Audit(bent, root, CFG, split_table=folds)
+    assert same(cells(moved), cells(Audit(bent, f"file://{tmp_path}/three", CFG, split_table=folds)))
+    assert moved.computed["shadows-real"] == sorted(asked["s"]) and moved.computed["features-real"] == 300 * 2 + 1
+
+
+def test_jobs_do_not_grow_with_splits(spark, small, tmp_path):
+    from dataclasses import replace
+
+    def jobs(k):
+        group = f"audit-{k}"
+        spark.sparkContext.setJobGroup(group, group)
+        audit = Audit(_samples(spark, small), f"file://{tmp_path}/{k}", replace(CFG, train_shadows=k))
+        assert audit.features("real").count() == 500 * (k + 1)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    few, many = jobs(2), jobs(9)
+    assert abs(few - many) <= 2
+
+
+def test_far_means_lose_nothing(spark):
+    rng = np.random.default_rng(0)
+    X = np.column_stack([1e8 + rng.normal(size=400), -3e7 + 2 * rng.normal(size=400), rng.normal(size=400)])
+    X[:, 2] += X[:, 0] - 1e8
+    y = np.arange(400) % 2
+    Y = X + 5e8 * y[:, None]
+    rows = [(int(i), [1, 2] if i % 3 else [2], int(k), v.tolist()) for i, (k, v) in enumerate(zip(y, Y))]
+    df = spark.createDataFrame(rows, "sample_id long, splits array<int>, label_idx int, features array<double>").repartition(5)
+    for number, inside in ((1, np.arange(400) % 3 > 0), (2, np.ones(400, bool))):
+        g = shadows.gaussians(statistics.spectrum(df))[number]
+        centred = np.vstack([X[inside & (y == k)] - X[inside & (y == k)].mean(axis=0) for k in (0, 1)])
+        want = centred.T @ centred / inside.sum()
+        assert (g.vectors * g.values) @ g.vectors.T == pytest.approx(want, rel=1e-6, abs=1e-6)
+        assert g.mean[1] == pytest.approx(Y[inside & (y == 1)].mean(axis=0), rel=1e-12)
 
 
 def test_external_tables_are_capped_and_use_their_splits(spark, small, tmp_path):
@@ -112,6 +210,9 @@ def test_external_tables_are_capped_and_use_their_splits(spark, small, tmp_path)
     assert (audit.cfg.train_shadows, audit.cfg.holdout_shadows) == (2, 1)
     found = audit.metrics("synth", "synth").first()
     assert found["split_no"] == 3 and found["n_member"] == 400 and found["auc"] > 0.6
+    holes = Audit(samples, audit.root, replace(CFG, train_shadows=1, holdout_shadows=1), external=made.where("split_no <> 2"), split_table=folds)
+    with pytest.raises(FileNotFoundError, match="no synthetic table for splits .2."):
+        holes.features("synth")
 
 
 def test_split_files(spark, small, tmp_path):
