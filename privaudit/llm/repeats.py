@@ -310,8 +310,8 @@ class Repeats:
         spark, none = self.rows.sparkSession, self.keep == "none"
         long = self.rows.where(F.octet_length("text") >= self.length).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord"), "row", F.col("text").cast("binary").alias("text"))
         segments = materialize(long.mapInArrow(_segments(self.length), "ord long, row long, first int, n int, name long, kind long"), "repeats-segments")
-        again = segments.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
-        segments = materialize(segments.join(again, "name"), "repeats-candidates")
+        again = materialize(segments.groupBy("name").count().where("count > 1"), "repeats-names")
+        segments = materialize(spread_join(segments, again.select("name"), ["name"], counts=again), "repeats-candidates")
         kinds = materialize(segments.groupBy("name", "kind").agg(F.count("*").alias("members"), F.min(F.struct("ord", "row", "first", "n")).alias("rep")), "repeats-classes")
         # members of a class are copies of each other
         several = kinds.where("members > 1").select("name", "kind", F.col("rep.row").alias("rep_row"), F.col("rep.first").alias("rep_first"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privaudit.llm.similar import bands, links, remaining_links, shingles
+from privaudit.llm.similar import bands, links, remaining_links, shared, shingles
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BLOCK = 8192
@@ -352,18 +352,20 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
     best = rows.groupBy("fp", "digest").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best"))
     best = materialize(best, "simhash-best")
     merged = materialize(best.join(classes(best.select("fp").distinct(), radius, extra), "fp").select("best", "root"), "simhash-merged")
+    near = None
     for last in (False, True) if similar else ():
         members = merged.select("root", F.col("best.number").alias("number"))
         texts = rows.select("number", F.col("row.text").cast("string").alias("text"))
-        if last:
-            found = remaining_links(materialize(members.join(rows.select("number", "bands"), "number"), "simhash-members"), texts, *similar)
+        if last:  # roots only grow, so no other bucket has several of them
+            found = remaining_links(near.select("key", "number").join(members, "number"), texts, *similar)
         else:
             kept = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"), F.lit(True).alias("kept"))
             members = members.join(kept, "number", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-            found = links(members.join(rows.select("number", "bands"), "number"), texts, *similar)
-        near = materialize(found, "simhash-similar")
+            near = shared(materialize(members.join(rows.select("number", "bands"), "number"), "simhash-members"))
+            found = links(near, texts, *similar)
+        linked = materialize(found, "simhash-similar")
         of = merged.select(F.col("best.number").alias("number"), "root")
-        ends = near.join(of.select(F.col("number").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("number").alias("b"), F.col("root").alias("rb")), "b")
+        ends = linked.join(of.select(F.col("number").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("number").alias("b"), F.col("root").alias("rb")), "b")
         tops = materialize(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-tops")
         merged = merged.join(F.broadcast(tops) if tops.count() <= _BROADCAST_ROWS else tops, "root", "left")
         merged = materialize(merged.select("best", F.coalesce("top", "root").alias("root")), "simhash-merged")

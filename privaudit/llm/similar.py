@@ -7,7 +7,8 @@ they are known to belong to, and are only compared with those of other roots:
    one kept and one changing member of every other root, which ties large groups
    together with as many pairs as there are members.
 2. ``remaining_links``: texts that still share a bucket with another root are dealt to
-   cells of bounded size, each pair of cells to one task.  There all members of a bucket
+   cells of bounded size, a root's together, each pair of cells that has work to one
+   task; a large root's cells only meet those of others.  There all members of a bucket
    meet those of other roots as bit sets of the hashes that several of them have; what
    leaves the task is a forest of links, never the pairs that were compared, however
    many texts just below the similarity stand around one template.
@@ -55,7 +56,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def bands(hashes: np.ndarray) -> list[int]:
-    """A signed key for each band of min-hashes; none for an empty set."""
+    """A signed key for each band of min-hashes, another for each band; none for an empty set."""
     from xxhash import xxh64_intdigest
 
     if not len(hashes):
@@ -63,7 +64,7 @@ def bands(hashes: np.ndarray) -> list[int]:
     least = np.full(_BANDS * _ROWS, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[at : at + 2048] * _TIMES + _PLUS) >> np.uint64(32)).min(axis=1))
-    keys = [xxh64_intdigest(row.tobytes(), 7) for row in least.reshape(_BANDS, _ROWS)]
+    keys = [xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(_BANDS, _ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -185,49 +186,62 @@ def _cell(similarity: float):
     return run
 
 
-def remaining_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``a, b``: links between texts of different roots that share a band and are at least so similar; of each pair of cells a forest.
+def shared(members: DataFrame) -> DataFrame:
+    """``key, number, root`` and other columns of ``members`` (written; with ``bands``) for the buckets of several roots, written."""
+    keyed = members.select(F.explode("bands").alias("key"), *(c for c in members.columns if c != "bands"))
+    mixed = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = materialize(mixed.select("key", "count"), "similar-buckets")
+    return materialize(spread_join(keyed, mixed.select("key"), ["key"], counts=mixed), "similar-shared")
 
-    ``members``: ``number, root, bands``, a written table with each number once; ``texts``: ``number, text``.
-    """
-    keyed = members.select("number", "root", F.posexplode("bands").alias("band", "key"))
-    mixed = keyed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    found = spread_join(keyed, materialize(mixed, "similar-buckets"), ["band", "key"])
-    asked = found.groupBy("number", "root").agg(F.collect_list(F.xxhash64("band", "key")).alias("buckets"))
-    held = sets(materialize(asked, "similar-asked"), texts, size)
-    k = 1 + (held.agg(F.sum(F.size("set") * 8)).first()[0] or 0) // _CELL_BYTES
-    rows = held.withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(k)))
-    columns = ["cell", "number", "root", "buckets", "set"]
-    if k == 1:
-        dealt = rows.select(F.col("cell").alias("cx"), F.col("cell").alias("cy"), *columns)
-    else:
-        # a text meets the cells that its buckets reach
-        places = materialize(rows.select("number", "cell", F.explode("buckets").alias("bucket")), "similar-places")
-        reach = places.groupBy("bucket").agg(F.collect_set("cell").alias("cells"))
-        met = spread_join(places.select("number", "bucket"), materialize(reach, "similar-reach"), ["bucket"])
-        met = met.groupBy("number").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells"))
-        dealt = rows.join(met, "number").select(F.explode("cells").alias("other"), *columns)
-        dealt = dealt.select(F.least("cell", "other").alias("cx"), F.greatest("cell", "other").alias("cy"), *columns)
-    placed = dealt.repartition(partitions_for(members.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy")
-    return placed.mapInArrow(_cell(similarity), "a long, b long")
 
+def links(near: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: texts of different roots that are at least so similar, of those that meet a bucket's pivot.
 
-def links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``a, b``: members of different roots that are at least so similar, of those that meet a bucket's pivot.
-
-    ``members``: ``number, root, kept, bands``, each number once; ``texts``: ``number, text``.
+    ``near``: ``key, number, root, kept``, a written table; ``texts``: ``number, text``.
     """
-    keyed = members.select("number", "root", "kept", F.posexplode("bands").alias("band", "key"))
-    mark = F.struct((~F.col("kept")).alias("other"), F.xxhash64("number", "band").alias("turn"), "number", "root")
-    entries = materialize(keyed.groupBy("band", "key", "root").agg(F.min(mark).alias("first"), F.max(mark).alias("last")), "similar-entries")
-    mixed = entries.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("first").alias("pivot")).where("low <> high")
-    met = spread_join(entries, mixed.select("band", "key", "pivot"), ["band", "key"]).where("root <> pivot.root")
+    mark = F.struct((~F.col("kept")).alias("other"), F.xxhash64("number", "key").alias("turn"), "number", "root")
+    entries = materialize(near.groupBy("key", "root").agg(F.min(mark).alias("first"), F.max(mark).alias("last")), "similar-entries")
+    pivots = materialize(entries.groupBy("key").agg(F.count("*").alias("count"), F.min("first").alias("pivot")), "similar-pivots")
+    met = spread_join(entries, pivots.select("key", "pivot"), ["key"], counts=pivots).where("root <> pivot.root")
     met = met.select("pivot.number", F.explode(F.array_distinct(F.array("first.number", "last.number"))).alias("other"))
     pairs = materialize(met.select(F.least("number", "other").alias("x"), F.greatest("number", "other").alias("y")).distinct(), "similar-pairs")
     asked = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
     return _similar(pairs, sets(materialize(asked, "similar-asked"), texts, size), similarity)
 
 
+def remaining_links(near: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``a, b``: links between texts of different roots that share a bucket and are at least so similar; of each pair of cells a forest.
+
+    ``near``: ``key, number, root``; ``texts``: ``number, text``.
+    """
+    near = materialize(near, "similar-near")
+    mixed = near.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = materialize(mixed.select("key", "count"), "similar-buckets")
+    asked = spread_join(near.select("key", "number", "root"), mixed.select("key"), ["key"], counts=mixed).groupBy("number", "root").agg(F.collect_list("key").alias("buckets"))
+    held = sets(materialize(asked, "similar-asked"), texts, size)
+    columns, k = ["cell", "number", "root", "buckets", "set"], 1 + (held.agg(F.sum(F.size("set") * 8)).first()[0] or 0) // _CELL_BYTES
+    if k == 1:
+        rows = held.withColumn("cell", F.lit(0).cast("long"))
+        dealt = rows.select(F.col("cell").alias("cx"), F.col("cell").alias("cy"), *columns)
+    else:
+        # a root's texts stand together; one of many bytes has several cells
+        parts = held.groupBy("root").agg(F.sum(F.size("set") * 8).alias("count"), F.ceil(F.sum(F.size("set") * 8) / F.lit(_CELL_BYTES)).alias("parts"))
+        parts = materialize(parts.where("parts > 1"), "similar-roots")
+        own = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("root"), F.lit(k))).otherwise(F.lit(k) + F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("number"), "parts")), F.lit(1 << 40)))
+        rows = held.join(F.broadcast(parts.select("root", "parts")) if parts.count() <= _BROADCAST_ROWS else parts.select("root", "parts"), "root", "left").withColumn("cell", own).drop("parts")
+        # a text meets the cells with other roots that its buckets reach
+        places = materialize(rows.select("number", "root", "cell", F.explode("buckets").alias("key")), "similar-places")
+        reach = places.groupBy("key", "cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        reach = reach.groupBy("key").agg(F.sum("n").alias("count"), F.collect_list(F.struct("cell", "low", "high")).alias("cells"))
+        reach = materialize(reach, "similar-reach")
+        met = spread_join(places.select("number", "root", "key"), reach.select("key", "cells"), ["key"], counts=reach)
+        other = F.filter("cells", lambda c: (c["low"] != F.col("root")) | (c["high"] != F.col("root")))
+        met = met.select("number", F.explode(F.transform(other, lambda c: c["cell"])).alias("other")).distinct()
+        dealt = rows.join(met, "number").select(F.least("cell", "other").alias("cx"), F.greatest("cell", "other").alias("cy"), *columns)
+    placed = dealt.repartition(partitions_for(held.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy")
+    return placed.mapInArrow(_cell(similarity), "a long, b long")
+
+
 def _check(similarity: float):
     """Cells come one after the other, each with its sets before its pairs."""
 

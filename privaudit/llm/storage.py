@@ -56,17 +56,19 @@ def partitions_for(spark: SparkSession) -> int:
 _HOT_ROWS, _HOT_SHARE = 1024, 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which has each value of ``keys`` once, so that no hot key meets in one task.
 
     Hot keys are counted first: those with more than ``_HOT_ROWS`` rows and more
     than one ``_HOT_SHARE``-th of all rows, so there are at most ``_HOT_SHARE`` of
     them.  Their rows of ``right`` are broadcast, all others are joined by
     shuffle.  ``left`` is read three times: a written table.  ``how``: inner or left.
+    ``counts`` (the keys and ``count``), where the rows of each key of ``right`` have been counted before.
     """
     least = max(_HOT_ROWS, left.count() // _HOT_SHARE)
-    known = left.where(" and ".join(f"`{k}` is not null" for k in keys))
-    hot = materialize(known.groupBy(*keys).count().where(F.col("count") > least).select(*keys), "hot-keys")
+    if counts is None:
+        counts = left.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).count()
+    hot = materialize(counts.where(F.col("count") > least).select(*keys), "hot-keys")
     if hot.isEmpty():
         return left.join(right, keys, how)
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")

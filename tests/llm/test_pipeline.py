@@ -104,11 +104,11 @@ def test_remaining_links(spark, monkeypatch):
     for cell, hashes in ((8 << 20, 1 << 20), (2000, 1 << 20), (8 << 20, 200), (9000, 900)):
         monkeypatch.setattr(similar, "_CELL_BYTES", cell)
         monkeypatch.setattr(similar, "_HASHES", hashes)
-        found = [tuple(sorted(r)) for r in similar.remaining_links(members, given, 5, 0.8).collect()]
+        found = [tuple(sorted(r)) for r in similar.remaining_links(similar.shared(members), given, 5, 0.8).collect()]
         assert set(found) <= want and components_of(90, [*same, *found]) == components_of(90, [*same, *found, *want])
         if cell == 8 << 20:
             assert len(found) == len(set(found)) < 90  # a forest, not the pairs
-    assert similar.remaining_links(members.limit(0), given, 5, 0.8).collect() == []
+    assert similar.remaining_links(similar.shared(members.limit(0)), given, 5, 0.8).collect() == []
 
 
 def template(n, changed):
@@ -131,7 +131,7 @@ def test_template_just_below(spark):
         shared = sum(bool(set(similar.bands(a)) & set(similar.bands(b))) for i, a in enumerate(sets) for b in sets[:i])
         assert shared > n * n / 5  # what would be written as pairs
         members = spark.createDataFrame([(i, i, similar.bands(s)) for i, s in enumerate(sets)], "number long, root long, bands array<long>")
-        found = [tuple(r) for r in similar.remaining_links(members, spark.createDataFrame(list(enumerate(texts)), "number long, text string"), 5, 0.8).collect()]
+        found = [tuple(r) for r in similar.remaining_links(similar.shared(members), spark.createDataFrame(list(enumerate(texts)), "number long, text string"), 5, 0.8).collect()]
         assert len(found) < n and components_of(n, found) == components_of(n, [(i, j) for i, j in pairs if set(similar.bands(sets[i])) & set(similar.bands(sets[j]))])
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     near = [simhash.fingerprint(t, 4) for t in texts]
