@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from privaudit.operators import neighbours
+
 
 def encode(df: DataFrame, classes: DataFrame, column: str = "label") -> DataFrame:
     """Adds ``label_idx``; a label that is not in ``classes`` (``label, label_idx``) is an error."""
@@ -43,41 +43,14 @@ def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     return parted.join(F.broadcast(starts), "_part").withColumn("ordinal", F.col("_start") + inner).drop("_part", "_start")
 
 
-def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
+def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 8192, compared: dict | None = None) -> DataFrame:
     """``sample_id, ref_id, distance, rank``: the k nearest reference rows, ties to the smaller id.
 
-    Exact and blocked: query blocks meet reference blocks in tasks of bounded
-    size, each returns its k best per query, and a window merges them.
-    ``queries``: ``sample_id, features``; ``reference``: ``ref_id, features``.
+    Exact: pivots and triangle inequalities rule out blocks of reference rows that hold
+    none of a query's nearest.  ``queries``: ``sample_id, features``; ``reference``:
+    ``ref_id, features``.
     """
-    a, b = max(1, -(-queries.count() // query_rows)), max(1, -(-reference.count() // block_rows))
-
-    def spread(df, own, other, name, number, other_name):
-        return df.select(F.pmod(F.xxhash64(own), F.lit(number)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name), F.col(own), F.col("features").cast("array<double>").alias("features"))
-
-    left = spread(queries, "sample_id", b, "qb", a, "rb")
-    right = spread(reference, "ref_id", a, "rb", b, "qb")
-    id_type, ref_type = dict(queries.dtypes)["sample_id"], dict(reference.dtypes)["ref_id"]
-
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        schema = pa.schema([("sample_id", x.schema.field("sample_id").type), ("ref_id", y.schema.field("ref_id").type), ("distance", pa.float64())])
-        if not x.num_rows or not y.num_rows:
-            return schema.empty_table()
-        X = np.array(x["features"].to_pylist(), float)
-        order = np.argsort(np.array(y["ref_id"].to_pylist()), kind="stable")
-        Y, ids = np.array(y["features"].to_pylist(), float)[order], y["ref_id"].take(pa.array(order))
-        rows, cols, dist = [], [], []
-        for i, v in enumerate(X):
-            d = ((Y - v) ** 2).sum(axis=1)
-            best = np.argsort(d, kind="stable")[:k]
-            rows += [i] * len(best)
-            cols += best.tolist()
-            dist += np.sqrt(d[best]).tolist()
-        return pa.Table.from_arrays([x["sample_id"].take(pa.array(rows)).combine_chunks(), ids.take(pa.array(cols)).combine_chunks(), pa.array(dist)], schema=schema)
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(compare, f"sample_id {id_type}, ref_id {ref_type}, distance double")
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("distance", "ref_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return neighbours.PivotIndex(reference, block_rows).search(queries, k, query_rows, compared)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
