@@ -7,6 +7,7 @@ large id sets, cells and score tables.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -406,12 +407,58 @@ def audit_full(spark, d):
     return metrics.auc(scores, ["split_no"]).join(metrics.tpr_at_fpr(scores, ["split_no"]), "split_no")
 
 
+_TWO = AuditConfig(levels=LEVELS, draws=DRAWS, train_shadows=4, holdout_shadows=1, scale=False, temperatures=(0.0,), latent_dim=1, family="diffusion")
+
+
+def _two(spark, d):
+    """Samples with two columns, the sums of the even and of the odd ones: a covariance that SQL can invert."""
+    x = F.col("features").cast("array<double>")
+    side = lambda k: arrays.total(F.filter(x, lambda _, i: i % 2 == k))
+    return _samples(spark, d).withColumn("features", F.array(side(0), side(1)))
+
+
+def _two_fitted(spark, d, family, label):
+    chosen = splits.assign(_samples(spark, d), SPLITS, RATIO, SEED).where("is_member").groupBy("sample_id").agg(F.collect_list("split_no").alias("splits"))
+    members = _two(spark, d).join(chosen, "sample_id").select("splits", label.alias("label_idx"), "features")
+    return family.fit(members, 1e-6)
+
+
+def diffusion_losses_two(spark, d):
+    """Losses under full covariances, all splits in one scan."""
+    family = FAMILIES["diffusion"]
+    losses = family.losses(_two_fitted(spark, d, family, F.lit(0)), _two(spark, d), _TWO)
+    return feats.explode_losses(losses, DRAWS, ["split_no", "sample_id"]).withColumn("loss", F.round("loss", 4))
+
+
+def latent_losses_two(spark, d):
+    """Reconstruction losses without noise, and divergences, under class means and a pooled full covariance."""
+    family = FAMILIES["latent"]
+    params = _two_fitted(spark, d, family, F.col("label"))
+    found = family.losses(params, _two(spark, d).withColumnRenamed("label", "label_idx"), replace(_TWO, family="latent", draws=1))
+    at = lambda i: F.round(F.get("features", F.lit(i)).cast("double"), 4)
+    return found.select("split_no", "sample_id", at(0).alias("loss"), at(1).alias("kl"))
+
+
+def audit_two(spark, d):
+    """Splits, full-covariance shadows, losses, score, metrics per split."""
+    losses = diffusion_losses_two(spark, d).groupBy("split_no", "sample_id").agg(F.round(-F.avg("loss"), 6).alias("score"))
+    truth = _assigned(spark, d).select("split_no", "sample_id", F.col("is_member").cast("int").alias("y"))
+    scores = stages.written(losses.join(truth, ["split_no", "sample_id"]), "scores")
+    found = metrics.auc(scores, ["split_no"]).join(metrics.tpr_at_fpr(scores, ["split_no"]), "split_no")
+    return found.select("split_no", F.round("auc", 9).alias("auc"), F.round("tpr_at_fpr", 9).alias("tpr_at_fpr"))
+
+
 # ---- classifiers and the whole audit
 
 
-def _audit(spark, d, **changes):
-    from dataclasses import replace
+def audit_defaults(spark, d):
+    """The whole audit with the settings a user gets who sets none: 7 levels, 50 draws, quantile scaling, 500 trees."""
+    from privaudit.plans.audit import Audit
+
+    return Audit(_samples(spark, d), stages.shared_path(spark, "run"), AuditConfig()).metrics("real", "real")
+
 
+def _audit(spark, d, **changes):
     from privaudit.plans.audit import Audit
 
     return Audit(_samples(spark, d).withColumnRenamed("label", "label_idx"), stages.shared_path(spark, "run"), replace(_CFG, **changes))
@@ -446,7 +493,8 @@ _ALL = (
     forward_diffuse, shadow_stats_diag, shadow_stats_orders, diffusion_losses_diag, loss_summary, loss_summary_array, losses_long, latent_kl_diag, elbo_by_split, output_transforms, stale_features,
     shadow_spectrum, shadow_forms, diffusion_losses_full, latent_losses, generate_latent, generate_diffusion, generate_one_class,
     score_accuracy, score_auc, tpr_at_fpr, lineitem_auc, eval_report, domain_gap, best_checkpoint, audit_minimal, audit_full,
-    rf_scores, mlp_scores, latent_audit, audit_gap, released_scores,
+    diffusion_losses_two, latent_losses_two, audit_two,
+    rf_scores, mlp_scores, latent_audit, audit_gap, released_scores, audit_defaults,
 )
 
 
@@ -486,6 +534,25 @@ _LOSSES = (
     "FROM cells JOIN stats USING (gene_idx) JOIN bank USING (gene_idx), lv GROUP BY ALL)"
 )
 _LOSS_CTES = f"WITH {_S}, {_SP}, {_CELLS}, {_STATS}, {_ALPHA}, {_LOSSES} "
+_TWO_ROWS = "x AS (SELECT sample_id, label, list_sum(list_filter(embedding::DOUBLE[], lambda v, i: i % 2 = 1)) AS p, list_sum(list_filter(embedding::DOUBLE[], lambda v, i: i % 2 = 0)) AS q FROM s)"
+_TWO_LOSSES = (
+    f"WITH {_S}, {_SP}, {_TWO_ROWS}, {_ALPHA}, "
+    "g AS (SELECT split_no, avg(p) AS mp, avg(q) AS mq, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq FROM x JOIN sp USING (sample_id) WHERE is_member GROUP BY split_no), "
+    f"lv AS (SELECT (row_number() OVER (ORDER BY t) - 1)::INT AS level_idx, a FROM alpha WHERE t IN {LEVELS}), "
+    f"bank AS (SELECT n::INT AS noise_idx, {_hash_normal('n', '0')} AS e, {_hash_normal('n', '1')} AS f FROM (SELECT range AS n FROM range({DRAWS}))), "
+    # u is what the inverse of a S + (1 - a) I meets
+    "u AS (SELECT split_no, sample_id, level_idx, noise_idx, a * pp + 1 - a AS m1, a * qq + 1 - a AS m2, a * pq AS m12, "
+    "sqrt(a * (1 - a)) * (p - mp) - a * (pp * e + pq * f) AS u1, sqrt(a * (1 - a)) * (q - mq) - a * (pq * e + qq * f) AS u2 FROM x, g, lv, bank), "
+    "losses AS (SELECT split_no, sample_id, level_idx, noise_idx, round(((pow(m2 * u1 - m12 * u2, 2) + pow(m1 * u2 - m12 * u1, 2)) / pow(m1 * m2 - m12 * m12, 2) / 2)::FLOAT::DOUBLE, 4) AS loss FROM u) "
+)
+_TWO_LATENT = (
+    f"WITH {_S}, {_SP}, {_TWO_ROWS}, m AS (SELECT split_no, label, avg(p) AS mp, avg(q) AS mq FROM x JOIN sp USING (sample_id) WHERE is_member GROUP BY ALL), "
+    "w AS (SELECT split_no, avg(pow(p - mp, 2)) AS pp, avg(pow(q - mq, 2)) AS qq, avg((p - mp) * (q - mq)) AS pq FROM x JOIN sp USING (sample_id) JOIN m USING (split_no, label) WHERE is_member GROUP BY split_no), "
+    "v AS (SELECT *, (pp + qq) / 2 + sqrt(pow((pp - qq) / 2, 2) + pq * pq) AS big, (pp + qq) / 2 - sqrt(pow((pp - qq) / 2, 2) + pq * pq) AS small FROM w), "
+    "r AS (SELECT v.split_no, sample_id, big, small, pow(p - mp, 2) + pow(q - mq, 2) AS far, pow((big - qq) * (p - mp) + pq * (q - mq), 2) / (pow(big - qq, 2) + pq * pq) AS along FROM x JOIN m USING (label) JOIN v USING (split_no)) "
+    "SELECT split_no, sample_id, round(((far - along + along * pow(1 - (big - small) / big, 2)) / 2)::FLOAT::DOUBLE, 4) AS loss, "
+    "round((-0.5e0 * (1 + ln(small / big) - along * (big - small) / (big * big) - small / big))::FLOAT::DOUBLE, 4) AS kl FROM r"
+)
 _SIDES = f"WITH {_S}, {_split_cte('sp', 's', [1])}, q AS (SELECT s.* FROM s JOIN sp USING (sample_id) WHERE is_member), r AS (SELECT s.* FROM s JOIN sp USING (sample_id) WHERE NOT is_member), "
 _NEAR = (
     "pairs AS (SELECT q.sample_id, r.vec_id AS ref_id, r.label, sqrt(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM q, r), "
@@ -531,6 +598,12 @@ _MET = (
 )
 
 
+_SPLIT_METRICS = (
+    "rk AS (SELECT *, rank() OVER (PARTITION BY split_no ORDER BY score) + (count(*) OVER (PARTITION BY split_no, score) - 1) / 2e0 AS r, sum(y) OVER (PARTITION BY split_no ORDER BY score DESC, sample_id ROWS UNBOUNDED PRECEDING) AS tp, sum(1 - y) OVER (PARTITION BY split_no ORDER BY score DESC, sample_id ROWS UNBOUNDED PRECEDING) AS fp, sum(y) OVER (PARTITION BY split_no) AS p, sum(1 - y) OVER (PARTITION BY split_no) AS n FROM sc) "
+    "SELECT split_no, round((sum(r) FILTER (WHERE y = 1) - max(p) * (max(p) + 1) / 2e0) / (max(p)::DOUBLE * max(n)), 9) AS auc, round(coalesce(max(CASE WHEN fp / n::DOUBLE <= 0.1e0 THEN tp / p::DOUBLE END), 0e0), 9) AS tpr_at_fpr FROM rk GROUP BY split_no"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     summary = _LOSS_CTES + "SELECT split_no, sample_id, level_idx, round(avg(loss), 6) AS mean, round(stddev_pop(loss), 6) AS std, round(min(loss), 6) AS min, round(max(loss), 6) AS max FROM losses GROUP BY ALL"
     losses = _LOSS_CTES + "SELECT split_no, sample_id, level_idx, noise_idx, round(loss, 9) AS loss FROM losses"
@@ -581,7 +654,9 @@ def oracle_sql() -> dict[str, str]:
         "eval_report": _SCORES + _MET + "SELECT trained_on, source, split_no, round(avg(auc), 9) AS auc, round(avg(tpr_at_fpr), 9) AS tpr_at_fpr, round(avg(acc), 9) AS acc FROM met GROUP BY GROUPING SETS ((trained_on, source, split_no), (trained_on, source))",
         "domain_gap": _SCORES + _MET + "SELECT trained_on, round(avg(auc) FILTER (WHERE source = 'real') - avg(auc) FILTER (WHERE source = 'synth'), 9) AS auc_gap, round(avg(tpr_at_fpr) FILTER (WHERE source = 'real') - avg(tpr_at_fpr) FILTER (WHERE source = 'synth'), 9) AS tpr_at_fpr_gap FROM met GROUP BY trained_on",
         "best_checkpoint": "WITH c AS (SELECT o_orderpriority, (o_custkey % 12)::INT AS step, round(avg((o_orderstatus = 'F')::INT::DOUBLE), 2) AS tpr FROM orders GROUP BY ALL) SELECT o_orderpriority, step, tpr FROM c QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY tpr DESC, step) = 1",
+        "diffusion_losses_two": _TWO_LOSSES + "SELECT * FROM losses",
+        "latent_losses_two": _TWO_LATENT,
+        "audit_two": _TWO_LOSSES + ", sc AS (SELECT split_no, sample_id, round(-avg(loss), 6) AS score, any_value(is_member)::INT AS y FROM losses JOIN sp USING (split_no, sample_id) GROUP BY ALL), " + _SPLIT_METRICS,
         "audit_minimal": _LOSS_CTES + ", sc AS (SELECT split_no, sample_id, round(-avg(loss), 9) AS score, any_value(is_member)::INT AS y FROM losses JOIN sp USING (split_no, sample_id) GROUP BY ALL), "
-        "rk AS (SELECT *, rank() OVER (PARTITION BY split_no ORDER BY score) + (count(*) OVER (PARTITION BY split_no, score) - 1) / 2e0 AS r, sum(y) OVER (PARTITION BY split_no ORDER BY score DESC, sample_id ROWS UNBOUNDED PRECEDING) AS tp, sum(1 - y) OVER (PARTITION BY split_no ORDER BY score DESC, sample_id ROWS UNBOUNDED PRECEDING) AS fp, sum(y) OVER (PARTITION BY split_no) AS p, sum(1 - y) OVER (PARTITION BY split_no) AS n FROM sc) "
-        "SELECT split_no, round((sum(r) FILTER (WHERE y = 1) - max(p) * (max(p) + 1) / 2e0) / (max(p)::DOUBLE * max(n)), 9) AS auc, round(coalesce(max(CASE WHEN fp / n::DOUBLE <= 0.1e0 THEN tp / p::DOUBLE END), 0e0), 9) AS tpr_at_fpr FROM rk GROUP BY split_no",
+        + _SPLIT_METRICS,
     }
