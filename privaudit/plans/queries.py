@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from privaudit.config import AuditConfig
@@ -143,6 +143,60 @@ def constant_labels(spark, d):
     return labels.constant(_samples(spark, d)).groupBy("y_label").count().withColumnRenamed("count", "n")
 
 
+# ---- files
+
+
+def _columns(spark, d):
+    """Samples as one text column a feature, in id order, and the features' names."""
+    samples = _samples(spark, d)
+    names = [f"G{i}" for i in range(samples.select(F.max(F.size("features"))).first()[0])]
+    return samples.select("sample_id", "ordinal", *(F.get("features", F.lit(i)).cast("string").alias(g) for i, g in enumerate(names))), names
+
+
+def matrix_tsv(spark, d):
+    """The samples written as a genes x samples TSV and read back."""
+    path = stages.shared_path(spark, "matrix")
+    cell = F.struct("ordinal", F.col("sample_id").alias("id"), F.col("value").cast("float").cast("string").alias("v"))
+    lines = matrix.cells(_samples(spark, d).drop("label")).join(_samples(spark, d).select("sample_id", "ordinal"), "sample_id")
+    lines = lines.groupBy("gene_idx").agg(F.sort_array(F.collect_list(cell)).alias("c"))  # a line of the file
+    line = lambda of, first: F.concat_ws("\t", first, F.transform("c", lambda x: x[of]))
+    head = lines.where("gene_idx = 0").select(F.lit(-1).alias("gene_idx"), line("id", F.lit("gene")).alias("value"))
+    body = lines.select("gene_idx", line("v", F.concat(F.lit("G"), F.col("gene_idx").cast("string"))).alias("value"))
+    head.union(body).orderBy("gene_idx").coalesce(1).select("value").write.text(path)
+    samples, genes = matrix.read_matrix(spark, path)
+    x = F.transform("features", lambda v: v.cast("double"))
+    return samples.select("sample_id", F.dense_rank().over(Window.orderBy("ordinal")).alias("place"), F.lit(len(genes)).alias("genes"), F.round(arrays.total(x), 5).alias("total"), F.round(F.get(x, F.lit(3)), 6).alias("fourth"))
+
+
+def released_csv(spark, d):
+    """The samples written as CSV files and labels as others, and read back row by row, columns in another order."""
+    rows, names = _columns(spark, d)
+    data, tags = stages.shared_path(spark, "released"), stages.shared_path(spark, "tags")
+    rows.orderBy("ordinal").drop("sample_id", "ordinal").write.csv(data, header=True)
+    _samples(spark, d).orderBy("ordinal").select("sample_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("label")).coalesce(1).write.csv(tags, header=True)
+    found = matrix.read_labelled(spark, data, tags, names[::-1])
+    return found.select("row_id", "label", F.round(F.get("features", F.lit(0)).cast("double"), 6).alias("last"), F.round(F.get("features", F.lit(len(names) - 1)).cast("double"), 6).alias("first"))
+
+
+def labels_csv(spark, d):
+    """Labels written with another column before them, read by name and coded."""
+    path = stages.shared_path(spark, "labels")
+    orders = _orders(spark, d).select("sample_id", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    orders.write.csv(path, header=True)
+    read = matrix.read_labels(spark, path, "priority")
+    return labels.encode(read, labels.class_list(PRIORITIES, spark)).groupBy("label", "label_idx").count().withColumnRenamed("count", "n")
+
+
+def predictions_csv(spark, d):
+    """Scores written in input order, read back as lines."""
+    path = stages.shared_path(spark, "predictions")
+    orders = _orders(spark, d)
+    scores = orders.select("sample_id", F.col("o_orderkey").alias("ordinal"), (F.col("o_custkey") % 1000 / F.lit(1000.0)).alias("score"))
+    matrix.write_predictions(scores, path)
+    lines = spark.read.csv(path, schema="sample_id string, score double").where("sample_id <> 'sample_id'")
+    return lines.select("sample_id", F.round("score", 6).alias("score"))
+
+
 # ---- quantile normaliser
 
 
@@ -489,6 +543,7 @@ def released_scores(spark, d):
 _ALL = (
     split_assign, split_assign_orders, membership_counts, membership_flags, member_rows, nonmember_fold_rows, missing_splits, split_role_counts, cap_splits, splits_json,
     cells_long, matrix_from_long, label_encode, one_hot_codes, positional_join, knn_neighbours, knn_labels, constant_labels,
+    matrix_tsv, released_csv, labels_csv, predictions_csv,
     quantile_fit, quantile_uniform, quantile_normal, quantile_round_trip,
     forward_diffuse, shadow_stats_diag, shadow_stats_orders, diffusion_losses_diag, loss_summary, loss_summary_array, losses_long, latent_kl_diag, elbo_by_split, output_transforms, stale_features,
     shadow_spectrum, shadow_forms, diffusion_losses_full, latent_losses, generate_latent, generate_diffusion, generate_one_class,
@@ -628,6 +683,10 @@ def oracle_sql() -> dict[str, str]:
         "knn_neighbours": _SIDES + _NEAR + "SELECT sample_id, rank, ref_id, round(distance, 9) AS distance FROM near",
         "knn_labels": _SIDES + _NEAR + ", votes AS (SELECT sample_id, label, count(*) AS c FROM near GROUP BY ALL) SELECT sample_id, label AS y_label FROM votes QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY c DESC, label) = 1",
         "constant_labels": "SELECT 0 AS y_label, count(*) AS n FROM embeddings",
+        "matrix_tsv": "SELECT vec_id::VARCHAR AS sample_id, (row_number() OVER (ORDER BY vec_id))::INT AS place, len(embedding)::INT AS genes, round(list_sum(embedding::DOUBLE[]), 5) AS total, round(embedding[4]::DOUBLE, 6) AS fourth FROM embeddings",
+        "released_csv": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, 'c' || label AS label, round(embedding[-1]::DOUBLE, 6) AS last, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",
+        "labels_csv": f"SELECT o_orderpriority AS label, (list_position({PRIORITIES}, o_orderpriority) - 1)::INT AS label_idx, count(*) AS n FROM orders GROUP BY ALL",
+        "predictions_csv": "SELECT o_orderkey::VARCHAR AS sample_id, round(o_custkey % 1000 / 1000e0, 6) AS score FROM orders",
         "quantile_fit": "WITH c AS (SELECT 'l_quantity' AS gene, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem), "
         f"q AS (SELECT gene, quantile_cont(value, {[i / 999 for i in range(1000)]}) AS q FROM c GROUP BY gene) SELECT gene, unnest(range(1000))::INT AS i, round(unnest(q), 7) AS q FROM q",
         "quantile_uniform": _QUANTILES + "SELECT sample_id, gene_idx, round(u, 9) AS u FROM u",
