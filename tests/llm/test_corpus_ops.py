@@ -281,6 +281,35 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(make(spark, []), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_a_window_of_many_items(spark):
+    """A window that many items share is one short pattern for the driver and the tasks."""
+    shared = "one window that stands in very many of the items here"
+    items = [(f"item-{i:05d}", f"{shared} and then number {i}") for i in range(20_000)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = decontamination.windows(benchmark, 11).where(F.size("items") > 1).collect()
+    assert len(found) == 4 and {len(r["items"]) for r in found} == {20_000} and len({r["list"] for r in found}) == 1
+    docs = [(i, f"before {shared} after {i}" if i % 3 else "clean", "a", 0) for i in range(300)]
+    got = decontamination.find_contamination(make(spark, docs), benchmark, 11, pattern_bytes=1 << 30).collect()
+    digest = hashlib.sha256(",".join(i for i, _ in items).encode()).hexdigest()
+    assert all((r["n_items"], r["n_hit"], r["items_sha256"]) == ((20_000, 11, digest) if r["doc_id"] % 3 else (0, 0, hashlib.sha256(b"").hexdigest())) for r in got)
+
+
+def test_automaton_memory():
+    """What a block of the bounded size takes in a task."""
+    import resource
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, random, ahocorasick\nfrom privaudit.llm import decontamination as d\nrng = random.Random(1)\n"
+        "words = [''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=rng.randint(2, 9))) for _ in range(5000)]\nsize, block = 0, object.__new__(d.Block)\n"
+        "text, block.patterns, block.key = rng.choices(words, k=200_000), [], 'k'\n"
+        "for i in range(len(text) - 9):\n    p = (' ' + ' '.join(text[i:i + 10]) + ' ').encode()\n    size += len(p) + 50\n    block.patterns.append((p, i))\n    if size > d._PATTERN_BYTES:\n        break\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nblock.automaton()\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    )
+    assert resource and float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 400
+
+
 def brute_fingerprint(text, size):
     from xxhash import xxh64_intdigest
 
