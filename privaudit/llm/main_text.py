@@ -86,6 +86,7 @@ class Page:
         self.elements: list[list] = []
         self._stack: list[int] = []
         self._open_names: list[Counter] = [Counter()]
+        self._open_pages: Counter = Counter()  # html and body, wherever they are
         self._depth = 0  # content elements around
         self._read(source)
         for e in self._stack:
@@ -163,17 +164,21 @@ class Page:
             self._open_names.append(Counter())
         self._stack.append(len(self.elements) - 1)
         self._open_names[-1][name] += 1
+        if name in ("html", "body"):
+            self._open_pages[name] += 1
 
     def _close(self, name: str, silent: bool = False) -> None:
         if name == "header" and self._depth and not self._open_names[-1]["header"]:
             name = "header of content"
         if name in ("html", "body"):
-            known = any(c[name] for c in self._open_names)
+            known = self._open_pages[name] > 0
         else:  # a stray closing tag does not end the content around it
             known = self._open_names[-1][name] > 0
         while known:
             e = self.elements[self._stack.pop()]
             self._open_names[-1][e[0]] -= 1
+            if e[0] in ("html", "body"):
+                self._open_pages[e[0]] -= 1
             if e[0] in _CONTENT:
                 self._open_names.pop()
                 self._depth -= 1

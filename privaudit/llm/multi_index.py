@@ -17,7 +17,9 @@ distance in double precision.
 
 Each query has its radius: the one that should hold ``depth`` codes, read off its code
 distances to the sample, but not more than the quantile ``coverage`` of the code
-distances between sampled vectors and their true neighbours in the sample.  All are
+distances between sampled vectors and their true neighbours in the sample.  ``depth``
+grows with the rows: how many codes stand before the true neighbours is measured on
+the sample and on parts of it, and carried on as a power of the rows.  All are
 probed with the widest of these.  Queries with fewer than a quarter of ``depth`` codes
 within a radius below that quantile, or fewer than ``k`` within one above, are asked
 again with a wider one.  So what is re-ranked grows with the queries, not with their
@@ -93,6 +95,29 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(axis=-1, dtype=np.int64)
 
 
+def depth_of(codes: Codes, sample: np.ndarray, n: int, k: int, recall: float, queries: int = 200) -> int:
+    """How many of ``n`` codes stand at most as far from a query as the share ``recall`` of its k nearest, carried on from parts of the sample."""
+    coded, points = codes(sample), []
+    asked = range(0, len(sample), max(1, len(sample) // queries))
+    for size in (len(sample) // 8, len(sample) // 4, len(sample) // 2, len(sample)):
+        if size <= 4 * k:
+            continue
+        ranks = []
+        for q in asked:
+            part = np.arange(q % (len(sample) // size), len(sample), len(sample) // size)  # the query is one of them or not
+            part = part[part != q]
+            d = ((sample[part] - sample[q]) ** 2).sum(axis=1)
+            apart = distances(coded[part], coded[q])
+            near = apart[np.argpartition(d, k)[:k]]
+            ranks += np.searchsorted(np.sort(apart), near, "right").tolist()
+        points.append((len(part), np.quantile(ranks, recall)))
+    if not points:
+        return n
+    sizes, depths = np.array(points).T
+    power = float(np.clip(np.polyfit(np.log(sizes), np.log(depths), 1)[0], 0.5, 1.0)) if len(points) > 1 else 1.0
+    return int(min(n, np.ceil(depths[-1] * max(1.0, n / sizes[-1]) ** power)))
+
+
 def learn(sample: np.ndarray, k: int, coverage: float, queries: int = 300) -> tuple[Codes, int]:
     """The codes and the radius that holds the share ``coverage`` of true neighbours in the sample."""
     codes = Codes(sample)
@@ -234,8 +259,11 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
 
 
-def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, depth: int = 800, block_rows: int = 8192) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found of each query row."""
+def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096, coverage: float = 0.98, depth: int = 800, recall: float = 0.95, block_rows: int = 8192) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found of each query row.
+
+    ``recall``: the share of true neighbours that the radii should hold; ``depth``: the codes they hold at least.
+    """
     spark = embeddings.sparkSession
     rows = materialize(usable(embeddings), "index-rows")
     sample = sorted(about(rows, sample_rows, "vec_id").limit(2 * sample_rows).collect(), key=lambda r: r["vec_id"])  # a documented bound
@@ -249,10 +277,12 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, sample_rows: in
     place = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
     some = some.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     index = materialize(_coded(some.select("vec_id", "embedding"), codes).withColumn("number", F.monotonically_increasing_id()), "index")
+    n = index.count()
+    depth = max(depth, depth_of(codes, vectors, n, k, recall))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = pending = materialize(_coded(asked, codes, codes(vectors), depth / max(1, index.count()), most), "index-queries")
+    asked = pending = materialize(_coded(asked, codes, codes(vectors), depth / max(1, n), most), "index-queries")
 
-    pairs, n = None, index.count()
+    pairs = None
     while True:
         radius = pending.agg(F.coalesce(F.max("radius"), F.lit(0))).first()[0]
         found = materialize(probe(index, pending, codes.bits, radius, block_rows), "index-pairs")

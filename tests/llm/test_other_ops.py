@@ -256,6 +256,30 @@ def test_hostile_markup():
         started = time.time()
         main_text.Weights([]).text(part * 60_000)
         assert time.time() - started < 10, part
+    for source in ("<article>" * 40_000 + "</body>" * 40_000, "<body>" * 40_000 + "<main>" * 40_000 + "</html>" * 40_000, "<article><body>x" * 30_000 + "</body>" * 30_000):
+        started = time.time()
+        main_text.Weights([]).text(source)
+        assert time.time() - started < 10
+
+
+def test_depth_follows_the_rows():
+    """Radii that hold the depth carried on from the sample hold 90 % of true neighbours, however many rows there are."""
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(32, 32)) / 6 + np.eye(32)
+    depths = []
+    for n in (5_000, 120_000):
+        X = rng.normal(size=(n, 32)) @ mix
+        codes, most = multi_index.learn(X[:4096], 10, 0.98)
+        depths.append(max(800, multi_index.depth_of(codes, X[:4096], n, 10, 0.95)))
+        coded, held = codes(X), 0
+        for q in rng.choice(n, 40, replace=False):
+            d = ((X - X[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            apart = multi_index.distances(coded, coded[q])
+            radius = multi_index.radii(coded[q : q + 1], coded[:4096], depths[-1] / n, most)[0]
+            held += (apart[np.argpartition(d, 10)[:10]] <= radius).sum()
+        assert held >= 0.9 * 400
+    assert depths[0] < depths[1] < 0.2 * 120_000
 
 
 def vectors(n=1500, d=24, seed=0):
