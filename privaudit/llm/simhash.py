@@ -370,7 +370,7 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
         merged = merged.join(F.broadcast(tops) if tops.count() <= _BROADCAST_ROWS else tops, "root", "left")
         merged = materialize(merged.select("best", F.coalesce("top", "root").alias("root")), "simhash-merged")
     chosen = merged.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.number").alias("number"))
-    kept = rows.join(chosen, "number", "left_semi")
+    kept = rows.join(chosen.hint("merge"), "number", "left_semi")  # grows with the texts: never broadcast
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
 
 

@@ -191,7 +191,8 @@ def shared(members: DataFrame) -> DataFrame:
     keyed = members.select(F.explode("bands").alias("key"), *(c for c in members.columns if c != "bands"))
     mixed = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = materialize(mixed.select("key", "count"), "similar-buckets")
-    return materialize(spread_join(keyed, mixed.select("key"), ["key"], counts=mixed), "similar-shared")
+    # merged by shuffle at every size: the buckets grow with the texts
+    return materialize(spread_join(keyed, mixed.select("key").hint("merge"), ["key"], counts=mixed), "similar-shared")
 
 
 def links(near: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
