@@ -20,6 +20,7 @@ class AuditConfig:
     draws: int = 50
     temperatures: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0)
     latent_dim: int = 16
+    rank: int = 0  # directions of a latent shadow's spectrum; 0: all of them
     floor: float = 1e-6
     scale: bool = True
     label_mode: str = "none"  # none, real or knn

@@ -153,3 +153,85 @@ def spectrum(rows: DataFrame, floor: float = 1e-6, quantiles: dict[int, np.ndarr
     """Per split: class means and the spectrum of the pooled within-class covariance, largest first; of scaled rows if there are ``quantiles``."""
     centre = {} if quantiles is not None else centres(rows)
     return sufficient(rows, centre, quantiles).groupBy("split_no").applyInArrow(_spectrum(centre, floor), PARAMS)
+
+
+# ---- the top of the spectrum, for rows too wide for a d x d matrix
+
+
+def _by_split(lists: pa.Array, chosen: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each chosen split."""
+    row, number = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    for s in chosen:
+        own = row[number == s]
+        if len(own):
+            yield s, own
+
+
+def _scan(rows: DataFrame, chosen: dict, centre: dict[int, np.ndarray], quantiles: dict[int, np.ndarray] | None, task) -> dict[tuple[int, int], np.ndarray]:
+    """Adds up what ``task(split, label, rows)`` gives, a matrix for each split and label, in one scan of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            labels, X = batch.column(1).to_numpy(), wide_matrix(batch.column(2))
+            for s, own in _by_split(batch.column(0), chosen):
+                for label in np.unique(labels[own]).tolist():
+                    part = X[own[labels[own] == label]]
+                    part = part - centre[label] if quantiles is None else transform_matrix(part, quantiles[s])
+                    for key, m in task(s, label, part):
+                        sums[key] = sums[key] + m if key in sums else m
+        for (s, k), m in sums.items():
+            ids = [pa.array(np.full(len(m), x), pa.int32()) for x in (s, k)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.arange(len(m)), pa.int32()), pa.array(np.zeros(len(m)), pa.int64()), wide_lists(m)], names=["split_no", "label_idx", "row", "n", "v"])
+
+    splits = F.col("splits") if "splits" in rows.columns else F.array("split_no")
+    wide = rows.select(splits.cast("array<int>").alias("splits"), F.col("label_idx").cast("int"), F.col("features").cast("array<double>"))
+    kinds = "split_no int, label_idx int, row int, n long, v array<double>"
+    parts = wide.mapInArrow(run, kinds).withColumn("block", F.floor(F.col("row") / _BLOCK_ROWS))
+    found = parts.groupBy("split_no", "label_idx", "block").applyInArrow(_added, kinds).orderBy("split_no", "label_idx", "row")
+    out: dict[tuple[int, int], list] = {}
+    for r in found.toLocalIterator():
+        out.setdefault((r["split_no"], r["label_idx"]), []).append(r["v"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def top_spectrum(rows: DataFrame, rank: int, numbers: list[int], floor: float = 1e-6, quantiles: dict[int, np.ndarray] | None = None, extra: int = 16, rounds: int = 3, held: int = 64 << 20) -> DataFrame:
+    """Class means and the ``rank`` largest eigenvalues with their vectors, and the mean of all the others, as of ``spectrum``.
+
+    A randomised range finder: each scan multiplies every split's covariance with a thin
+    matrix (d x (rank + extra)), whose orthonormal basis is the next one; after ``rounds``
+    of them the covariance within the basis gives the values.  No task and no driver holds
+    a d x d matrix; splits are taken as many at a time as have ``held`` bytes of thin
+    matrices.  ``eigvals`` has rank + 1 values, ``eigvecs`` d x rank.
+    """
+    centre, out = {} if quantiles is not None else centres(rows), []
+    first = rows.select(F.size("features").alias("d")).first()
+    d = first["d"] if first else 0
+    rank = max(1, min(rank, d - 1))
+    width = min(d, rank + extra)
+    start = np.random.default_rng(0).normal(size=(d, width))
+    step = max(1, held // (8 * max(1, d * width)))
+    for at in range(0, len(numbers), step):
+        some = numbers[at : at + step]
+        sums = _scan(rows, dict.fromkeys(some), centre, quantiles, lambda s, label, X: [((s, label), np.vstack([X.sum(axis=0), [len(X), (X**2).sum(), *[0.0] * (d - 2)]]))])
+        groups = {s: {k: (v[1, 0], v[0] / v[1, 0], v[1, 1]) for (t, k), v in sums.items() if t == s} for s in some}
+        groups = {s: g for s, g in groups.items() if g}
+        V = dict.fromkeys(groups, start)
+        for turn in range(rounds + 1):
+            Y = _scan(rows, V, centre, quantiles, lambda s, label, X: [((s, 0), X.T @ (X @ V[s]))])  # noqa: B023
+            n = {s: sum(g[0] for g in groups[s].values()) for s in groups}
+            Y = {s: (Y[s, 0] - sum(m * np.outer(shift, shift @ V[s]) for m, shift, _ in groups[s].values())) / n[s] for s in groups}
+            if turn < rounds:
+                V = {s: np.linalg.qr(y)[0] for s, y in Y.items()}
+        for s in groups:
+            small = V[s].T @ Y[s]
+            values, inner = np.linalg.eigh((small + small.T) / 2)
+            values, vectors = values[::-1][:rank], V[s] @ inner[:, ::-1][:, :rank]
+            trace = sum(square - m * (shift @ shift) for m, shift, square in groups[s].values()) / n[s]
+            values = np.maximum([*values, (trace - values.sum()) / (d - rank)], floor)
+            for label, (m, shift, _) in sorted(groups[s].items()):
+                out.append((s, label, int(m), (centre[label] + shift if centre else shift).tolist(), values.tolist(), vectors.ravel().tolist()))
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3]
+    names = ["split_no", "label_idx", "n", "mean", "eigvals", "eigvecs"]
+    table = pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=names)
+    return rows.sparkSession.createDataFrame(table)

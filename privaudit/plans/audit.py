@@ -34,7 +34,7 @@ from privaudit.sources import splits_io, stages
 
 _STAGES = ("splits", "scalers", "shadows", "synthetic", "features", "classifier")
 _DATA = ("seed", "ratio", "scale", "label_mode", "neighbours")
-_FIT = (*_DATA, "family", "floor", "latent_dim")
+_FIT = (*_DATA, "family", "floor", "latent_dim", "rank")
 _SCORE = (*_FIT, "levels", "draws", "temperatures")
 _CELL = ["split_no", "sample_id", "row_hash"]
 
@@ -184,14 +184,14 @@ class Audit:
     def _fit(self, rows: DataFrame, scalers: DataFrame | None, numbers: list[int]) -> DataFrame:
         """Shadows of the splits; the quantiles of so many as are held at a time go to the tasks."""
         if scalers is None:
-            return self.family.fit(rows, self.cfg.floor)
+            return self.family.fit(rows, self.cfg.floor, None, self.cfg.rank, numbers)
         width = scalers.agg(F.max("gene_idx") + 1).first()[0]
         step, out = max(1, (64 << 20) // (8 * scaler.MOST * width)), None
         for at in range(0, len(numbers), step):
             some = numbers[at : at + step]
             many = "splits" in rows.columns
             own = rows.withColumn("splits", F.array_intersect("splits", F.array(*map(F.lit, some)))) if many else rows.where(F.col("split_no").isin(some))
-            fitted = self.family.fit(own, self.cfg.floor, scaler.quantile_matrices(scalers.where(F.col("split_no").isin(some))))
+            fitted = self.family.fit(own, self.cfg.floor, scaler.quantile_matrices(scalers.where(F.col("split_no").isin(some))), self.cfg.rank, some)
             out = fitted if out is None else out.union(fitted)
         return out
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from privaudit.functions import noise
 from privaudit.operators.scaler import inverse_matrix, quantile_matrices, transform_matrix
-from privaudit.operators.statistics import spectrum, wide_lists, wide_matrix
+from privaudit.operators.statistics import spectrum, top_spectrum, wide_lists, wide_matrix
 
 #: Bytes of splits' parameters that the driver and a task hold at a time; more take another scan of the rows.
 _HELD = 64 << 20
@@ -32,8 +32,8 @@ class Gaussian:
     def __init__(self, rows: list):
         self.mean = {r["label_idx"]: np.array(r["mean"]) for r in rows}
         self.values = np.array(rows[0]["eigvals"])
-        d = len(self.values)
-        self.vectors = np.array(rows[0]["eigvecs"]).reshape(d, d)
+        self.width = len(rows[0]["mean"])
+        self.vectors = np.array(rows[0]["eigvecs"]).reshape(self.width, -1)  # all of them, or the first
         self.n = {r["label_idx"]: r["n"] for r in rows}
         self._turned: tuple = (None, None)
 
@@ -80,9 +80,8 @@ def diffusion_losses(C: np.ndarray, E: np.ndarray, values: np.ndarray, alphas: n
 
 def latent_parts(R: np.ndarray, values: np.ndarray, vectors: np.ndarray, q: int) -> tuple:
     """Projections, latent means, latent variance, scales, and squared lengths of centred rows R."""
-    d = len(values)
-    q = max(1, min(q, d - 1))
-    sigma2 = float(values[q:].mean())
+    q = max(1, min(q, len(values) - 1))
+    sigma2 = float(values[q:].mean())  # of a cut spectrum the mean of the rest is the last value
     scale = np.sqrt(np.maximum(values[:q] - sigma2, 0.0))
     P = R @ vectors[:, :q]
     return P, scale * P / values[:q], sigma2 / values[:q], scale, (R**2).sum(axis=1)
@@ -95,7 +94,7 @@ def latent_losses(R: np.ndarray, values: np.ndarray, vectors: np.ndarray, q: int
     for t in temperatures:
         for e in E[:, : len(scale)]:
             Z = M + t * np.sqrt(var) * e
-            out.append((rest + ((P - scale * Z) ** 2).sum(axis=1)) / len(values))
+            out.append((rest + ((P - scale * Z) ** 2).sum(axis=1)) / R.shape[1])
     kl = -0.5 * (1 + np.log(var) - M**2 - var)
     return np.array(out).T.reshape(len(R), -1), kl
 
@@ -105,9 +104,16 @@ class Family:
 
     name = ""
 
-    def fit(self, rows: DataFrame, floor: float, quantiles: dict[int, np.ndarray] | None = None) -> DataFrame:
-        """Parameters of ``split_no`` or ``splits``, ``label_idx, features``; of scaled rows if there are ``quantiles``."""
-        return spectrum(rows, floor, quantiles)
+    def fit(self, rows: DataFrame, floor: float, quantiles: dict[int, np.ndarray] | None = None, rank: int = 0, numbers: list[int] | None = None) -> DataFrame:
+        """Parameters of ``split_no`` or ``splits``, ``label_idx, features``; of scaled rows if there are ``quantiles``.
+
+        With ``rank`` only so many directions of the splits ``numbers``, for rows too wide for a d x d matrix; the diffusion family needs all.
+        """
+        if not rank:
+            return spectrum(rows, floor, quantiles)
+        if self.name != "latent":
+            raise ValueError(f"family {self.name} needs the whole spectrum")
+        return top_spectrum(rows, rank, numbers, floor, quantiles)
 
     def score(self, gaussian: Gaussian, X: np.ndarray, labels: np.ndarray, cfg) -> np.ndarray:
         raise NotImplementedError
@@ -159,7 +165,7 @@ class Family:
                 for number in np.unique(numbers).tolist():
                     part, gaussian = batch.filter(pa.array(numbers == number)), some[number]
                     seeds = [np.random.SeedSequence([cfg.seed, number, *str(i).encode()]) for i in part.column(1).to_pylist()]
-                    normals = np.array([np.random.default_rng(s).normal(size=len(gaussian.values)) for s in seeds])
+                    normals = np.array([np.random.default_rng(s).normal(size=gaussian.width) for s in seeds])
                     X = self.sample(gaussian, part.column(2).to_numpy(), normals, cfg)
                     if quantiles is not None:
                         X = inverse_matrix(X, quantiles[number])

@@ -246,5 +246,29 @@ def test_files(spark, tmp_path):
     assert text.splitlines() == ["sample_id,score", "a,0.25", "b,0.5"]
 
 
+def test_top_of_the_spectrum(spark):
+    """A range finder's values, vectors and losses are those of the whole spectrum."""
+    rng = np.random.default_rng(6)
+    d, n = 90, 500
+    X = rng.normal(size=(n, d)) * (30 * 0.7 ** np.arange(d) + 0.5) @ np.linalg.qr(rng.normal(size=(d, d)))[0] + 100
+    rows = [(f"{i}", [1, 2] if i % 4 else [2], i % 3, v.tolist()) for i, v in enumerate(X)]
+    df = spark.createDataFrame(rows, "sample_id string, splits array<int>, label_idx int, features array<double>").repartition(4)
+    family = shadows.FAMILIES["latent"]
+    whole, top = shadows.gaussians(family.fit(df, 1e-6)), shadows.gaussians(family.fit(df, 1e-6, rank=8, numbers=[1, 2]))
+    small = shadows.gaussians(statistics.top_spectrum(df, 8, [1, 2], held=1))  # a split at a time
+    for s in (1, 2):
+        assert top[s].values[:8] == pytest.approx(whole[s].values[:8], rel=1e-6) and small[s].values == pytest.approx(top[s].values, rel=1e-9)
+        assert top[s].values[8] == pytest.approx(whole[s].values[8:].mean(), rel=1e-6)
+        assert np.abs((top[s].vectors * whole[s].vectors[:, :8]).sum(axis=0)) == pytest.approx(np.ones(8), abs=1e-4)
+        assert top[s].mean[2] == pytest.approx(whole[s].mean[2]) and top[s].n == whole[s].n
+    from dataclasses import replace
+
+    cfg = replace(CFG, family="latent", latent_dim=8, temperatures=(0.0,), draws=1)
+    a, b = ({(r["split_no"], r["sample_id"]): r["features"] for r in family.losses(p, df.drop("splits"), cfg).collect()} for p in (family.fit(df, 1e-6), family.fit(df, 1e-6, rank=8, numbers=[1, 2])))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-3, abs=1e-4) for k in a)
+    with pytest.raises(ValueError, match="whole spectrum"):
+        shadows.FAMILIES["diffusion"].fit(df, 1e-6, rank=8, numbers=[1])
+
+
 def test_noise_bank_is_shared():
     assert (noise.bank(1, 2, 3) == noise.bank(1, 4, 3)[:2]).all()
