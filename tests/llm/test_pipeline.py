@@ -78,7 +78,8 @@ def components_of(n, pairs):
         return x
 
     for a, b in pairs:
-        parent[top(a)] = top(b)
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
     return [top(i) for i in range(n)]
 
 
