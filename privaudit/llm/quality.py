@@ -54,7 +54,7 @@ _BITS = 22
 _BUCKETS = 1 << _BITS
 _SHAPES = 72
 _BIGRAMS = (_SHAPES + 1) * (_SHAPES + 1)
-_PRIOR, _ERRORS = 4.0, 1.5
+_PRIOR, _ERRORS = 4.0, 1.0
 _BEGINNINGS, _TIMES = (5, 6, 7), (1, 2, 4)
 _SIGNS = b".,;:!?#%&*$|\"'()[]{}<>-_=+/\\"
 _ROWS = 1000
@@ -160,12 +160,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log ratios of shape bigrams and of n-gram buckets, and the share of target text."""
+    """Log ratios of shape bigrams and of n-gram buckets (in ascending order), and the share of target text."""
 
-    def __init__(self, shapes: np.ndarray, words: dict[int, float], share: float):
-        self.shapes, self.share = shapes, share
-        self.buckets = np.array(sorted(words), np.int64)
-        self.ratios = np.array([words[b] for b in sorted(words)], np.float32)
+    def __init__(self, shapes: np.ndarray, buckets: np.ndarray, ratios: np.ndarray, share: float):
+        self.shapes, self.buckets, self.ratios, self.share = shapes, buckets, ratios, share
 
     def dense(self) -> np.ndarray:
         if not hasattr(self, "_dense"):
@@ -200,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Mo
     sums = {r["family"]: r for r in counts.groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))).collect()}
     shapes = np.zeros(_BIGRAMS)
     if 0 not in sums or not sums[2]["target"] or not sums[0]["target"]:
-        return Model(shapes, {}, 1.0)
+        return Model(shapes, np.zeros(0, np.int64), np.zeros(0, np.float32), 1.0)
     scale = sums[0]["target"] / sums[0]["raw"]
     for r in counts.where("family = 0").collect():  # at most _BIGRAMS rows
         shapes[r["bucket"]] = math.log((r["target"] + _PRIOR) / (r["raw"] * scale + _PRIOR))
@@ -210,7 +208,10 @@ def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Mo
     ratio, error = F.log(shown / e), F.sqrt(1 / shown + 1 / e)
     sure = F.signum(ratio) * F.greatest(F.abs(ratio) - F.lit(_ERRORS) * error, F.lit(0.0))
     found = counts.where("family = 1").select("bucket", "target", expected.alias("expected")).select("bucket", sure.alias("ratio")).where("ratio <> 0")
-    return Model(shapes, {r["bucket"]: r["ratio"] for r in found.collect()}, n["target"] / n["labelled"])  # at most _BUCKETS rows
+    found = found.select("bucket", F.col("ratio").cast("float").alias("ratio")).toArrow()  # at most _BUCKETS rows of eight bytes
+    buckets, ratios = (found.column(c).to_numpy() for c in ("bucket", "ratio"))
+    order = np.argsort(buckets)
+    return Model(shapes, buckets[order], ratios[order], n["target"] / n["labelled"])
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -251,7 +252,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -4.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, threshold: float = -3.0, seed: int = 7, label_rows: int = 50_000, rows: bool = False) -> DataFrame:
     """The k documents with the largest weight and noise.
 
     ``doc_id, n_words, log_weight, key``; with ``rows``, the chosen rows of
