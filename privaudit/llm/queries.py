@@ -164,32 +164,39 @@ def _rule_sql(of: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+def _url_order(length: int) -> str:
+    """Tables of one context length: followers, their sums, kept contexts, probabilities of both sides."""
+    kept = f"SELECT unnest(range({64**length})) AS x" if length <= 2 else f"SELECT x FROM t{length} WHERE t{length}.ta + t{length}.tr >= greatest(16, (SELECT sum(a + r) FROM followers) / 1024)"
+    below = f"JOIN p{length - 1} b ON b.cell = (x * 64 + z.c) % {64**length}" if length else "CROSS JOIN (SELECT 1 / 64e0 AS pa, 1 / 64e0 AS pr) b"
+    return f"""
+n{length} AS (SELECT cell % {64 ** (length + 1)} AS cell, sum(a) AS a, sum(r) AS r FROM followers GROUP BY 1),
+t{length} AS (SELECT cell // 64 AS x, sum(a) AS ta, sum(r) AS tr, (count(*) FILTER (a > 0))::DOUBLE AS ka, (count(*) FILTER (r > 0))::DOUBLE AS kr FROM n{length} GROUP BY 1),
+p{length} AS (
+  SELECT x * 64 + z.c AS cell, CASE WHEN ta > 0 THEN (coalesce(n.a, 0) + ka * b.pa) / (ta + ka) ELSE b.pa END AS pa, CASE WHEN tr > 0 THEN (coalesce(n.r, 0) + kr * b.pr) / (tr + kr) ELSE b.pr END AS pr
+  FROM ({kept}) CROSS JOIN z LEFT JOIN t{length} USING (x) LEFT JOIN n{length} n ON n.cell = x * 64 + z.c {below}
+),"""
+
+
 _URL_SQL = f"""
 WITH parts AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 ruled AS (SELECT *, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS ruled, ('0x' || substr(md5(url), 1, 8))::BIGINT % 5 = 0 AS held FROM hosts),
 plain AS (SELECT row, translate(coalesce(url, ''), '{_LOWER}123456789', '{_UPPER}000000000') AS s FROM ruled),
-codes AS (SELECT row, [0, 0] || list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(substr(s, i, 1)) BETWEEN 33 AND 95 THEN ascii(substr(s, i, 1)) - 32 ELSE 31 END) AS c FROM plain),
-grams AS (SELECT row, unnest(list_transform(range(3, len(c) + 1), lambda i: c[i - 2] * 4096 + c[i - 1] * 64 + c[i]))::INT AS cell FROM codes),
-n3 AS (SELECT ruled = 'allow' AS side, cell // 4096 AS a, cell // 64 % 64 AS b, cell % 64 AS c, count(*)::DOUBLE AS n FROM grams JOIN ruled USING (row) WHERE ruled IS NOT NULL AND NOT held GROUP BY ALL),
-n2 AS (SELECT side, b, c, sum(n) AS n FROM n3 GROUP BY ALL),
-n1 AS (SELECT side, c, sum(n) AS n FROM n2 GROUP BY ALL),
-z AS (SELECT unnest(range(64)) AS c),
-sides AS (SELECT side, sum(n) AS t0, greatest(count(*), 1)::DOUBLE AS k0 FROM n1 GROUP BY side),
-p0 AS (SELECT side, c, (coalesce(n, 0) + k0 / 64) / (t0 + k0) AS p0 FROM sides CROSS JOIN z LEFT JOIN n1 USING (side, c)),
-t1 AS (SELECT side, b, sum(n) AS t1, count(*)::DOUBLE AS k1 FROM n2 GROUP BY ALL),
-p1 AS (SELECT side, b, c, CASE WHEN t1 IS NULL THEN p0 ELSE (coalesce(n, 0) + k1 * p0) / (t1 + k1) END AS p1 FROM (SELECT p0.*, o.c AS b FROM p0 CROSS JOIN z o) LEFT JOIN t1 USING (side, b) LEFT JOIN n2 USING (side, b, c)),
-t2 AS (SELECT side, a, b, sum(n) AS t2, count(*)::DOUBLE AS k2 FROM n3 GROUP BY ALL),
-p2 AS (SELECT side, a, b, c, CASE WHEN t2 IS NULL THEN p1 ELSE (coalesce(n, 0) + k2 * p1) / (t2 + k2) END AS p2 FROM (SELECT p1.*, o.c AS a FROM p1 CROSS JOIN z o) LEFT JOIN t2 USING (side, a, b) LEFT JOIN n3 USING (side, a, b, c)),
-ratios AS (SELECT (a * 4096 + b * 64 + c)::INT AS cell, ln(max(p2) FILTER (WHERE side)) - ln(max(p2) FILTER (WHERE NOT side)) AS ratio FROM p2 GROUP BY a, b, c),
-scored AS (SELECT r.*, round(coalesce(d, 0e0), 9) AS difference FROM ruled r LEFT JOIN (SELECT row, avg(ratio) AS d FROM grams JOIN ratios USING (cell) GROUP BY row) USING (row)),
+codes AS (SELECT row, [0, 0, 0, 0, 0] || list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(substr(s, i, 1)) BETWEEN 33 AND 95 THEN ascii(substr(s, i, 1)) - 32 ELSE 31 END) AS c FROM plain),
+grams AS (SELECT row, unnest(list_transform(range(6, len(c) + 1), lambda i: ((((c[i - 5]::BIGINT * 64 + c[i - 4]) * 64 + c[i - 3]) * 64 + c[i - 2]) * 64 + c[i - 1]) * 64 + c[i])) AS cell FROM codes),
+followers AS MATERIALIZED (SELECT cell, (count(*) FILTER (ruled = 'allow'))::DOUBLE AS a, (count(*) FILTER (ruled = 'block'))::DOUBLE AS r FROM grams JOIN ruled USING (row) WHERE ruled IS NOT NULL AND NOT held GROUP BY cell),
+z AS (SELECT unnest(range(64)) AS c),{"".join(map(_url_order, range(6)))}
+usable AS (SELECT count(DISTINCT ruled) = 2 AS two_sided FROM ruled WHERE ruled IS NOT NULL),
+ratios AS (SELECT row, coalesce(ln(p5.pa) - ln(p5.pr), ln(p4.pa) - ln(p4.pr), ln(p3.pa) - ln(p3.pr), ln(p2.pa) - ln(p2.pr)) AS ratio
+  FROM grams g LEFT JOIN p5 ON p5.cell = g.cell LEFT JOIN p4 ON p4.cell = g.cell % {64**5} LEFT JOIN p3 ON p3.cell = g.cell % {64**4} LEFT JOIN p2 ON p2.cell = g.cell % {64**3}),
+scored AS (SELECT r.*, CASE WHEN two_sided THEN round(coalesce(d, 0e0), 9) ELSE 0e0 END AS difference FROM usable CROSS JOIN ruled r LEFT JOIN (SELECT row, avg(ratio) AS d FROM ratios GROUP BY row) USING (row)),
 bins AS (SELECT least(greatest(floor((difference + 5) * 200), 0), 2000) AS bin, sum((ruled = 'allow')::INT)::DOUBLE AS good, sum((ruled = 'block')::INT)::DOUBLE AS bad FROM scored WHERE ruled IS NOT NULL AND held GROUP BY 1),
 errors AS (
   SELECT bin, (bin + coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin)) / 2 AS middle,
          coalesce(sum(good) OVER w, 0e0) / greatest(sum(good) OVER (), 1e0) + 1 - coalesce(sum(bad) OVER w, 0e0) / greatest(sum(bad) OVER (), 1e0) AS errors
   FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-best AS (SELECT middle / 200 - 5 AS threshold FROM errors ORDER BY errors, bin LIMIT 1)
+best AS (SELECT middle / 200 - 5 AS threshold FROM errors, usable WHERE two_sided ORDER BY errors, bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN difference >= coalesce((SELECT threshold FROM best), 0e0) THEN 'allow' ELSE 'block' END) AS verdict, difference
 FROM scored
 """

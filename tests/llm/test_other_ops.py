@@ -165,12 +165,38 @@ def test_url_model(spark):
     assert {r["verdict"] for r in url_filter.judge(df.where("page_id >= 1000"), RULES).where("rule is null").collect()} == {"allow"}  # no training rows
 
 
-def test_url_probabilities_sum_to_one(spark):
-    import math
-
-    training = spark.createDataFrame([("http://a.net/x", True), ("http://b.net/yy", True), ("zzz", False)], "url string, accepted boolean")
-    ratios = {r["cell"]: r["ratio"] for r in url_filter.fit(spark, training).collect()}
-    assert len(ratios) == 64**3 and all(math.isfinite(v) for v in ratios.values())
+def test_url_probabilities_equal_brute_force(spark):
+    """Contexts of two to five symbols: all short ones, long ones by their counts; each one's probabilities sum to one."""
+    training = [(f"http://{w}.net/{i % 7}", w < "m") for i, w in enumerate(["alpha", "beta", "gamma", "omega", "sigma"] * 12)] + [("", True), (None, False), ("zz", False)]
+    code = lambda c: ord(c.upper()) - 32 if not c.isdigit() else 16
+    texts = [([0] * 5 + [code(c) for c in url or ""], side) for url, side in training]
+    seen = {True: {}, False: {}}  # side -> context -> symbol -> count
+    for coded, side in texts:
+        for i in range(5, len(coded)):
+            for k in range(6):
+                followers = seen[side].setdefault(tuple(coded[i - k : i]), {})
+                followers[coded[i]] = followers.get(coded[i], 0) + 1
+    total = {c: sum(sum(seen[side].get(c, {}).values()) for side in seen) for side in seen for c in seen[side]}
+
+    def p(side, context, symbol):
+        shorter = p(side, context[1:], symbol) if context else 1 / 64
+        own = seen[side].get(context)
+        return (own.get(symbol, 0) + len(own) * shorter) / (sum(own.values()) + len(own)) if own else shorter
+
+    got = url_filter.fit(spark, spark.createDataFrame(training, "url string, accepted boolean")).collect()
+    found, sums = {}, {}
+    for r in got:
+        digits = tuple(r["cell"] // 64**k % 64 for k in range(r["length"], -1, -1))
+        found[digits] = (r["accepted"], r["rejected"])
+        for side in ("accepted", "rejected"):
+            sums[digits[:-1], side] = sums.get((digits[:-1], side), 0.0) + r[side]
+    assert all(x == pytest.approx(1) for x in sums.values())
+    contexts = {d[:-1] for d in found}
+    assert sum(len(c) == 2 for c in contexts) == 64**2
+    assert {c for c in contexts if len(c) > 2} == {c for c, n in total.items() if len(c) > 2 and n >= 16}
+    assert {len(c) for c in contexts} == {2, 3, 4, 5}
+    for d in [d for d in found if len(d) > 3 or total.get(d[:-1])]:
+        assert found[d] == pytest.approx((p(True, d[:-1], d[-1]), p(False, d[:-1], d[-1])), rel=1e-9)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var a = "<p>no</p>";</script><style>p{}</style></head><body>
