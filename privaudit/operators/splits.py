@@ -1,36 +1,63 @@
 """Seeded member / non-member splits.
 
 In split i the rows are ordered by ``md5(seed + i : id)`` and the first
-floor(n * ratio) are members.  Which rows these are is found by counting: rows are
-counted by the first four hex digits, so all but one group of each split is
-decided by the counts, and only that group, a 65,536th of the rows, is sorted.
+floor(n * ratio) are members.  The last member of each split is found by counting: rows
+are counted by the first four hex digits, and only the group that the counts leave open,
+a 65,536th of the rows, is sorted.  Each row is then compared with its split's last
+member where it is read, so rows are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def order_key(seed: int, split_no: Column, sample_id: Column) -> Column:
-    return F.md5(F.concat((F.lit(seed) + split_no).cast("string"), F.lit(":"), sample_id.cast("string")))
+    return F.md5(F.concat((F.lit(seed) + split_no).cast("string"), F.lit(":"), F.coalesce(sample_id.cast("string"), F.lit(""))))
 
 
-def assign(samples: DataFrame, splits: list[int], ratio: float = 0.8, seed: int = 42) -> DataFrame:
-    """``split_no, sample_id, is_member`` for every sample and split."""
-    numbers = F.explode(F.array(*(F.lit(s) for s in splits))) if splits else F.explode(F.array().cast("array<int>"))
+def _cuts(samples: DataFrame, splits: list[int], ratio: float, seed: int) -> dict[int, Row]:
+    """Each split's last member (``h, sample_id``), how often it is there and how many of these copies are members; a row a split."""
+    numbers = F.explode(F.array(*(F.lit(s) for s in splits)))
     rows = samples.select("sample_id", numbers.alias("split_no"))
     rows = rows.withColumn("h", order_key(seed, F.col("split_no"), F.col("sample_id"))).withColumn("g", F.substring("h", 1, 4))
     counts = rows.groupBy("split_no", "g").count()
-    before = Window.partitionBy("split_no").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("split_no")
-    groups = counts.select("split_no", "g", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.floor(F.sum("count").over(whole) * F.lit(float(ratio))).alias("members"))
-    groups = groups.withColumn("rest", F.col("members") - F.col("before"))
-    placed = rows.join(groups.select("split_no", "g", "count", "rest"), ["split_no", "g"])
-    decided = placed.where("rest <= 0 or rest >= count").select("split_no", "sample_id", (F.col("rest") > 0).alias("is_member"))
-    rank = F.row_number().over(Window.partitionBy("split_no").orderBy("h", "sample_id"))
-    edge = placed.where("rest > 0 and rest < count").select("split_no", "sample_id", "rest", rank.alias("rank"))
-    return decided.union(edge.select("split_no", "sample_id", F.col("rank") <= F.col("rest")))
+    upto = Window.partitionBy("split_no").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("count").over(Window.partitionBy("split_no"))
+    groups = counts.select("split_no", "g", "count", F.sum("count").over(upto).alias("upto"), F.least(whole, F.floor(whole * F.lit(float(ratio)))).alias("members"))
+    groups = groups.withColumn("rest", F.col("members") - F.col("upto") + F.col("count")).where("rest > 0 and rest <= count")
+    edge = rows.join(F.broadcast(groups.select("split_no", "g", "rest")), ["split_no", "g"])  # a group a split
+    edge = edge.groupBy("split_no", "rest", "h", "sample_id").agg(F.count("*").alias("copies"))
+    upto = Window.partitionBy("split_no").orderBy("h", F.asc_nulls_last("sample_id")).rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("inside", F.col("rest") - F.sum("copies").over(upto) + F.col("copies")).where("inside > 0 and inside <= copies")
+    return {r["split_no"]: r for r in edge.collect()}
+
+
+def assign(samples: DataFrame, splits: list[int], ratio: float = 0.8, seed: int = 42) -> DataFrame:
+    """``split_no, sample_id, is_member`` for every sample and split; a null id is ordered as an empty one, after it."""
+    kind = samples.schema["sample_id"].dataType
+    cuts = _cuts(samples, splits, ratio, seed) if splits else {}
+    shared = {s: r for s, r in cuts.items() if r["inside"] < r["copies"]}  # copies of one id, not all of them members
+
+    def cut(s: int) -> Column:
+        h, sample_id = (cuts[s]["h"], cuts[s]["sample_id"]) if s in cuts else ("", None)
+        return F.struct(F.lit(s).alias("split_no"), F.lit(h).alias("h"), F.lit(sample_id).cast(kind).alias("id"))
+
+    cut_kind = StructType([StructField("split_no", IntegerType()), StructField("h", StringType()), StructField("id", kind)])
+    listed = F.array(*map(cut, splits)) if splits else F.array().cast(ArrayType(cut_kind))
+    rows = samples.select("sample_id", F.explode(listed).alias("cut"))
+    rows = rows.select("cut.split_no", "sample_id", "cut.h", "cut.id", order_key(seed, F.col("cut.split_no"), F.col("sample_id")).alias("own"))
+    at = (F.col("own") == F.col("h")) & F.col("sample_id").eqNullSafe(F.col("id"))
+    before = (F.col("own") == F.col("h")) & F.col("sample_id").isNotNull() & F.coalesce(F.col("sample_id") < F.col("id"), F.lit(True))
+    if shared:
+        rows = rows.where(~(F.col("split_no").isin([*shared]) & at))
+    out = rows.select("split_no", "sample_id", ((F.col("own") < F.col("h")) | before | at).alias("is_member"))
+    for s, r in shared.items():
+        copies = samples.sparkSession.range(r["copies"])
+        out = out.union(copies.select(F.lit(s), F.lit(r["sample_id"]).cast(kind), F.col("id") < r["inside"]))
+    return out
 
 
 def members(samples: DataFrame, splits: DataFrame, split_no: int) -> DataFrame:

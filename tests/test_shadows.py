@@ -272,3 +272,17 @@ def test_top_of_the_spectrum(spark):
 
 def test_noise_bank_is_shared():
     assert (noise.bank(1, 2, 3) == noise.bank(1, 4, 3)[:2]).all()
+
+
+def test_split_rows_stay_where_they_are(spark):
+    from collections import Counter
+
+    from privaudit.operators import splits
+
+    table = splits.assign(spark.range(1000).select(F.col("id").cast("string").alias("sample_id")), [1, 2])
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.where("is_member").count() == 1600
+    copies = spark.range(90).select(F.when(F.col("id") >= 10, (F.col("id") % 3).cast("string")).alias("sample_id"))  # the cut goes through an id's copies
+    found = splits.assign(copies, [1, 2], 0.5).collect()
+    assert Counter((r["split_no"], r["is_member"]) for r in found) == {(s, m): 45 for s in (1, 2) for m in (True, False)}
+    assert Counter(r["sample_id"] for r in found if r["split_no"] == 1) == Counter(r["sample_id"] for r in copies.collect())
