@@ -251,8 +251,14 @@ class Audit:
         return self._once(name, ensure)
 
     def _by_role(self, source: str) -> DataFrame:
-        roles = splits.roles(self.spark, self.cfg.train_shadows, self.cfg.holdout_shadows)
-        return classify.prepared(self.features(source), self.cfg).join(F.broadcast(roles), "split_no")  # a row per split
+        """What the classifiers read, written once: training and scoring pass over it many times."""
+
+        def compute() -> DataFrame:
+            roles = splits.roles(self.spark, self.cfg.train_shadows, self.cfg.holdout_shadows)
+            found = classify.prepared(self.features(source), self.cfg).join(F.broadcast(roles), "split_no")  # a row per split
+            return stages.written(found, f"prepared-{source}")
+
+        return self._once(f"prepared-{source}", compute)
 
     def classifier(self, source: str = "real") -> classify.Classifier:
         sums = self.rows().agg(F.count("*"), _total(F.xxhash64("sample_id", "row_hash"))).first()
@@ -274,6 +280,7 @@ class Audit:
         scored = self.scores(trained_on, source)
         if holdout_only:
             scored = scored.where("role = 'holdout'")
+        scored = stages.written(scored, "scores")  # the metrics read them many times
         return metrics.evaluate(scored, ["trained_on", "source", "split_no"], self.cfg.target_fpr)
 
     def domain_gap(self) -> DataFrame:

@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privaudit.functions import arrays
 from privaudit.operators import metrics
+from privaudit.operators.statistics import wide_lists, wide_matrix
 from privaudit.sources import stages
 
 
+def summaries(X: np.ndarray, levels: int, draws: int, more: int = 0) -> np.ndarray:
+    """``arrays.summaries`` of many rows, added up in the same order, and ``more`` columns that follow the draws."""
+    out, columns = [], np.ascontiguousarray(X.T[: levels * draws + more])
+    for level in range(levels):
+        part = columns[level * draws : (level + 1) * draws]
+        mean, spread = np.zeros(len(X)), np.zeros(len(X))
+        for x in part:
+            mean += x
+        mean /= draws
+        for x in part:
+            spread += (x - mean) * (x - mean)
+        out += [mean, np.sqrt(spread / draws), part.min(axis=0), part.max(axis=0)]
+    return np.column_stack([*out, *columns[levels * draws :]])
+
+
 def prepared(features: DataFrame, cfg) -> DataFrame:
     """Raw losses, or four numbers per level (temperature) followed by the divergences."""
-    if cfg.summary:
-        levels = len(cfg.levels if cfg.family == "diffusion" else cfg.temperatures)
-        used = arrays.summaries(F.col("features"), levels, cfg.draws)
-        if cfg.family == "latent":
-            used = F.concat(used, F.slice("features", levels * cfg.draws + 1, cfg.latent_dim).cast("array<double>"))
-    else:
-        used = F.col("features").cast("array<double>")
-    return features.withColumn("features", used)
+    wide = features.withColumn("features", F.col("features").cast("array<double>"))
+    if not cfg.summary:
+        return wide
+    levels = len(cfg.levels if cfg.family == "diffusion" else cfg.temperatures)
+    draws, more, at = cfg.draws, cfg.latent_dim if cfg.family == "latent" else 0, wide.columns.index("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                yield part.set_column(at, part.schema.names[at], wide_lists(summaries(wide_matrix(part.column(at)), levels, draws, more)))
+
+    return wide.mapInArrow(run, wide.schema)
 
 
 class Classifier:

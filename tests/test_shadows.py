@@ -286,3 +286,30 @@ def test_split_rows_stay_where_they_are(spark):
     found = splits.assign(copies, [1, 2], 0.5).collect()
     assert Counter((r["split_no"], r["is_member"]) for r in found) == {(s, m): 45 for s in (1, 2) for m in (True, False)}
     assert Counter(r["sample_id"] for r in found if r["split_no"] == 1) == Counter(r["sample_id"] for r in copies.collect())
+
+
+def test_prepared_features_are_the_summaries(spark):
+    from privaudit.functions import arrays
+    from privaudit.plans import classify
+
+    X = np.random.default_rng(3).lognormal(size=(3000, 57)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "i int, features array<float>").repartition(2)
+    for family, at in (("diffusion", {"levels": (5, 10, 20)}), ("latent", {"temperatures": (0.0, 1.0, 2.0), "latent_dim": 6})):
+        cfg = AuditConfig(family=family, draws=17, **at)
+        used = arrays.summaries(F.col("features"), 3, 17)
+        if family == "latent":
+            used = F.concat(used, F.slice("features", 52, 6).cast("array<double>"))
+        width = 12 + 6  # six columns follow the draws
+        want = {r["i"]: r["f"] for r in rows.select("i", used.alias("f")).collect()}
+        got = {r["i"]: r["features"] for r in classify.prepared(rows, cfg).collect()}
+        assert {len(x) for x in got.values()} == {12 if family == "diffusion" else width}
+        assert got == want
+
+
+def test_metrics_read_written_scores(spark, small, tmp_path):
+    from dataclasses import replace
+
+    audit = Audit(_samples(spark, small), f"file://{tmp_path}/audit", replace(CFG, train_shadows=2, holdout_shadows=1))
+    files = audit.metrics("real", "real").inputFiles()
+    assert files and all("/scores-" in f for f in files)
+    assert all("/prepared-" in f for f in audit.scores("real", "real").inputFiles())
