@@ -63,7 +63,7 @@ def assign(samples: DataFrame, splits: list[int], ratio: float = 0.8, seed: int
 def members(samples: DataFrame, splits: DataFrame, split_no: int) -> DataFrame:
     """Rows whose id the split lists as a member."""
     ids = splits.where((F.col("split_no") == split_no) & F.col("is_member")).select("sample_id")
-    return samples.join(ids, "sample_id", "left_semi")
+    return samples.join(ids.hint("merge"), "sample_id", "left_semi")  # nearly as many as samples: not broadcast
 
 
 def outside(samples: DataFrame, test_ids: DataFrame) -> DataFrame:

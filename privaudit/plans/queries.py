@@ -262,7 +262,8 @@ def shadow_stats_diag(spark, d):
 def shadow_stats_orders(spark, d):
     orders = _orders(spark, d)
     chosen = splits.assign(orders, [1, 2, 3], RATIO, SEED).where("is_member")
-    cells = orders.join(chosen, "sample_id").select("split_no", "o_orderstatus", F.col("o_totalprice").alias("value"))
+    # chosen has a row for each order and split: too many to broadcast
+    cells = orders.join(chosen.hint("merge"), "sample_id").select("split_no", "o_orderstatus", F.col("o_totalprice").alias("value"))
     stats = statistics.diagonal(cells, ["split_no", "o_orderstatus"])
     return stats.select("split_no", "o_orderstatus", "n", F.round("mean", 2).alias("mean"), F.round(F.col("var") / 1e6, 2).alias("var_millions"))
 

@@ -313,3 +313,10 @@ def test_metrics_read_written_scores(spark, small, tmp_path):
     files = audit.metrics("real", "real").inputFiles()
     assert files and all("/scores-" in f for f in files)
     assert all("/prepared-" in f for f in audit.scores("real", "real").inputFiles())
+
+
+def test_many_rows_are_not_broadcast(spark, small):
+    from privaudit.plans import queries
+
+    for query in (queries.shadow_stats_orders, queries.member_rows):
+        assert "BroadcastHashJoin" not in query(spark, small)._jdf.queryExecution().executedPlan().toString()
