@@ -7,8 +7,12 @@ large id sets, cells and score tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -268,8 +272,37 @@ def shadow_stats_orders(spark, d):
     return stats.select("split_no", "o_orderstatus", "n", F.round("mean", 2).alias("mean"), F.round(F.col("var") / 1e6, 2).alias("var_millions"))
 
 
+def _diag_scored(plan: list):
+    """Losses of every row for each (split, level, draw), added up gene by gene as a sum over an array is; null for rows with nulls or of another width."""
+    columns = [(r, np.array([(s["mean"], s["var"]) for s in r["s"]], float).reshape(-1, 2), np.array(r["e"] or [], float)) for r in plan]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lists = batch.column(1)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                holes = np.add.reduceat(np.append(pc.is_null(pc.list_flatten(lists)).to_numpy(zero_copy_only=False).astype(int), 0), np.cumsum(lengths) - lengths) * (lengths > 0)
+                for width in {len(m) for _, m, _ in columns}:
+                    own = np.flatnonzero((lengths == width) & (holes == 0))
+                    X = np.ascontiguousarray(statistics.wide_matrix(lists.take(pa.array(own))).T).reshape(width, len(own))
+                    for r, stats, e in columns:
+                        if len(stats) != width:
+                            continue
+                        loss, known = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+                        if len(e) == width:
+                            total, a, v = np.zeros(len(own)), r["a"], stats[:, 1]
+                            for t in (math.sqrt(a * (1 - a)) * (X - stats[:, :1]) - (a * v * e)[:, None]) / (a * v + 1 - a)[:, None]:
+                                total += t * t
+                            loss[own], known[own] = total / width, True
+                        ids = [pa.array(np.full(batch.num_rows, r[c]), pa.int32()) for c in ("split_no", "level_idx", "noise_idx")]
+                        yield pa.RecordBatch.from_arrays([ids[0], batch.column(0), *ids[1:], pa.array(loss, pa.float64(), mask=~known)], names=["split_no", "sample_id", "level_idx", "noise_idx", "loss"])
+
+    return run
+
+
 def _diag_losses(spark, d):
-    """Losses under independent Gaussians: per-split means and variances as arrays, rows joined to five of them."""
+    """Losses under independent Gaussians: per-split means and variances as arrays, every row under each split, level and draw in one scan."""
     stats = statistics.diagonal(_member_cells(spark, d), ["split_no", "gene_idx"])
     per_split = stats.groupBy("split_no").agg(F.sort_array(F.collect_list(F.struct("gene_idx", "mean", "var"))).alias("s"))
     cells = _samples(spark, d).select("sample_id", F.col("features").cast("array<double>").alias("x"))
@@ -277,17 +310,8 @@ def _diag_losses(spark, d):
     bank = bank.select("noise_idx", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda g: noise.normal(SEED, F.col("noise_idx"), g)).alias("e"))
     alphas = noise.alpha_bar()
     levels = spark.createDataFrame([(i, float(alphas[t])) for i, t in enumerate(LEVELS)], "level_idx int, a double")
-    plan = F.broadcast(per_split.crossJoin(bank).crossJoin(levels))  # splits x draws x levels: 60 rows
-
-    def term(x, s_e):
-        s, e = s_e["s"], s_e["e"]
-        a, c, v = F.col("a"), x - s["mean"], s["var"]
-        t = (F.sqrt(a * (1 - a)) * c - a * v * e) / (a * v + 1 - a)
-        return t * t
-
-    pairs = F.zip_with("s", "e", lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    loss = arrays.total(F.zip_with("x", pairs, term)) / F.size("x")
-    return cells.join(plan).select("split_no", "sample_id", "level_idx", "noise_idx", loss.alias("loss"))
+    plan = per_split.crossJoin(bank).crossJoin(levels).collect()  # splits x draws x levels: 60 rows
+    return cells.mapInArrow(_diag_scored(plan), "split_no int, sample_id string, level_idx int, noise_idx int, loss double")
 
 
 def diffusion_losses_diag(spark, d):

@@ -320,3 +320,16 @@ def test_many_rows_are_not_broadcast(spark, small):
 
     for query in (queries.shadow_stats_orders, queries.member_rows):
         assert "BroadcastHashJoin" not in query(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diagonal_losses_of_odd_rows(spark, small, tmp_path):
+    from privaudit.plans import queries
+
+    x, i = F.col("embedding"), F.col("vec_id")
+    odd = F.when(i == 3, F.lit(None)).when(i == 9, F.array_append(F.slice(x, 1, 63), F.lit(None).cast("float"))).otherwise(x)
+    spark.read.parquet(f"{small}/embeddings.parquet").withColumn("embedding", odd).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    losses = queries._diag_losses(spark, f"file://{tmp_path}")
+    plan = losses._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan  # one scan, no lambda over each cell
+    at = losses.where("loss is not null").groupBy("sample_id").count().collect()
+    assert {r["count"] for r in at} == {60} and {r["sample_id"] for r in at} == {r["sample_id"] for r in _samples(spark, small).collect()} - {"3", "9"}
