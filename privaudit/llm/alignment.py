@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import materialize, spread_join
 from privaudit.llm.tokens import _WHOLE, encoder, listed, slices
 
@@ -197,6 +198,7 @@ class Aligner:
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
+worker.keeps("aligners", _ALIGNERS.clear)
 
 
 def _aligned(a: str, b: str, keep_groups: bool):
@@ -224,7 +226,7 @@ class Alignment:
         self.documents = materialize(docs.select("doc_id", key.alias("key")), "alignment-documents")
         distinct = docs.where("octet_length(text) > 0").groupBy("text").agg(F.count("*").alias("copies")).select("text", key.alias("key"), "copies")
         #: ``key, copies, n_a, n_b, n_groups, links, groups_sha256, groups`` of each distinct text.
-        self.texts = materialize(distinct.mapInArrow(_aligned(a, b, keep_groups), f"key binary, copies long, {_MEASURES}"), "alignment-texts")
+        self.texts = materialize(distinct.mapInArrow(worker.task(_aligned(a, b, keep_groups), "encoders", "aligners"), f"key binary, copies long, {_MEASURES}"), "alignment-texts")
         links = self.texts.select("copies", F.explode("links").alias("pair"))
         counts = links.groupBy("pair").agg(F.sum("copies").alias("count"))
         best = F.max("count").over(Window.partitionBy(F.col("pair") % _SIDE))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import materialize, partitions_for, scratch, spread_join
 from privaudit.llm.tokens import encoder, listed, slices
 
@@ -205,11 +206,11 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int = 2, path: str
     """
     spark = documents.sparkSession
     path, n = path or scratch(spark, "content-store"), partitions_for(spark)
-    loose = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_loose(tokenizer, end_id), _LOOSE)
+    loose = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(worker.task(_loose(tokenizer, end_id), "encoders"), _LOOSE)
     # recipes are spread by their root and row: copies of one document must not meet in one task
     place = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "root"))
     placed = loose.withColumn("place", place).repartition(n, "place").drop("place")
-    placed.mapInArrow(_unique, _LOOSE).write.option("compression", "zstd").parquet(f"{path}/loose")
+    placed.mapInArrow(worker.task(_unique), _LOOSE).write.option("compression", "zstd").parquet(f"{path}/loose")
 
     recipes = spark.read.parquet(f"{path}/loose").where("digest is null").select("doc_id", "n_tokens", "digests", "lengths", "root")
     shards = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root", "n_tokens")
@@ -318,7 +319,7 @@ def read_checksums(spark: SparkSession, store: Store) -> DataFrame:
     lengths and checksums are shuffled: the checksum of a document is put
     together from its chunks' checksums, the chunks' bytes stay where they are.
     """
-    chunks = materialize(store.chunks(spark).mapInArrow(_verify_chunks, "digest binary, n int, crc long"), "content-store-chunks")
+    chunks = materialize(store.chunks(spark).mapInArrow(worker.task(_verify_chunks), "digest binary, n int, crc long"), "content-store-chunks")
     recipes = store.recipes(spark)
     stated = {r["shard"]: (r["documents"], r["ids"], bytes(r["root"])) for r in store.manifest(spark).collect()}  # a row per shard
     present = {r["shard"]: (r["documents"], r["ids"], bytes(r["root"])) for r in _shard_roots(recipes, partitions_for(spark)).collect()}

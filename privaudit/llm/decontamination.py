@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import materialize, spread_join
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -98,6 +99,7 @@ class Block:
 
 
 _AUTOMATA: dict[str, object] = {}
+worker.keeps("automata", _AUTOMATA.clear)
 
 
 def scan(automaton, normal: bytes) -> tuple[list[tuple[int, int]], set]:
@@ -182,15 +184,15 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     found = materialize(windows(benchmark, window), "decontamination-windows")
     parts = blocks(found, pattern_bytes)
     if len(parts) == 1:
-        judged = docs.mapInArrow(_judged(Block(parts[0])), _JUDGED)
+        judged = docs.mapInArrow(worker.task(_judged(Block(parts[0])), "automata"), _JUDGED)
     else:
         docs, hits = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontamination-documents"), None
         for part in parts:
-            own = materialize(docs.select("row", "text").mapInArrow(_hits(Block(part)), "row long, hits array<struct<start:int,end:int>>, lists array<long>"), "decontamination-hits")
+            own = materialize(docs.select("row", "text").mapInArrow(worker.task(_hits(Block(part)), "automata"), "row long, hits array<struct<start:int,end:int>>, lists array<long>"), "decontamination-hits")
             hits = own if hits is None else hits.union(own)
         merged = hits.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "lists")))  # a row a block at most
         merged = merged.withColumn("lists", F.array_distinct("lists"))
-        judged = docs.join(merged, "row", "left").select("doc_id", "text", "hits", "lists").mapInArrow(_judged(None), _JUDGED)
+        judged = docs.join(merged, "row", "left").select("doc_id", "text", "hits", "lists").mapInArrow(worker.task(_judged(None)), _JUDGED)
     judged = materialize(judged.withColumn("set", F.array_join(F.col("lists").cast("array<string>"), ",")), "decontamination-judged")
     # each different set of lists is resolved once
     lists = found.groupBy("list").agg(F.first("items").alias("items"))
@@ -207,7 +209,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, pattern_
     Judges each row where it is: no join, so repeated and null ids keep their own decision.
     """
     for k, part in enumerate(blocks(materialize(windows(benchmark, window), "decontamination-windows"), pattern_bytes)):
-        documents = (materialize(documents, "decontamination-clean") if k else documents).mapInArrow(_untouched(Block(part)), documents.schema)
+        documents = (materialize(documents, "decontamination-clean") if k else documents).mapInArrow(worker.task(_untouched(Block(part)), "automata"), documents.schema)
     return documents
 
 

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import materialize
 from privaudit.llm.tokens import encoder, listed, slices
 
@@ -236,7 +237,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, sequence: int =
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("queue"), F.col("text").cast("string").alias("text"))
-    staged = materialize(rows.mapInArrow(_stage(tokenizer, end_id), "task int, queue string, local long, doc_id long, n long, ids binary"), "packing")
+    staged = materialize(rows.mapInArrow(worker.task(_stage(tokenizer, end_id), "encoders"), "task int, queue string, local long, doc_id long, n long, ids binary"), "packing")
 
     parts = materialize(staged.groupBy("task", F.col("queue").alias("source")).agg(F.sum("n").alias("n")), "packing-parts")
     by_source = materialize(parts.groupBy("source").agg(F.sum("n").alias("n")), "packing-sources")
@@ -263,4 +264,4 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, sequence: int =
     offsets = materialize(offsets, "packing-offsets")
     first = F.broadcast(offsets) if offsets.count() <= _BROADCAST_ROWS else offsets
     placed = staged.join(first, (F.col("task") == F.col("of_task")) & F.col("queue").eqNullSafe(F.col("of_source"))).select(F.col("of_queue").alias("queue"), "local", "doc_id", "n", "ids", "first", F.col("queue").alias("source"))
-    return placed.mapInArrow(_place(plan, names, with_ids), PIECES + ", ids binary" * with_ids)
+    return placed.mapInArrow(worker.task(_place(plan, names, with_ids)), PIECES + ", ids binary" * with_ids)

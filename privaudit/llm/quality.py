@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import about, materialize
 from privaudit.llm.tokens import listed
 
@@ -62,6 +63,7 @@ _ROWS = 1000
 _TASKS = 8
 
 _KNOWN: dict[str, tuple[int, ...]] = {}
+worker.keeps("words", _KNOWN.clear)
 
 
 def _word(word: str) -> tuple[int, ...]:
@@ -193,7 +195,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_rows: int = 50_000) -> Mo
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     labelled = rows.join(F.broadcast(sample), F.col("id") == F.col("labelled_id"), "left").select("text", "label")  # about label_rows rows at most
     # a task emits a row for each bucket it has seen: few large tasks, so that the counts stay small beside the texts
-    counts = labelled.coalesce(_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(_count, "family int, bucket int, raw long, labelled long, target long")
+    counts = labelled.coalesce(_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(worker.task(_count, "words"), "family int, bucket int, raw long, labelled long, target long")
     counts = materialize(counts.groupBy("family", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))), "quality-counts")
     sums = {r["family"]: r for r in counts.groupBy("family").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target"))).collect()}
     shapes = np.zeros(_BIGRAMS)
@@ -261,7 +263,7 @@ def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, thre
     model = fit(documents, labels, label_rows)
     inputs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(documents[f"`{c}`"] for c in documents.columns if c != "text")).alias("row")] if rows else []))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields)
-    scored = inputs.mapInArrow(_score(model, seed, threshold), f"{kinds}, n_words long, log_weight double, key double, bits long, chance double")
+    scored = inputs.mapInArrow(worker.task(_score(model, seed, threshold), "words"), f"{kinds}, n_words long, log_weight double, key double, bits long, chance double")
     scored = materialize(scored if rows else scored.drop("text"), "quality-scores")
     if k is None:
         k = round(scored.agg(F.coalesce(F.sum("chance"), F.lit(0.0))).first()[0])

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.similar import bands, links, remaining_links, shared, shingles
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
@@ -75,7 +76,7 @@ def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(worker.task(run), "doc_id long, fp long")
 
 
 # ---- bit-sliced comparison of the members of one task's buckets
@@ -280,7 +281,7 @@ def link(different: DataFrame, radius: int = 4, extra: int | None = None) -> Dat
         )
         rows = known.select("table", "bucket", F.explode(parts).alias("part"), "fp").select("table", "bucket", "part.pair", "part.side", "fp")
     placed = rows.repartition(n, "table", "bucket", "pair").sortWithinPartitions("table", "bucket", "pair", "side", "fp")
-    return placed.mapInArrow(_links(radius), "a long, b long")
+    return placed.mapInArrow(worker.task(_links(radius)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -348,7 +349,7 @@ def representatives(documents: DataFrame, size: int = 4, radius: int = 4, extra:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *numbers, pa.array(keys, pa.list_(pa.int64()))], names=["number", "id", "row", "fp", "digest", "bands"])
 
     kinds = dict(inputs.dtypes)
-    rows = materialize(inputs.mapInArrow(run, f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, digest long, bands array<long>"), "simhash-rows")
+    rows = materialize(inputs.mapInArrow(worker.task(run), f"number long, id {kinds['id']}, row {inputs.schema['row'].dataType.simpleString()}, fp long, digest long, bands array<long>"), "simhash-rows")
     best = rows.groupBy("fp", "digest").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "number")).alias("best"))
     best = materialize(best, "simhash-best")
     merged = materialize(best.join(classes(best.select("fp").distinct(), radius, extra), "fp").select("best", "root"), "simhash-merged")

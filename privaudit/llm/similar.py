@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from privaudit.llm import worker
 from privaudit.llm.storage import materialize, partitions_for, spread_join
 
 _BANDS, _ROWS = 24, 5
@@ -34,7 +35,7 @@ _BANDS, _ROWS = 24, 5
 _BROADCAST_ROWS = 100_000
 #: Bytes of the sets on each side of a cell of pairs, about.
 _CELL_BYTES = 8 << 20
-#: Hashes whose members are compared at a time, and words of bit sets held for pairs.
+#: Hashes whose members are compared at a time, and words of bit sets held for members and for pairs.
 _HASHES, _WORDS = 1 << 20, 1 << 22
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 63, (2, _BANDS * _ROWS), np.uint64)
 _TIMES, _PLUS = (_DRAWN[0] << np.uint64(1) | np.uint64(1))[:, None], _DRAWN[1][:, None]
@@ -89,7 +90,7 @@ def sets(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     few = members.count() <= _BROADCAST_ROWS
     rows = texts.join(F.broadcast(members) if few else members, "number").select("number", "text", *names)
     kinds = dict(members.dtypes)
-    return materialize(rows.mapInArrow(run, ", ".join(["number long", "set array<long>", *(f"{c} {kinds[c]}" for c in names)])), "similar-sets")
+    return materialize(rows.mapInArrow(worker.task(run), ", ".join(["number long", "set array<long>", *(f"{c} {kinds[c]}" for c in names)])), "similar-sets")
 
 
 class _Forest:
@@ -113,14 +114,20 @@ def _compare(one: np.ndarray, other: np.ndarray | None, held: list[np.ndarray],
     if (label == label[0]).all():
         return
     sizes = np.array([len(held[i]) for i in both])
-    if sizes.sum() > _HASHES and len(both) > 2:
+    large = sizes.sum() > _HASHES
+    if not large:
+        values, codes, n = np.unique(np.concatenate([held[i] for i in both]), return_inverse=True, return_counts=True)
+        common = n > 1  # only hashes that several texts have count
+        large = len(both) * -(-int(common.sum()) // 64) > _WORDS
+    if large and len(both) > 2:
         halves = [np.array_split(x, 2) if len(x) > 1 else [x] for x in ([one] if other is None else [one, other])]
         for i, x in enumerate(halves[0]):
             for y in [None, *halves[0][i + 1 :]] if other is None else halves[1]:
                 yield from _compare(x, y, held, forest, similarity)
         return
-    values, codes, n = np.unique(np.concatenate([held[i] for i in both]), return_inverse=True, return_counts=True)
-    common = n > 1  # only hashes that several texts have count
+    if sizes.sum() > _HASHES:  # two long texts
+        values, codes, n = np.unique(np.concatenate([held[i] for i in both]), return_inverse=True, return_counts=True)
+        common = n > 1
     feature, row = (np.cumsum(common) - 1)[codes], np.repeat(np.arange(len(both)), sizes)
     row, feature = row[common[codes]], feature[common[codes]]
     bits = np.zeros((len(both), max(1, -(-int(common.sum()) // 64))), np.uint64)
@@ -240,7 +247,7 @@ def remaining_links(near: DataFrame, texts: DataFrame, size: int, similarity: fl
         met = met.select("number", F.explode(F.transform(other, lambda c: c["cell"])).alias("other")).distinct()
         dealt = rows.join(met, "number").select(F.least("cell", "other").alias("cx"), F.greatest("cell", "other").alias("cy"), *columns)
     placed = dealt.repartition(partitions_for(held.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy")
-    return placed.mapInArrow(_cell(similarity), "a long, b long")
+    return placed.mapInArrow(worker.task(_cell(similarity)), "a long, b long")
 
 
 def _check(similarity: float):
@@ -282,4 +289,4 @@ def _similar(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     given = ends.join(held, "number").select("cx", "cy", "set", F.col("number").alias("x"), F.lit(None).cast("long").alias("y"))
     rows = given.union(cells.select("cx", "cy", F.lit(None).cast("array<long>").alias("set"), "x", "y"))
     placed = rows.repartition(partitions_for(pairs.sparkSession), "cx", "cy").sortWithinPartitions("cx", "cy", F.col("y").isNotNull(), "x")
-    return placed.mapInArrow(_check(similarity), "a long, b long")
+    return placed.mapInArrow(worker.task(_check(similarity)), "a long, b long")

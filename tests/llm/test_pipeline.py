@@ -140,3 +140,33 @@ def test_template_just_below(spark):
     kept = {r["doc_id"] for r in simhash.representatives(docs, similar=(5, 0.8)).collect()}
     tops = components_of(n, [*pairs, *close])
     assert kept == {min(i for i in range(n) if tops[i] == t) for t in set(tops)}
+
+
+def test_a_worker_keeps_one_operators_caches():
+    from privaudit.llm import tokens, worker
+
+    quality._KNOWN["word"] = (1,)
+    encode = tokens.encoder(default_tokenizer())
+    assert list(worker.task(lambda batches: batches, "encoders")(iter([1]))) == [1]
+    assert not quality._KNOWN and tokens.encoder(default_tokenizer()) is encode
+    list(worker.task(lambda batches: batches)(iter([])))
+    assert not tokens._ENCODERS
+
+
+def test_bit_sets_are_bounded(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 62, 20_000)
+    texts = [np.sort(rng.choice(pool, 200, replace=False)) for _ in range(400)]
+    texts += [np.sort(np.append(t[:190], rng.integers(0, 1 << 62, 10))) for t in texts[:100]]  # Jaccard about 0.9
+
+    def run(words):
+        made, zeros = [], np.zeros
+        monkeypatch.setattr(similar, "_WORDS", words)
+        monkeypatch.setattr(np, "zeros", lambda shape, *a: (made.append(int(np.prod(shape))), zeros(shape, *a))[1])
+        found = list(similar._compare(np.arange(500), None, texts, similar._Forest(np.arange(500)), 0.8))
+        monkeypatch.setattr(np, "zeros", zeros)
+        return max(made), sorted(found)
+
+    most, found = run(1 << 14)
+    assert most <= 1 << 14 and found == [(i, 400 + i) for i in range(100)]
+    assert run(1 << 22)[1] == found
