@@ -56,6 +56,23 @@ def test_encoder_equals_the_library(tokenizer):
         assert found == ids_of(tokenizer, text, 0)[:-1].astype("<u2").tobytes(), repr(text)
 
 
+def test_encoder_keeps_words_that_came_again(tokenizer):
+    encode = tokens.Encoder(tokens.default_tokenizer())
+    encode.most, asked = 4, []
+    learn = encode._learn
+    encode._learn = lambda pieces: (asked.append(sorted(pieces)), learn(pieces))
+    for text in ("x one two three four", "x two three six"):
+        assert encode.column(pa.array([text])).to_pylist() == [encode.whole(text)]
+    assert asked == [["\x02x", "four", "one", "three", "two"], ["six"]]
+
+
+def test_encoder_cuts_signs_off(tokenizer):
+    encode = tokens.Encoder(tokens.default_tokenizer())
+    texts = ["word$$$ other,%%% end.", "a!!\nStraße??\n-b- don't it's' x'", "the<|endoftext|> A1$$ _a_ ΑΒΓ. é$ 日本語!!", "a" + "$" * 20, "$$$ $$$\n"]
+    assert encode.column(pa.array(texts)).to_pylist() == [encode.whole(t) for t in texts]
+    assert set(encode.marks) >= {"$$$", ",%%%", "!!", "??"}  # by themselves, with no word before them
+
+
 def test_content_store(spark, docs, tokenizer):
     df = make(spark, docs)
     store = content_store.write_store(df, tokens.default_tokenizer())
