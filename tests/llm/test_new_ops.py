@@ -101,6 +101,23 @@ def test_long_texts_are_cut_in_parts():
     assert passages(whole) == passages(parts) and len(passages(whole)) == 3000 - 19 + 1995 - 19
 
 
+def test_hot_names_are_spread(spark, tmp_path):
+    """The classes of one name do not meet in one task, and every class of a name with several is found."""
+    rows = spark.range(0, 6000, 1, 6).selectExpr("if(id < 4000, -1, id div 2) name", "id kind").where("kind <> 5999")
+    rows.write.parquet(str(tmp_path / "kinds"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        for k, v in zip(before, ("false", "-1", "1", "8k")):
+            spark.conf.set(k, v)
+        found = repeats.several_classes(spark.read.parquet(str(tmp_path / "kinds")))
+        got = found.selectExpr("name", "kind", "k", "spark_partition_id() part").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["name"], r["kind"], r["k"]) for r in got) == sorted((-1 if i < 4000 else i // 2, i, 4000 if i < 4000 else 2) for i in range(5998))
+    assert max(Counter(r["part"] for r in got if r["name"] == -1).values()) <= 2000
+
+
 def test_repeats_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.Repeats(empty).documents().collect() == []
